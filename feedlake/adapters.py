@@ -102,7 +102,7 @@ def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             _minutes_after_epoch(doc).alias("published_at"),
             status.alias("rewrite_status"),
         )
-        .withColumn("rewritten_content", F.when(done, F.upper("title")))
+        .withColumn("rewritten_content", F.when(done, F.concat(F.lit("[edited] "), "title")))
         .withColumn("published_outputs", F.when(done, F.array(F.lit("pwa"), F.lit("rss"))).otherwise(F.array().cast("array<string>")))
     )
 

@@ -61,12 +61,13 @@ def sentiment_label(ratio: Column) -> Column:
 
 def sentiment_from_hits(positive: Column, negative: Column) -> Column:
     """The label comes from the unrounded score."""
-    ratio = sentiment_ratio(positive, negative)
-    return F.struct(
-        round_exact(ratio, 2).alias("score"),
-        sentiment_label(ratio).alias("label"),
-        F.struct(positive.alias("positive_hits"), negative.alias("negative_hits")).alias("details"),
-    )
+    def from_ratio(v: Column) -> Column:
+        return F.struct(
+            round_exact(v["ratio"], 2).alias("score"), sentiment_label(v["ratio"]).alias("label"), v["details"].alias("details")
+        )
+
+    details = F.struct(positive.alias("positive_hits"), negative.alias("negative_hits"))
+    return _let(F.struct(sentiment_ratio(positive, negative).alias("ratio"), details.alias("details")), from_ratio)
 
 
 def analyze_sentiment(
@@ -183,35 +184,58 @@ def extract_topics(
 
 
 def matched_triggers(c: Column | str, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS) -> Column:
-    text = F.lower(text_or_empty(c))
-    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in weights]))
+    def find(text: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in weights]))
+
+    return _let(F.lower(text_or_empty(c)), find)
 
 
 def signals_from_triggers(
     triggers: Column, score: Column, blank: Column, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS
 ) -> Column:
     """Routing signals from the matched triggers and the rounded sentiment score."""
-    total = F.lit(0.0)
-    for word, weight in weights.items():
-        total = total + F.when(F.array_contains(triggers, word), F.lit(float(weight))).otherwise(F.lit(0.0))
-    urgency = F.least(total, F.lit(0.5))
-    impact = F.abs(score) * F.lit(0.2)
-    priority = round_exact(F.least(F.lit(0.2) + urgency + impact, F.lit(1.0)), 2)
-    relevance = round_exact(F.least(F.lit(0.3) + urgency + impact, F.lit(1.0)), 2)
-    confidence = round_exact(F.lit(0.5) + urgency * F.lit(0.5) + impact * F.lit(0.5), 2)
-    route = (
-        F.when(priority >= 0.7, F.lit("publish_immediately"))
-        .when(priority >= 0.4, F.lit("review_required"))
-        .otherwise(F.lit("standard_processing"))
-    )
-    standard = F.lit("standard_processing")
-    return F.struct(
-        F.when(blank, F.lit(0.0)).otherwise(priority).alias("priority"),
-        F.when(blank, F.lit(0.0)).otherwise(relevance).alias("relevance_score"),
-        F.when(blank, standard).otherwise(route).alias("dispatch_route"),
-        F.when(~blank, confidence).alias("confidence"),
-        triggers.alias("matched_triggers"),
-    )
+
+    def from_found(v: Column) -> Column:
+        total = F.lit(0.0)
+        for word, weight in weights.items():
+            hit = F.array_contains(v["triggers"], word)
+            total = total + F.when(hit, F.lit(float(weight))).otherwise(F.lit(0.0))
+        parts = F.struct(
+            F.least(total, F.lit(0.5)).alias("urgency"),
+            (F.abs(v["score"]) * F.lit(0.2)).alias("impact"),
+            v["blank"].alias("blank"),
+            v["triggers"].alias("triggers"),
+        )
+        return _let(parts, from_parts)
+
+    def from_parts(v: Column) -> Column:
+        urgency, impact = v["urgency"], v["impact"]
+        rated = F.struct(
+            round_exact(F.least(F.lit(0.2) + urgency + impact, F.lit(1.0)), 2).alias("priority"),
+            round_exact(F.least(F.lit(0.3) + urgency + impact, F.lit(1.0)), 2).alias("relevance"),
+            round_exact(F.lit(0.5) + urgency * F.lit(0.5) + impact * F.lit(0.5), 2).alias("confidence"),
+            v["blank"].alias("blank"),
+            v["triggers"].alias("triggers"),
+        )
+        return _let(rated, from_rated)
+
+    def from_rated(v: Column) -> Column:
+        standard = F.lit("standard_processing")
+        route = (
+            F.when(v["priority"] >= 0.7, F.lit("publish_immediately"))
+            .when(v["priority"] >= 0.4, F.lit("review_required"))
+            .otherwise(standard)
+        )
+        return F.struct(
+            F.when(v["blank"], F.lit(0.0)).otherwise(v["priority"]).alias("priority"),
+            F.when(v["blank"], F.lit(0.0)).otherwise(v["relevance"]).alias("relevance_score"),
+            F.when(v["blank"], standard).otherwise(route).alias("dispatch_route"),
+            F.when(~v["blank"], v["confidence"]).alias("confidence"),
+            v["triggers"].alias("matched_triggers"),
+        )
+
+    found = F.struct(triggers.alias("triggers"), score.alias("score"), blank.alias("blank"))
+    return _let(found, from_found)
 
 
 def agent_signals(

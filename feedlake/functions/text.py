@@ -145,16 +145,20 @@ def tag_keywords(
     keywords: Mapping[str, Sequence[str]] = TAG_KEYWORDS,
 ) -> Column:
     """Tags with at least one keyword occurring anywhere in the lower-cased text."""
-    text = F.lower(F.concat(text_or_empty(title), F.lit(" "), text_or_empty(content)))
-    flags = []
-    for tag, words in keywords.items():
-        found = F.lit(False)
-        for word in words:
-            found = found | F.contains(text, F.lit(word))
-        flags.append(F.when(found, F.lit(tag)))
-    if not flags:
+    if not keywords:
         return F.array().cast("array<string>")
-    return F.array_compact(F.array(*flags))
+
+    def find(text: Column) -> Column:
+        flags = []
+        for tag, words in keywords.items():
+            found = F.lit(False)
+            for word in words:
+                found = found | F.contains(text, F.lit(word))
+            flags.append(F.when(found, F.lit(tag)))
+        return F.array_compact(F.array(*flags))
+
+    text = F.lower(F.concat(text_or_empty(title), F.lit(" "), text_or_empty(content)))
+    return F.get(F.transform(F.array(text), find), F.lit(0))
 
 
 def append_tags(rewritten: Column | str, tags: Column | str) -> Column:
