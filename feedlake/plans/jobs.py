@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from feedlake.functions.text import prefix_prompt, prompt
 from feedlake.operators.dedup import group_duplicates
+from feedlake.operators.enrich import ProviderFactory, rewrite_with_fallback
 from feedlake.operators.merge import clean_items, merge_combine, winners
 from feedlake.operators.render import CHANNELS, publish_outputs
 from feedlake.operators.sources import update_source_stats
 from feedlake.operators.tables import skip_completed, upsert_partial
+from feedlake.plans.stages import Stage, process_articles
+from feedlake.session import materialize
 from feedlake.sources.feeds import to_raw_items
 
 Rewrite = Callable[[DataFrame], DataFrame]
@@ -31,6 +34,22 @@ def template_rewrite(df: DataFrame) -> DataFrame:
     return df.withColumns({"rewritten_content": text, "rewrite_status": F.lit("completed"), "used_fallback": F.lit(False)})
 
 
+def provider_rewrite(providers: Mapping[str, ProviderFactory], **retry) -> Rewrite:
+    """Rewrite by external providers; where all fail the marked original counts as completed."""
+
+    def rewrite(df: DataFrame) -> DataFrame:
+        asked = df.withColumn("_prompt", prompt("title", "content"))
+        answered = rewrite_with_fallback(asked, "_prompt", "content", providers, **retry)
+        return answered.drop("_prompt").withColumn("rewrite_status", F.lit("completed"))
+
+    return rewrite
+
+
+def stages_rewrite(stages: Sequence[Stage]) -> Rewrite:
+    """Rewrite by the content stages instead of a single call."""
+    return lambda df: process_articles(df, stages).withColumn("used_fallback", F.lit(False))
+
+
 def merged_items(raw: DataFrame, strategy: str = "priority", semantics: str = "greedy", **grouping) -> DataFrame:
     """Merged items with unique ids.
 
@@ -62,7 +81,9 @@ def fetch_and_process(
 ) -> JobResult:
     """One run: merge, skip what is done, rewrite, publish, store.
 
-    Merging ranks sources with the statistics from before this run.
+    Merging ranks sources with the statistics from before this run. ``rewrite`` fills
+    rewritten_content and rewrite_status; an article it leaves failed is stored but not
+    published.
     """
     accepted = {c: F.lit(True) for c in CHANNELS} if channels is None else channels
     raw = to_raw_items(entries, sources, at)
@@ -71,6 +92,7 @@ def fetch_and_process(
         "id", "source_id", "title", "content", F.col("url").alias("original_url"), "published_at",
         F.lit(None).cast("string").alias("rewritten_content"), F.lit("pending").alias("rewrite_status"),
     )
-    processed = publish_outputs(rewrite(pending), accepted)
+    # Written once: a provider must not be asked again for the same article.
+    processed = materialize(publish_outputs(rewrite(pending), accepted))
     stored = upsert_partial(articles, processed.select(*articles.columns), "id")
     return JobResult(stored, processed, update_source_stats(sources, fetch_log))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlake.functions.ids import article_id
 from feedlake.functions.text import text_or_empty
+from feedlake.session import materialize
 
 ENTRY_SCHEMA = "title STRING, link STRING, description STRING, summary STRING, _corrupt_record STRING"
 CHANNEL_SCHEMA = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING>>>"
@@ -60,6 +61,17 @@ def split_failed(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return good, broken, log
 
 
+def number_arrivals(entries: DataFrame, *order: str) -> DataFrame:
+    """Adds ``arrival``: unique, increasing with ``order`` and, inside it, with the read order.
+
+    Numbers follow a range-partitioned sort, so no task sees more than its range; the
+    numbered entries are written once because reading them again must not renumber them.
+    """
+    marked = entries.withColumn("_read", F.monotonically_increasing_id())
+    placed = marked.repartitionByRange(*order, "_read").sortWithinPartitions(*order, "_read")
+    return materialize(placed.withColumn("arrival", F.monotonically_increasing_id()).drop("_read"))
+
+
 def enabled_sources(sources: DataFrame) -> DataFrame:
     return sources.where("enabled")
 

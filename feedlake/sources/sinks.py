@@ -18,35 +18,43 @@ def _filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def latest_version(spark: SparkSession, path: str) -> int | None:
-    """Highest committed version below ``path``."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions below ``path``, ascending."""
     base, fs = _filesystem(spark, path)
     if not fs.exists(base):
-        return None
+        return []
     found = []
     for entry in fs.listStatus(base):
         name = entry.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")
         if name.startswith("v=") and fs.exists(done):
             found.append(int(name[2:]))
-    return max(found, default=None)
+    return sorted(found)
 
 
-def read_latest(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The newest version of a table; an empty table of ``schema`` before the first."""
-    version = latest_version(spark, path)
-    if version is None:
+def read_latest(spark: SparkSession, path: str, schema=None, below: int | None = None) -> DataFrame:
+    """The newest version of a table, or the newest before ``below``; empty before the first."""
+    known = [v for v in versions(spark, path) if below is None or v < below]
+    if not known:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/v={version}")
+    return spark.read.parquet(f"{path}/v={known[-1]}")
+
 
+def write_next(df: DataFrame, path: str, version: int | None = None, keep: int | None = None) -> int:
+    """Write a new version of a table, and drop all but the newest ``keep`` before it.
 
-def write_next(df: DataFrame, path: str, version: int | None = None) -> int:
-    """Write a new version. Readers see it once its commit file is there; a rerun of the same version replaces it."""
+    Readers see a version once its commit file is there. Writing the same version again
+    replaces it, so a rerun batch leaves one result.
+    """
     spark = df.sparkSession
+    known = versions(spark, path)
     if version is None:
-        last = latest_version(spark, path)
-        version = 0 if last is None else last + 1
+        version = known[-1] + 1 if known else 0
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    if keep is not None:
+        for old in [v for v in known if v < version][:-keep]:
+            target, fs = _filesystem(spark, f"{path}/v={old}")
+            fs.delete(target, True)
     return version
 
 
