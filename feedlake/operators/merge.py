@@ -82,7 +82,7 @@ def merge_combine(
     wide = items.select(order, *CLEAN_COLUMNS, "source_name").join(tagged, order)
     large = (F.col("n") > 1) & (F.col("total") > max_part_bytes)
 
-    single = wide.where("n = 1").select(*CLEAN_COLUMNS, F.lit(0).alias("part"))
+    single = wide.where("n = 1").withColumn("content", text_or_empty("content")).select(*CLEAN_COLUMNS, F.lit(0).alias("part"))
     merged = _assemble(wide.where((F.col("n") > 1) & ~large), ["group_id"], order).select(
         *[F.col(f"first.{c}").alias(c) if c != "content" else F.col("content") for c in CLEAN_COLUMNS],
         F.lit(0).alias("part"),
