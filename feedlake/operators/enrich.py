@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from feedlake.functions.text import rewrite_or_fallback
+from feedlake.session import ship
+
+ship(__name__)
 
 # A provider is made once per task by its factory and then called per text.
 ProviderFactory = Callable[[], Callable[[str], str]]

@@ -13,7 +13,8 @@ from feedlake.functions.timestamps import micros
 
 
 def _newest(tie: str | None, ts: str = "ts") -> Column:
-    return F.struct(ts, tie) if tie else F.col(ts)
+    """Order of samples; a struct, so rows without a time count as the oldest."""
+    return F.struct(ts, tie) if tie else F.struct(ts)
 
 
 def metric_counters(samples: DataFrame) -> DataFrame:

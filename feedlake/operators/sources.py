@@ -11,7 +11,7 @@ def update_source_stats(sources: DataFrame, fetch_log: DataFrame, tie: str | Non
     Merging ranks with the scores from before; this result is for the next run. Sources
     without a fetch, disabled ones included, stay as they are.
     """
-    newest = F.struct("ts", tie) if tie else F.col("ts")
+    newest = F.struct("ts", tie) if tie else F.struct("ts")
     log = fetch_log.groupBy(F.col("source_id").alias("id")).agg(
         F.count("*").alias("_runs"),
         F.count_if("ok").alias("_good"),

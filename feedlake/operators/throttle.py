@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.functions.timestamps import micros
-from feedlake.session import keep_partitions
+from feedlake.session import keep_partitions, ship
+
+ship(__name__)
 
 
 def admit(times: np.ndarray, recent: list[int], limit: int, window: int) -> tuple[np.ndarray, list[int]]:

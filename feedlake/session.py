@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,6 +32,11 @@ def build_session(app: str = "feedlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(module: str) -> None:
+    """Send the functions of ``module`` to the Python workers by value, so executors need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 

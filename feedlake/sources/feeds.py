@@ -48,7 +48,9 @@ def split_failed(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Good entries, broken fragments, and one fetch-log row per file.
 
     A file counts as failed when any part of it is broken; its readable entries are
-    dropped too, as one broken document fails its whole source.
+    dropped too, as one broken document fails its whole source. Takes entries that have
+    been written once (``number_arrivals``): Spark does not answer from the raw files what
+    touches nothing but the corrupt records.
     """
     log = entries.groupBy("file_path").agg(
         F.min(F.col("_corrupt_record").isNull()).alias("ok"),

@@ -36,7 +36,7 @@ def timing_summary_stream(samples: DataFrame, tie: str | None = None) -> DataFra
 
 def error_counts_stream(errors: DataFrame, tie: str | None = None) -> DataFrame:
     """Errors and last error per component, for update mode."""
-    newest = F.struct("ts", tie) if tie else F.col("ts")
+    newest = F.struct("ts", tie) if tie else F.struct("ts")
     return errors.groupBy("component").agg(
         F.count("*").alias("errors_total"),
         F.max_by(F.struct("type", "message", F.col("ts").alias("timestamp")), newest).alias("last_error"),

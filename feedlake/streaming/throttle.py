@@ -12,6 +12,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from feedlake.functions.timestamps import micros
 from feedlake.operators.throttle import admit
+from feedlake.session import ship
+
+ship(__name__)
 
 ADMIT = StructType([StructField("at", LongType())])
 
@@ -35,7 +38,9 @@ class ThrottleProcessor(StatefulProcessor):
         answers, recent = admit(batch["at"].to_numpy(dtype=np.int64), recent, self._limit, self._window)
         self._recent.put([(int(t),) for t in recent])
         self._handle.registerTimer((recent[-1] + self._window) // 1000 + 1)
-        yield pd.DataFrame({"tie": batch["tie"].to_numpy(), "key": [key[0]] * len(batch), "admitted": answers})
+        out = pd.DataFrame({"tie": batch["tie"].to_numpy(), "key": [key[0]] * len(batch), "admitted": answers})
+        # Text as plain objects: chunked Arrow strings are not accepted here.
+        yield out.astype({c: object for c in ("tie", "key") if not pd.api.types.is_numeric_dtype(out[c])})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
@@ -44,7 +49,7 @@ class ThrottleProcessor(StatefulProcessor):
             self._recent.put([(t,) for t in alive])
         else:
             self._recent.clear()
-        yield pd.DataFrame({"tie": [], "key": [], "admitted": []})
+        return iter(())
 
     def close(self) -> None:
         pass

@@ -29,7 +29,7 @@ def test_feed_files(spark, feed_dir):
 
 
 def test_broken_file_fails_alone(spark, feed_dir):
-    entries = feeds.read_feed_files(spark, f"{feed_dir}/*/feed.xml")
+    entries = feeds.number_arrivals(feeds.read_feed_files(spark, f"{feed_dir}/*/feed.xml"), "file_path")
     good, broken, log = feeds.split_failed(entries)
     assert sorted(r.title for r in good.collect()) == ["Next", "One & two"]
     assert broken.count() >= 1

@@ -7,6 +7,9 @@ from feedlake.functions import text as X
 from feedlake.operators.enrich import call_with_retry, enrich_with_providers, rewrite_with_fallback
 from feedlake.plans import jobs, stages
 from feedlake.plans.stages import Stage
+from feedlake.session import ship
+
+ship(__name__)
 
 ARTICLE = (
     "id STRING, source_id STRING, title STRING, content STRING, original_url STRING, published_at TIMESTAMP, "
