@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from feedlake.functions import lexicons as lex
 from feedlake.functions.rounding import round_exact
-from feedlake.functions.text import _col, lexicon_tokens, normalize_whitespace, text_or_empty, tokens
+from feedlake.functions.text import _col, lexicon_tokens, plain_spaces, text_or_empty, tokens
 
 SENTENCE_ENDS = ".!?\u06d4"
 
@@ -82,43 +82,44 @@ def analyze_sentiment(
     return _let(hits, lambda h: sentiment_from_hits(h["p"], h["n"]))
 
 
-def readability_from_text(c: Column) -> Column:
-    """Counts from two regex passes: spaces collapsed, then sentences collapsed."""
+def _filled(pieces: Column) -> Column:
+    return F.size(F.array_remove(pieces, ""))
+
+
+def readability_from_text(plain: Column) -> Column:
+    """Counts for text whose whitespace is all spaces."""
 
     def from_counts(v: Column) -> Column:
-        words, letters = v["words"], v["letters"]
+        words = v["words"]
         # The order of the two double operations decides the last second.
         seconds = ((words / F.lit(200.0)) * F.lit(60.0)).cast("int")
         some = words > 0
         return F.struct(
             words.alias("words_count"),
             F.when(some, F.greatest(v["sentences"], F.lit(1))).otherwise(F.lit(0)).alias("sentences_count"),
-            F.when(some, round_exact(letters / words, 1)).otherwise(F.lit(0.0)).alias("avg_word_length"),
+            F.when(some, round_exact(v["letters"] / words, 1)).otherwise(F.lit(0.0)).alias("avg_word_length"),
             F.when(some, F.greatest(seconds, F.lit(1))).otherwise(F.lit(0)).alias("estimated_reading_time_seconds"),
         )
 
-    def from_letters(v: Column) -> Column:
-        pieces = F.regexp_replace(v["joined"], f"[^{SENTENCE_ENDS}]+", "x")
-        spaces = F.length(v["line"]) - F.length(v["joined"])
-        return _let(
-            F.struct(
-                F.when(v["line"] == "", F.lit(0)).otherwise(spaces + 1).alias("words"),
-                F.length(v["joined"]).alias("letters"),
-                (F.length(pieces) - F.length(F.replace(pieces, F.lit("x"), F.lit("")))).alias("sentences"),
-            ),
-            from_counts,
+    def from_joined(v: Column) -> Column:
+        counts = F.struct(
+            v["words"].alias("words"),
+            F.length(v["joined"]).alias("letters"),
+            _filled(F.split(v["joined"], f"[{SENTENCE_ENDS}]+")).alias("sentences"),
         )
+        return _let(counts, from_counts)
 
-    def from_line(line: Column) -> Column:
-        return _let(
-            F.struct(line.alias("line"), F.replace(line, F.lit(" "), F.lit("")).alias("joined")), from_letters
+    def from_plain(text: Column) -> Column:
+        parts = F.struct(
+            _filled(F.split(text, " ")).alias("words"), F.replace(text, F.lit(" "), F.lit("")).alias("joined")
         )
+        return _let(parts, from_joined)
 
-    return _let(normalize_whitespace(c), from_line)
+    return _let(plain, from_plain)
 
 
 def analyze_readability(c: Column | str) -> Column:
-    return readability_from_text(text_or_empty(c))
+    return readability_from_text(plain_spaces(text_or_empty(c)))
 
 
 def topic_candidates(words: Column, stop_words: Sequence[str]) -> Column:
@@ -132,40 +133,52 @@ def topic_candidates(words: Column, stop_words: Sequence[str]) -> Column:
 def top_terms(candidates: Column, limit: int = 5) -> Column:
     """The ``limit`` most frequent entries, ties by first occurrence.
 
-    Sorts (term, position) pairs so equal terms are adjacent, then keeps a running top
-    list while walking the runs: n log n inside the row, where exploding would shuffle
-    every word of the corpus.
+    Sorting brings equal terms together, so a term's count is the distance between two
+    run ends. Only the terms above the count of the last place are looked up for their
+    position; those at that count come in text order from one intersection. Everything
+    happens inside the row, n log n, where exploding would shuffle every word.
     """
-    pairs = F.sort_array(F.transform(candidates, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))))
-    top_type = "array<struct<rank:int,pos:int,term:string>>"
-
-    def push(acc: Column) -> Column:
-        run = F.struct((-acc["n"]).alias("rank"), acc["pos"].alias("pos"), acc["term"].alias("term"))
-        longer = F.slice(F.sort_array(F.concat(acc["top"], F.array(run))), 1, limit)
-        full = F.size(acc["top"]) >= limit
-        return (
-            F.when(acc["n"] == 0, acc["top"])
-            .when(full & (F.get(acc["top"], limit - 1) < run), acc["top"])
-            .otherwise(longer)
+
+    def from_terms(terms: Column) -> Column:
+        return _let(
+            F.struct(terms.alias("terms"), F.sort_array(terms).alias("sorted")),
+            lambda v: F.when(F.size(v["terms"]) == 0, F.array().cast("array<string>")).otherwise(from_sorted(v)),
         )
 
-    zero = F.struct(
-        F.lit("").alias("term"),
-        F.lit(0).alias("n"),
-        F.lit(0).alias("pos"),
-        F.array().cast(top_type).alias("top"),
-    )
+    def from_sorted(v: Column) -> Column:
+        n = F.size(v["sorted"])
+        ends = F.filter(
+            F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(v["sorted"], i - 1) != F.get(v["sorted"], i))
+        )
+        return _let(
+            F.struct(v["terms"].alias("terms"), v["sorted"].alias("sorted"), ends.alias("ends")), from_ends
+        )
 
-    def step(acc: Column, x: Column) -> Column:
-        same = acc["term"] == x["term"]
-        return F.when(
-            same,
-            F.struct(acc["term"].alias("term"), (acc["n"] + 1).alias("n"), acc["pos"].alias("pos"), acc["top"].alias("top")),
-        ).otherwise(
-            F.struct(x["term"].alias("term"), F.lit(1).alias("n"), x["pos"].alias("pos"), push(acc).alias("top"))
+    def from_ends(v: Column) -> Column:
+        runs = F.transform(
+            v["ends"],
+            lambda end, i: F.struct(
+                (end - F.coalesce(F.get(v["ends"], i - 1), F.lit(0))).alias("n"), F.get(v["sorted"], end - 1).alias("term")
+            ),
+        )
+        return _let(F.struct(v["terms"].alias("terms"), runs.alias("runs")), from_runs)
+
+    def from_runs(v: Column) -> Column:
+        counts = F.sort_array(F.transform(v["runs"], lambda r: r["n"]), asc=False)
+        last = F.get(counts, F.least(F.size(counts), F.lit(limit)) - 1)
+        return _let(F.struct(v["terms"].alias("terms"), v["runs"].alias("runs"), last.alias("last")), from_cut)
+
+    def from_cut(v: Column) -> Column:
+        above = F.filter(v["runs"], lambda r: r["n"] > v["last"])
+        level = F.transform(F.filter(v["runs"], lambda r: r["n"] == v["last"]), lambda r: r["term"])
+        placed = F.transform(
+            above, lambda r: F.struct((-r["n"]).alias("n"), F.array_position(v["terms"], r["term"]).alias("pos"), r["term"].alias("term"))
         )
+        head = F.transform(F.sort_array(placed), lambda r: r["term"])
+        tail = F.slice(F.array_intersect(v["terms"], level), F.lit(1), F.lit(limit) - F.size(head))
+        return F.concat(head, tail)
 
-    return F.transform(F.aggregate(pairs, zero, step, push), lambda r: r["term"])
+    return _let(candidates, from_terms)
 
 
 def extract_topics(
@@ -190,56 +203,55 @@ def matched_triggers(c: Column | str, weights: Mapping[str, float] = lex.URGENCY
     return _let(F.lower(text_or_empty(c)), find)
 
 
-def signals_from_triggers(
-    triggers: Column, score: Column, blank: Column, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS
-) -> Column:
-    """Routing signals from the matched triggers and the rounded sentiment score."""
+def urgency_score(triggers: Column, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS) -> Column:
+    """Sum of the matched weights in the order of the list, capped."""
+    total = F.lit(0.0)
+    for word, weight in weights.items():
+        total = total + F.when(F.array_contains(triggers, word), F.lit(float(weight))).otherwise(F.lit(0.0))
+    return F.least(total, F.lit(0.5))
 
-    def from_found(v: Column) -> Column:
-        total = F.lit(0.0)
-        for word, weight in weights.items():
-            hit = F.array_contains(v["triggers"], word)
-            total = total + F.when(hit, F.lit(float(weight))).otherwise(F.lit(0.0))
-        parts = F.struct(
-            F.least(total, F.lit(0.5)).alias("urgency"),
-            (F.abs(v["score"]) * F.lit(0.2)).alias("impact"),
-            v["blank"].alias("blank"),
-            v["triggers"].alias("triggers"),
-        )
-        return _let(parts, from_parts)
-
-    def from_parts(v: Column) -> Column:
-        urgency, impact = v["urgency"], v["impact"]
-        rated = F.struct(
-            round_exact(F.least(F.lit(0.2) + urgency + impact, F.lit(1.0)), 2).alias("priority"),
-            round_exact(F.least(F.lit(0.3) + urgency + impact, F.lit(1.0)), 2).alias("relevance"),
-            round_exact(F.lit(0.5) + urgency * F.lit(0.5) + impact * F.lit(0.5), 2).alias("confidence"),
-            v["blank"].alias("blank"),
-            v["triggers"].alias("triggers"),
-        )
-        return _let(rated, from_rated)
-
-    def from_rated(v: Column) -> Column:
-        standard = F.lit("standard_processing")
-        route = (
-            F.when(v["priority"] >= 0.7, F.lit("publish_immediately"))
-            .when(v["priority"] >= 0.4, F.lit("review_required"))
-            .otherwise(standard)
-        )
-        return F.struct(
-            F.when(v["blank"], F.lit(0.0)).otherwise(v["priority"]).alias("priority"),
-            F.when(v["blank"], F.lit(0.0)).otherwise(v["relevance"]).alias("relevance_score"),
-            F.when(v["blank"], standard).otherwise(route).alias("dispatch_route"),
-            F.when(~v["blank"], v["confidence"]).alias("confidence"),
-            v["triggers"].alias("matched_triggers"),
-        )
 
-    found = F.struct(triggers.alias("triggers"), score.alias("score"), blank.alias("blank"))
-    return _let(found, from_found)
+def capped_rating(base: float, urgency: Column, impact: Column) -> Column:
+    return round_exact(F.least(F.lit(base) + urgency + impact, F.lit(1.0)), 2)
+
+
+def signals_from_parts(triggers: Column, urgency: Column, impact: Column, priority: Column, blank: Column) -> Column:
+    """The route follows the rounded priority; blank text gets zeros and no confidence."""
+    confidence = round_exact(F.lit(0.5) + urgency * F.lit(0.5) + impact * F.lit(0.5), 2)
+    route = (
+        F.when(blank, F.lit("standard_processing"))
+        .when(priority >= 0.7, F.lit("publish_immediately"))
+        .when(priority >= 0.4, F.lit("review_required"))
+        .otherwise(F.lit("standard_processing"))
+    )
+    return F.struct(
+        F.when(blank, F.lit(0.0)).otherwise(priority).alias("priority"),
+        F.when(blank, F.lit(0.0)).otherwise(capped_rating(0.3, urgency, impact)).alias("relevance_score"),
+        route.alias("dispatch_route"),
+        F.when(~blank, confidence).alias("confidence"),
+        triggers.alias("matched_triggers"),
+    )
+
+
+def sentiment_impact(score: Column) -> Column:
+    return F.abs(score) * F.lit(0.2)
 
 
 def agent_signals(
     c: Column | str, score: Column, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS
 ) -> Column:
+    """Signals as one expression; ``operators.analysis`` computes the same in steps."""
     text = text_or_empty(c)
-    return signals_from_triggers(matched_triggers(text, weights), score, text == "", weights)
+    found = F.struct(
+        matched_triggers(text, weights).alias("triggers"), sentiment_impact(score).alias("impact"), (text == "").alias("blank")
+    )
+
+    def from_found(v: Column) -> Column:
+        urgency = urgency_score(v["triggers"], weights)
+        return _let(F.struct(v["triggers"].alias("triggers"), v["impact"].alias("impact"), v["blank"].alias("blank"), urgency.alias("urgency")), from_urgency)
+
+    def from_urgency(v: Column) -> Column:
+        priority = capped_rating(0.2, v["urgency"], v["impact"])
+        return _let(priority, lambda p: signals_from_parts(v["triggers"], v["urgency"], v["impact"], p, v["blank"]))
+
+    return _let(found, from_found)

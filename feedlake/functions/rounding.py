@@ -15,14 +15,12 @@ _SPLIT = float(2 ** 20)
 
 
 def round_exact(x: Column, digits: int = 2) -> Column:
+    """``x`` occurs several times: pass a column or something cheap."""
     scale = float(10 ** digits)
-
-    def from_value(v: Column) -> Column:
-        size = F.abs(v)
-        high = F.floor(size * F.lit(_SPLIT)).cast("double") / F.lit(_SPLIT)
-        base = F.floor(size * F.lit(scale)).cast("double")
-        off = (high * F.lit(scale) - base - F.lit(0.5)) + (size - high) * F.lit(scale)
-        up = F.when(off > 0, F.lit(1.0)).when(off < 0, F.lit(0.0)).otherwise(F.pmod(base, F.lit(2.0)))
-        return F.when(v < 0, -1.0).otherwise(1.0) * ((base + up) / F.lit(scale))
-
-    return F.get(F.transform(F.array(x.cast("double")), from_value), F.lit(0))
+    x = x.cast("double")
+    size = F.abs(x)
+    high = F.floor(size * F.lit(_SPLIT)).cast("double") / F.lit(_SPLIT)
+    base = F.floor(size * F.lit(scale)).cast("double")
+    off = (high * F.lit(scale) - base - F.lit(0.5)) + (size - high) * F.lit(scale)
+    up = F.when(off > 0, F.lit(1.0)).when(off < 0, F.lit(0.0)).otherwise(F.pmod(base, F.lit(2.0)))
+    return F.when(x < 0, -1.0).otherwise(1.0) * ((base + up) / F.lit(scale))

@@ -12,7 +12,6 @@ from feedlake.functions.lexicons import TAG_KEYWORDS
 # specified with, so they are spelled out.
 LINE_BREAKS = "\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
 INLINE_SPACES = "\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
-SPACE = f"[{LINE_BREAKS}{INLINE_SPACES}]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 WORD = r"[\p{L}\p{N}_]"
 MARKUP = "<[^>]+>"
@@ -32,8 +31,13 @@ def is_filled(c: Column) -> Column:
     return F.coalesce(c != "", F.lit(False))
 
 
+def plain_spaces(c: Column | str) -> Column:
+    """Every whitespace character as a space; a table lookup, cheaper than the class in a regex."""
+    return F.translate(_col(c), ALL_SPACES, " " * len(ALL_SPACES))
+
+
 def normalize_whitespace(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), " +", " "))
 
 
 def strip(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.functions import analytics as A, lexicons as lex
-from feedlake.functions.text import lexicon_tokens, text_or_empty
+from feedlake.functions.text import lexicon_tokens, text_or_empty, tokens
 
 
 def analyze(
@@ -28,22 +28,18 @@ def analyze(
     text = F.concat(text_or_empty(title), F.lit(" "), text_or_empty(content))
     staged = df.withColumn("_text", text)
     staged = staged.withColumn("_words", lexicon_tokens("_text"))
+    words = F.col("_words")
+    # The two word lists differ only where the dotted capital I occurs.
+    topic_words = F.when(F.contains("_text", F.lit("\u0130")), tokens("_text")).otherwise(words)
     staged = staged.withColumns(
         {
-            "_language": A.detect_language("_text", F.col("_words")),
-            "_sentiment": A.analyze_sentiment("_text", F.col("_words"), positive, negative),
+            "_language": A.detect_language("_text", words),
+            "_sentiment": A.analyze_sentiment("_text", words, positive, negative),
             "_readability": A.analyze_readability("_text"),
-            "_triggers": A.matched_triggers("_text", weights),
+            "_topic_words": topic_words,
         }
-    )
-    staged = staged.withColumns(
-        {
-            "_topics": A.extract_topics("_text", "_language", topic_limit),
-            "_signals": A.signals_from_triggers(
-                F.col("_triggers"), F.col("_sentiment.score"), F.col("_text") == "", weights
-            ),
-        }
-    )
+    ).withColumn("_topics", A.extract_topics("_text", "_language", topic_limit, F.col("_topic_words")))
+    staged = add_agent_signals(staged, F.col("_text"), F.col("_sentiment.score"), "_signals", weights)
     result = F.struct(
         F.col("_language").alias("language"),
         F.col("_sentiment").alias("sentiment"),
@@ -52,3 +48,16 @@ def analyze(
         F.col("_signals").alias("agent_signals"),
     )
     return staged.select(*[F.col(f"`{c}`") for c in df.columns if c != out], result.alias(out))
+
+
+def add_agent_signals(
+    df: DataFrame, text: Column, score: Column, out: str, weights: Mapping[str, float] = lex.URGENCY_WEIGHTS
+) -> DataFrame:
+    """Routing signals of ``text`` in stacked projections, numbers staying in generated code."""
+    steps = df.withColumns(
+        {"_triggers": A.matched_triggers(text, weights), "_impact": A.sentiment_impact(score), "_blank": text_or_empty(text) == ""}
+    )
+    steps = steps.withColumn("_urgency", A.urgency_score(F.col("_triggers"), weights))
+    steps = steps.withColumn("_priority", A.capped_rating(0.2, F.col("_urgency"), F.col("_impact")))
+    parts = [F.col(c) for c in ("_triggers", "_urgency", "_impact", "_priority", "_blank")]
+    return steps.withColumn(out, A.signals_from_parts(*parts)).drop("_triggers", "_urgency", "_impact", "_priority", "_blank")

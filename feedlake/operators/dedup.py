@@ -79,20 +79,26 @@ def group_duplicates(
         nodes = skew.salt_hot(nodes, key, "block", salt, hot[key] if any_hot[key] else None)
     state = nodes.drop("block").withColumn("label", F.col("pos"))
 
-    for step in range(1, n_rows + 2):
-        before = state
-        by_id = skew.min_per_key(before, "id_key", "id_salt", "label", "by_id", along, any_hot["id_key"])
-        by_title = skew.min_per_key(by_id, "title_key", "title_salt", "by_id", "by_title", along, any_hot["title_key"])
-        after = by_title.select(
-            "pos", "id_key", "title_key", "id_salt", "title_salt",
-            F.col("label").alias("old_label"), F.col("by_title").alias("label"),
-        )
-        if step > 2:
+    def sweep(df: DataFrame, value: str, out: str) -> DataFrame:
+        by_id = skew.min_per_key(df, "id_key", "id_salt", value, "by_id", along, any_hot["id_key"])
+        return skew.min_per_key(by_id, "title_key", "title_salt", "by_id", out, along, any_hot["title_key"]).drop("by_id")
+
+    # Two sweeps per written table: when the second changes nothing the labels are final.
+    # With hot keys a sweep reads its input twice, so there each one is written.
+    final, step = False, 0
+    while not final:
+        step += 1
+        if any(any_hot.values()):
+            after = sweep(state, "label", "new_label").withColumnRenamed("label", "old_label")
+        else:
+            once = sweep(state, "label", "old_label").drop("label")
+            after = sweep(once, "old_label", "new_label")
+        after = after.withColumnRenamed("new_label", "label")
+        if step > 1:
             after = _follow_labels(after)
         after = materialize(after)
+        final = after.where("label < old_label").isEmpty()
         state = after.drop("old_label")
-        if after.where("label < old_label").isEmpty():
-            break
     return state.select(F.col("pos").alias(order), F.col("label").alias("group_id"))
 
 

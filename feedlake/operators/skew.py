@@ -48,7 +48,7 @@ def min_per_key(
     salts contribute comes from one row per (key, salt), joined on the partitioning the
     window has already made.
     """
-    inside = W.partitionBy(key, salt)
+    inside = W.partitionBy(key, salt) if any_hot else W.partitionBy(key)
     across = W.partitionBy(key)
     if order is not None:
         inside = inside.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -13,7 +13,7 @@ from feedlake.functions.masking import mask_sensitive
 from feedlake.functions.responses import extract_completion
 from feedlake.functions.timestamps import iso_text, parse_iso
 from feedlake.operators import dedup, merge, monitoring as mon, render, tables
-from feedlake.operators.analysis import analyze
+from feedlake.operators.analysis import add_agent_signals, analyze
 from feedlake.operators.sources import update_source_stats
 from feedlake.operators.throttle import throttle
 from feedlake.plans import jobs, stages
@@ -264,16 +264,17 @@ def topics_corpus(spark, sf):
 
 def agent_signals(spark, sf):
     """Triggers in order priorities (default lists) and in documents (fragment lists)."""
-    text = F.concat("o_orderpriority", F.lit(" "), "o_orderstatus")
-    orders = T.read_table(spark, sf, "orders").select(
+    orders = T.spread(T.read_table(spark, sf, "orders"), "o_orderkey").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
-        A.agent_signals(text, A.analyze_sentiment(text)["score"]).alias("s"),
+        F.concat("o_orderpriority", F.lit(" "), "o_orderstatus").alias("text"),
     )
-    score = A.analyze_sentiment("text", positive=POSITIVE, negative=NEGATIVE)["score"]
-    docs = T.documents(spark, sf).select(
-        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), A.agent_signals("text", score, WEIGHTS).alias("s")
+    docs = T.documents(spark, sf).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    by_default = orders.withColumn("score", A.analyze_sentiment("text")["score"])
+    by_fragments = docs.withColumn("score", A.analyze_sentiment("text", positive=POSITIVE, negative=NEGATIVE)["score"])
+    signalled = add_agent_signals(by_default, F.col("text"), F.col("score"), "s").unionByName(
+        add_agent_signals(by_fragments, F.col("text"), F.col("score"), "s", WEIGHTS)
     )
-    return orders.unionByName(docs).select(
+    return signalled.select(
         "id", "s.priority", "s.relevance_score", "s.dispatch_route", "s.confidence",
         F.array_join("s.matched_triggers", ",").alias("matched_triggers"),
     )
