@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from feedlake.functions.text import normalize_title, text_or_empty
 from feedlake.operators import skew
-from feedlake.session import materialize
+from feedlake.session import materialize, release
 
 
 def content_hash(c):
@@ -63,16 +63,17 @@ def group_duplicates(
         text_or_empty(id_col).alias("id_key"),
         F.when(title != "", F.unhex(F.sha2(title, 256))).otherwise(F.encode(pos.cast("string"), "UTF-8")).alias("title_key"),
     )
-    nodes = materialize(nodes)
+    nodes = written = materialize(nodes)
     n_rows = nodes.count()
 
-    hot = {k: skew.hot_keys(nodes, k, n_rows, hot_rows) for k in ("id_key", "title_key")}
-    any_hot = {}
-    for key, frame in hot.items():
-        any_hot[key] = frame is not None and not frame.isEmpty()
+    hot, any_hot = {}, {}
+    for key in ("id_key", "title_key"):
+        found = skew.hot_keys(nodes, key, n_rows, hot_rows)
+        hot[key] = None if found is None else materialize(found)
+        any_hot[key] = found is not None and not hot[key].isEmpty()
     if any(any_hot.values()):
         blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        nodes = skew.order_blocks(nodes, "pos", "block", blocks)
+        nodes = written = _replace(written, skew.order_blocks(nodes, "pos", "block", blocks))
     else:
         nodes = nodes.withColumn("block", F.lit(-1))
     for key, salt in (("id_key", "id_salt"), ("title_key", "title_salt")):
@@ -96,12 +97,18 @@ def group_duplicates(
         after = after.withColumnRenamed("new_label", "label")
         if step > 1:
             after = _follow_labels(after)
-        after = materialize(after)
+        after = written = _replace(written, materialize(after))
         final = after.where("label < old_label").isEmpty()
         state = after.drop("old_label")
     return state.select(F.col("pos").alias(order), F.col("label").alias("group_id"))
 
 
+def _replace(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` is written, so the table it was made from can go."""
+    release(old)
+    return new
+
+
 def _follow_labels(state: DataFrame) -> DataFrame:
     """Replace each label by the label of the item it names; halves long chains."""
     moved = state.where("label < pos").select(F.col("pos").alias("label"), F.col("label").alias("next_label"))

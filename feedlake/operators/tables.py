@@ -35,18 +35,22 @@ def upsert_partial(
     update_columns: Sequence[str] = ARTICLE_UPDATE_COLUMNS,
     order: str | None = None,
 ) -> DataFrame:
-    """Insert new rows; of known rows overwrite ``update_columns`` only, nulls included."""
-    fresh = latest_per_key(updates, key, order).select(*target.columns)
-    old, new = target.alias("old"), fresh.alias("new")
-    known, changed = F.col(f"old.{key}").isNotNull(), F.col(f"new.{key}").isNotNull()
-
-    def pick(c: str) -> Column:
-        if c == key:
-            return F.coalesce(f"old.{c}", f"new.{c}").alias(c)
-        takes_new = changed if c in update_columns else changed & ~known
-        return F.when(takes_new, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
+    """Insert new rows; of known rows overwrite ``update_columns`` only, nulls included.
 
-    return old.join(new, F.col(f"old.{key}") == F.col(f"new.{key}"), "full_outer").select(*[pick(c) for c in target.columns])
+    A left join instead of a full outer one: a small batch is then broadcast by Spark and
+    the target is not shuffled. The new rows come from an anti-join on the keys alone.
+    """
+    fresh = latest_per_key(updates, key, order).select(*target.columns)
+    news = fresh.select(
+        F.col(key), F.lit(True).alias("_changed"), *[F.col(c).alias(f"_new_{c}") for c in target.columns if c in update_columns]
+    )
+    kept = target.join(news, key, "left").select(
+        *[
+            F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update_columns else F.col(c)
+            for c in target.columns
+        ]
+    )
+    return kept.unionByName(fresh.join(target.select(key), key, "left_anti").select(*target.columns))
 
 
 def get_by_key(table: DataFrame, key: str, value) -> DataFrame:

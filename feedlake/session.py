@@ -62,7 +62,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.feedlake_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table ``materialize`` wrote; nothing may read it afterwards."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.feedlake_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep_partitions(df: DataFrame) -> DataFrame:
