@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,10 +15,17 @@ from feedlake.functions.responses import extract_completion
 from feedlake.functions.timestamps import iso_text, parse_iso
 from feedlake.operators import dedup, merge, monitoring as mon, render, tables
 from feedlake.operators.analysis import add_agent_signals, analyze
+from feedlake.operators.enrich import enrich_with_providers
 from feedlake.operators.sources import update_source_stats
 from feedlake.operators.throttle import throttle
 from feedlake.plans import jobs, stages
+from feedlake.session import checkpoint_dir, ship
 from feedlake.sources import feeds
+from feedlake.sources.sinks import write_event_log
+from feedlake.sources.stores import read_event_log
+from feedlake.streaming import rollups
+
+ship(__name__)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -622,6 +630,120 @@ def fetch_and_process(spark, sf):
     )
 
 
+# --- providers, failing stages, files, streams --------------------------------------------
+
+
+def _terse():
+    """Answers short turns only."""
+
+    def call(text: str) -> str:
+        if len(text) > 300:
+            raise ValueError("too long")
+        return "terse: " + text[:20]
+
+    return call
+
+
+def _patient():
+    def call(text: str) -> str:
+        if "." not in text:
+            raise ValueError("no sentence")
+        return "patient: " + text
+
+    return call
+
+
+def enrich_failover(spark, sf):
+    """Two providers in order; turns neither takes come back unchanged."""
+    turns = T.spread(T.read_table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    asked = turns.withColumnRenamed("text", "question")
+    answered = enrich_with_providers(asked, "question", {"terse": _terse, "patient": _patient}, retries=2, delay=0.0)
+    return answered.select(
+        "conv_id", "turn", "text", "provider_used", "attempts", F.array_join("errors", "; ").alias("errors")
+    )
+
+
+def stage_isolation(spark, sf):
+    """A check toxic articles fail without harm, and a rewrite that ends pending articles of one source."""
+    articles = T.stored_articles(spark, sf)
+    toxic = F.when(F.col("rewrite_status") == "failed", F.lit("toxic"))
+    refused = F.when((F.col("rewrite_status") == "pending") & (F.col("source_id") == "src3"), F.lit("refused"))
+    steps = [
+        stages.Stage("Check", {"title": F.upper("source_id")}, critical=False, error=toxic),
+        stages.Stage("Rewrite", {"rewritten_content": F.col("title")}, error=refused),
+        stages.Stage("Close", {"rewrite_status": F.lit("completed")}),
+    ]
+    done = stages.run_stages(articles, steps)
+    failures = F.transform("pipeline_run.failures", lambda f: F.concat(f["stage"], F.lit(":"), f["error"], F.lit(":"), f["critical"].cast("string")))
+    return done.select(
+        "id", "title", "rewritten_content", "rewrite_status",
+        F.array_join("pipeline_run.stages_executed", ",").alias("stages_executed"),
+        F.array_join(failures, ",").alias("failures"),
+    )
+
+
+def feed_files(spark, sf):
+    """All documents landed as feed files, a few per source, with one source's files cut off, and read back."""
+    clean = X.normalize_whitespace(F.regexp_replace("text", "[&<>]", " "))
+    item = F.concat(F.lit("<item><title>"), clean, F.lit("</title><link>"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
+    spot = ["source", "bucket"]
+    items = T.read_table(spark, sf, "documents").select(
+        "source", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("bucket"), F.lit(1).alias("line"), item.alias("value")
+    )
+    files = items.select(*spot).distinct()
+    end = F.when(F.col("source") == "src7", F.lit("<item><title>cut")).otherwise(F.lit("</channel></rss>"))
+    frame = files.select(*spot, F.lit(0).alias("line"), F.lit("<rss><channel>").alias("value")).unionByName(
+        files.select(*spot, F.lit(2).alias("line"), end.alias("value"))
+    )
+    landed = items.unionByName(frame).repartition(*spot).sortWithinPartitions(*spot, "line").drop("line")
+    path = f"{checkpoint_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    landed.write.partitionBy(*spot).text(path)
+    entries = feeds.number_arrivals(feeds.read_feed_files(spark, f"{path}/*/*"), "file_path")
+    good, _, _ = feeds.split_failed(entries)
+    return good.select(F.regexp_extract("file_path", "source=([^/]+)", 1).alias("source_id"), F.col("link").alias("doc"), "title")
+
+
+def event_log_round_trip(spark, sf):
+    path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    write_event_log(
+        T.events(spark, sf).select(
+            "ts", "event_type", F.lit("warning").alias("severity"), F.lit("shop").alias("module"),
+            F.col("event_id").cast("string").alias("message"), F.from_json("props", "map<string,string>").alias("details"),
+        ),
+        path,
+    )
+    log = read_event_log(spark, path)
+    return log.select("message", "event_type", "severity", F.col("details")["k"].alias("k"), iso_text("ts").alias("at"))
+
+
+def _stream(spark, sf, name):
+    """A stream over a table that is one file or a folder of files; the pattern suits both."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+def _run_stream(df: DataFrame) -> DataFrame:
+    """Everything that is there, through a file sink, in append mode."""
+    base = f"{checkpoint_dir(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    query = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+    query.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def dedup_stream(spark, sf):
+    docs = _stream(spark, sf, "documents").select(
+        "text", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("doc_id"))).alias("ts")
+    )
+    return _run_stream(rollups.dedup_stream(docs, "text", within="3650 days").select("content_sha"))
+
+
+def event_rollup_stream(spark, sf):
+    """Hourly counts of the windows the watermark has closed."""
+    timed = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = _run_stream(rollups.event_rollup_stream(timed))
+    return closed.withColumn("window_start", iso_text("window_start"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -638,5 +760,6 @@ QUERIES: dict[str, Query] = {
         metric_counters, metric_gauges, timing_summary, error_summary, event_log, event_rollup_hourly, job_runs,
         dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
         content_stages, publish_outputs, json_feed_items, rss_items, channel_messages, fetch_and_process,
+        enrich_failover, stage_isolation, feed_files, event_log_round_trip, dedup_stream, event_rollup_stream,
     )
 }

@@ -492,6 +492,28 @@ def _queries() -> dict[str, str]:
       FROM stored s LEFT JOIN done d USING (id)
       UNION ALL
       SELECT id, source_id, title, rewrite_status, rewritten_content, original_url, published_outputs FROM done WHERE id NOT IN (SELECT id FROM stored)"""
+
+    q["enrich_failover"] = """SELECT conv_id, turn,
+      CASE WHEN length(text) <= 300 THEN 'terse: ' || substr(text, 1, 20) WHEN contains(text, '.') THEN 'patient: ' || text ELSE text END AS text,
+      CASE WHEN length(text) <= 300 THEN 'terse' WHEN contains(text, '.') THEN 'patient' END AS provider_used,
+      CASE WHEN length(text) <= 300 THEN 1 WHEN contains(text, '.') THEN 3 ELSE 4 END AS attempts,
+      CASE WHEN length(text) <= 300 THEN '' WHEN contains(text, '.') THEN 'terse: too long' ELSE 'terse: too long; patient: no sentence' END AS errors
+      FROM conversations"""
+    refused = "rewrite_status = 'pending' AND source_id = 'src3'"
+    checked = "CASE WHEN rewrite_status = 'failed' THEN title ELSE upper(source_id) END"
+    q["stage_isolation"] = f"""WITH {ARTICLES} SELECT id, {checked} AS title,
+      CASE WHEN {refused} THEN rewritten_content ELSE {checked} END AS rewritten_content,
+      CASE WHEN {refused} THEN 'failed' ELSE 'completed' END AS rewrite_status,
+      CASE WHEN {refused} THEN 'Check,Rewrite' ELSE 'Check,Rewrite,Close' END AS stages_executed,
+      CASE WHEN {refused} THEN 'Rewrite:refused:true' WHEN rewrite_status = 'failed' THEN 'Check:toxic:false' ELSE '' END AS failures
+      FROM articles"""
+    q["feed_files"] = f"""SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS doc, {one_line(plain)} AS title
+      FROM documents WHERE source <> 'src7'"""
+    q["event_log_round_trip"] = """SELECT CAST(event_id AS VARCHAR) AS message, event_type, 'WARNING' AS severity,
+      json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events"""
+    q["dedup_stream"] = "SELECT DISTINCT sha256(text) AS content_sha FROM documents"
+    q["event_rollup_stream"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS window_start, event_type, count(*) AS n FROM events
+      WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
     return q
 
 
