@@ -78,32 +78,28 @@ def merge_combine(
     """
     kept = materialize(_contributions(items, groups, order))
     sizes = kept.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    tagged = materialize(kept.join(sizes, "group_id"))
+    tagged = kept.join(sizes, "group_id")
     wide = items.select(order, *CLEAN_COLUMNS, "source_name").join(tagged, order)
     large = (F.col("n") > 1) & (F.col("total") > max_part_bytes)
 
-    single = wide.where("n = 1").withColumn("content", text_or_empty("content")).select(*CLEAN_COLUMNS, F.lit(0).alias("part"))
-    merged = _assemble(wide.where((F.col("n") > 1) & ~large), ["group_id"], order).select(
-        *[F.col(f"first.{c}").alias(c) if c != "content" else F.col("content") for c in CLEAN_COLUMNS],
-        F.lit(0).alias("part"),
-    )
-    result = single.unionByName(merged)
-    if not tagged.where(large).isEmpty():
+    member = F.struct(*RANKS, order, *CLEAN_COLUMNS, "source_name", "blank")
+    # Both branches carry whole members, so they share one shuffle of the texts.
+    single = wide.where("n = 1").select(F.array(member).alias("members"))
+    several = wide.where((F.col("n") > 1) & ~large).groupBy("group_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
+    result = _fold(single.unionByName(several.select("members")))
+    if not sizes.where(large).isEmpty():
         result = result.unionByName(_assemble_parts(wide.where(large), order, max_part_bytes))
     return result
 
 
-def _assemble(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Sorted members of each key folded into one text; ``first`` is the winner."""
-    member = F.struct(*RANKS, order, *CLEAN_COLUMNS, "source_name", "blank")
-    grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+def _fold(groups: DataFrame) -> DataFrame:
+    """Members in rank order to one row: the first with the others' contents appended."""
     first = F.get("members", F.lit(0))
     others = F.filter(F.slice("members", 2, F.greatest(F.size("members") - 1, F.lit(0))), lambda m: ~m["blank"])
     tail = F.transform(others, lambda m: F.concat(separator(m["source_name"]), m["content"]))
-    return grouped.select(
-        *keys,
-        first.alias("first"),
-        F.concat(text_or_empty(first["content"]), F.array_join(tail, "")).alias("content"),
+    content = F.concat(text_or_empty(first["content"]), F.array_join(tail, ""))
+    return groups.select(
+        *[content.alias(c) if c == "content" else first[c].alias(c) for c in CLEAN_COLUMNS], F.lit(0).alias("part")
     )
 
 

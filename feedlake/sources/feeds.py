@@ -83,8 +83,10 @@ def to_raw_items(
 ) -> DataFrame:
     """Entries of enabled sources with id, source rank and ingest time.
 
-    ``published_at`` is the time of the fetch, not the entry's own date. The join leaves
-    the strategy to Spark: it broadcasts the sources while they are small.
+    ``published_at`` is the time of the fetch, not the entry's own date. The rank columns
+    are written first, so Spark knows their real size: it broadcasts them while they are
+    below its limit, and no text is shuffled; beyond it AQE splits a source that holds a
+    large share of the entries.
     """
     content = F.coalesce(F.nullif("description", F.lit("")), F.nullif("summary", F.lit("")), F.lit(""))
     url = text_or_empty("link")
@@ -105,4 +107,4 @@ def to_raw_items(
         url.alias("url"),
         fetched_at.alias("published_at"),
     )
-    return items.join(ranks, "source_id")
+    return items.join(materialize(ranks), "source_id")
