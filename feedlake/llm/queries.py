@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlake.llm import html_text, mixing, quality_rules, secret_scan
+from feedlake.llm import html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan
+from feedlake.llm.common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = mixing.copy_counts(_table(spark, sf_dir, "documents"))
     return counted.select(
@@ -20,6 +28,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = quality_rules.train(docs, _table(spark, sf_dir, "labels"))
@@ -37,7 +52,9 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
