@@ -41,4 +41,33 @@ SELECT doc_id, size, source_size, target,
 FROM drawn
 """
 
-LLM_ORACLES = {"op2_mix_sources": OP2}
+OP3 = r"""
+WITH masks AS (
+  SELECT m, k.a, k.b FROM (VALUES (0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 1, 2), (4, 1, 3), (5, 2, 3)) k(m, a, b)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), lengths AS (
+  SELECT DISTINCT least(13, len(w)) AS l FROM item_words WHERE len(w) >= 8
+), doc_windows AS (
+  SELECT doc_id, l, p - 1 AS pos, w[p:p + l - 1] AS t
+  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS p FROM doc_words, lengths WHERE len(w) >= l)
+), item_windows AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS l, w[p:p + least(13, len(w)) - 1] AS t
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM item_words WHERE len(w) >= 8)
+), doc_keys AS (
+  SELECT d.*, m, CASE WHEN l < 13 THEN hash(t) ELSE hash([t[i] FOR i IN range(1, 14) IF (i - 1) % 4 IN (a, b)]) END AS k
+  FROM doc_windows d, masks
+), item_keys AS (
+  SELECT d.*, m, CASE WHEN l < 13 THEN hash(t) ELSE hash([t[i] FOR i IN range(1, 14) IF (i - 1) % 4 IN (a, b)]) END AS k
+  FROM item_windows d, masks
+), hits AS (
+  SELECT DISTINCT d.doc_id, i.item_id, d.pos
+  FROM doc_keys d JOIN item_keys i ON d.k = i.k AND d.m = i.m AND d.l = i.l
+  WHERE len([x FOR x IN range(1, d.l + 1) IF d.t[x] <> i.t[x]]) <= CASE WHEN d.l < 13 THEN 0 ELSE 2 END
+)
+SELECT doc_id, item_id, min(pos) AS first_token, count(*) AS n_windows FROM hits GROUP BY doc_id, item_id
+"""
+
+LLM_ORACLES = {"op3_decontaminate": OP3, "op2_mix_sources": OP2}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlake.llm import html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan
+from feedlake.llm import decontaminate, html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan
 from feedlake.llm.common import fold
 
 
@@ -28,6 +28,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"))
@@ -54,6 +59,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
