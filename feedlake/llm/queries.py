@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from feedlake.llm import decontaminate, html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan
+from feedlake.llm import (
+    decontaminate, html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan, token_files,
+)
 from feedlake.llm.common import fold
 
 
@@ -56,6 +58,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -64,4 +70,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
+    "op10_token_files": op10_token_files,
 }
