@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlake.llm import (
-    decontaminate, html_text, language_id, mixing, quality_classifier, quality_rules, secret_scan, token_files,
+    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan,
+    token_files,
 )
 from feedlake.llm.common import fold
 
@@ -48,6 +49,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, trees).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "score")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.link_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return secret_scan.scan_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -68,6 +74,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
     "op10_token_files": op10_token_files,
