@@ -407,7 +407,7 @@ def tiled(rows: DataFrame, *order: str) -> DataFrame:
                     number, part, count = number + 1, value, 0
                 count += 1
                 tiles.append(number)
-            yield frame.assign(tile=(frame["task"] << 32) + np.array(tiles, np.int64)).drop(columns="task")
+            yield frame.assign(tile=frame["task"] * (1 << 32) + np.array(tiles, np.int64)).drop(columns="task")
 
     return materialize(ranged.mapInPandas(run, f"{fields}, tile long"))
 
