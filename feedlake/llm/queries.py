@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlake.llm import (
     decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan,
-    token_files,
+    substring_dedup, token_files,
 )
 from feedlake.llm.common import fold
 
@@ -64,6 +64,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removed_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,5 +81,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_secret_scan": op7_secret_scan,
     "op8_html_text": op8_html_text,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
 }
