@@ -4,24 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlake.llm import mixing
+from feedlake.llm import decontaminate, jaccard_join, mixing, quality_rules, token_files
 from feedlake.session import materialize
 
+#: Near copies share four fifths of their distinct five-word shingles.
+NEAR = jaccard_join.Rule(size=5, percent=80)
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules, fitted to ``labels``, do not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.keep_good(docs, quality_rules.train(docs, labels))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    return jaccard_join.keep_one(docs, NEAR)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that their sources meet the target weights."""
     return mixing.mix(docs)
 
 
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: doc_id, start, n_tokens and ids_crc32 of every copy."""
+    return token_files.round_trip(docs)
+
+
 STAGES = [
+    ("quality rules", keep_good_quality),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("benchmark decontamination", drop_benchmark_passages),
     ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", write_token_files),
 ]
 
-# The learned rules and the tokenizer have no SQL form; tests/llm compares each stage with brute force.
+# Boosted trees and tokenizers have no SQL form: tests/llm/test_pipeline.py compares the stages
+# with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over all documents; the rows of the last one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
