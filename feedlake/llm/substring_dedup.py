@@ -19,6 +19,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.llm.common import WordHashes, mix64, window_hashes, words
@@ -229,12 +230,16 @@ def covered(n_words: int, starts: np.ndarray, size: int = WINDOW) -> np.ndarray:
 
 
 def mark_repeats(docs: DataFrame, finish, schema: str, keep: list[str]) -> DataFrame:
-    """``finish(rows, masks)`` for every slice; a mask is true for the words to remove."""
+    """``finish(rows, texts, masks)`` for every slice; a mask is true for the words to remove.
+
+    ``rows`` has the columns ``keep``.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(MIN_SLICES, -(-size // SLICE_BYTES))
-    columns = dict.fromkeys([*keep, "text"])
-    slice_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("slice")
-    sliced = docs.select(slice_, *columns)
+    slice_ = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    # The slice comes first and the text second, so that other columns may have any name.
+    others = [f"c{i}" for i in range(len(keep))]
+    sliced = docs.select(slice_.alias("slice"), "text", *(F.col(c).alias(o) for c, o in zip(keep, others)))
 
     sent = sliced.select("slice", "text").groupBy("slice").applyInPandas(
         lambda rows: _anchor_rows(rows, n), "kind int, bucket long, slice int, keys binary, counts binary")
@@ -254,8 +259,8 @@ def mark_repeats(docs: DataFrame, finish, schema: str, keep: list[str]) -> DataF
         heads, (keys, counts) = _split_by(group, leaves, np.minimum(counts, 2).astype(np.uint8))
         return pd.DataFrame({"group": heads, "slice": int(rows["slice"].iloc[0]), "keys": keys, "counts": counts})
 
-    def back(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        texts = rows["text"].tolist()
+    def back(rows: pa.Table, flags: pa.Table) -> pa.Table:
+        texts, known = rows.column("text").to_pylist(), flags.to_pandas()
         _, _, _, place, positions = _suffixes_by_group(texts, _flags(known, 0), n, lengthened.value)
         repeated = _flags(known, 1)[place] == 1
         masks, at = [], 0
@@ -263,13 +268,13 @@ def mark_repeats(docs: DataFrame, finish, schema: str, keep: list[str]) -> DataF
             hit = repeated[at:at + len(starts)]
             at += len(starts)
             masks.append(covered(len(words(text)), starts[hit]))
-        return finish(rows, masks)
+        return finish(rows.drop_columns(["slice", "text"]).rename_columns(keep), texts, masks)
 
     dealt = sliced.groupBy("slice").cogroup(anchor_flags.groupBy("slice")).applyInPandas(
         deal, "group long, slice int, keys binary, counts binary")
     ends = dealt.groupBy("group").applyInPandas(_tree_flags, flags)
     both = anchor_flags.unionByName(ends)
-    return sliced.groupBy("slice").cogroup(both.groupBy("slice")).applyInPandas(back, schema)
+    return sliced.groupBy("slice").cogroup(both.groupBy("slice")).applyInArrow(back, schema)
 
 
 def removed_digests(docs: DataFrame) -> DataFrame:
@@ -279,15 +284,16 @@ def removed_digests(docs: DataFrame) -> DataFrame:
     anywhere else too. Null, empty and shorter texts lose nothing. Repeated rows repeat each
     other's windows. Other columns are not looked at.
     """
-    def finish(rows, masks):
+    def finish(rows, texts, masks):
         digests = []
-        for text, mask in zip(rows["text"], masks):
+        for text, mask in zip(texts, masks):
             kept = [w for w, gone in zip(words(text), mask.tolist()) if not gone]
             digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-        return pd.DataFrame({
-            "doc_id": rows["doc_id"], "n_words": [len(m) for m in masks],
-            "n_removed": [int(m.sum()) for m in masks], "kept_sha256": digests,
-        })
+        added = {
+            "n_words": pa.array([len(m) for m in masks], pa.int64()),
+            "n_removed": pa.array([int(m.sum()) for m in masks], pa.int64()), "kept_sha256": pa.array(digests, pa.string()),
+        }
+        return pa.table({"doc_id": rows.column("doc_id"), **added})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
@@ -299,13 +305,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Words are joined by single spaces in texts that lose some; other texts stay as they are.
     """
-    def finish(rows, masks):
-        texts = []
-        for text, mask in zip(rows["text"], masks):
+    def finish(rows, texts, masks):
+        left = []
+        for text, mask in zip(texts, masks):
             if mask.any():
                 text = b" ".join(w for w, gone in zip(words(text), mask.tolist()) if not gone).decode()
-            texts.append(text)
-        return rows.assign(text=texts)[docs.columns]
+            left.append(text)
+        return rows.append_column("text", pa.array(left, pa.string())).select(columns)
 
+    columns = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mark_repeats(docs, finish, schema, docs.columns)
+    return mark_repeats(docs, finish, schema, [c for c in columns if c != "text"])
