@@ -119,30 +119,6 @@ def prompt(title: Column | str, content: Column | str) -> Column:
     return render_template(PROMPT, {"title": title, "content": content})
 
 
-def prefix_content(content: Column | str, prefix: str = "[Rewritten (dummy)]") -> Column:
-    return render_template(prefix + ": {content}", {"content": content})
-
-
-def prefix_prompt(prompt_text: Column | str, prefix: str = "[Dummy AI]") -> Column:
-    return render_template(prefix + " processed prompt: {prompt}", {"prompt": prompt_text})
-
-
-def summary_template(title: Column | str, content: Column | str, n: int = 60) -> Column:
-    """Lead summary line followed by the whole content."""
-    lead = F.substring(text_or_empty(content), 1, n)
-    return render_template(
-        "[Mock AI Summary]: Summary of '{title}': This article discusses the key themes of "
-        "{lead}...\n[Mock AI Rewrite]: Optimized version of: {content}",
-        {"title": title, "lead": lead, "content": content},
-    )
-
-
-def language_header(c: Column | str, lang: str = "en") -> Column:
-    """Header naming the target language; empty and null text stay as they are."""
-    c = _col(c)
-    return F.when(is_filled(c), F.concat(F.lit(f"[Translated to {lang.upper()}]:\n"), c)).otherwise(c)
-
-
 def tag_keywords(
     title: Column | str,
     content: Column | str,

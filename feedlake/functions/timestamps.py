@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from feedlake.functions.text import _col
 
@@ -23,6 +23,27 @@ def iso_text(c: Column | str) -> Column:
     )
 
 
+def is_aware(df: DataFrame, name: str) -> bool:
+    """True for instants; a timestamp without zone, or text, carries none of its own."""
+    return isinstance(df.schema[name].dataType, T.TimestampType)
+
+
+def utc_wall(df: DataFrame, name: str) -> Column:
+    """The UTC wall clock of a column, as the session shows it, whatever the session's zone.
+
+    A timestamp without zone is taken as UTC. Text is parsed, null where it does not parse.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        return F.col(name).cast("timestamp")
+    instant = F.try_to_timestamp(F.col(name)) if isinstance(kind, T.StringType) else F.col(name).cast("timestamp")
+    return in_utc(instant)
+
+
+def in_utc(instant: Column) -> Column:
+    return F.to_utc_timestamp(instant, F.current_timezone())
+
+
 def rfc822(c: Column | str) -> Column:
     return F.date_format(_col(c), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 

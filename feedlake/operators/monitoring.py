@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from feedlake.functions.rounding import round_exact
-from feedlake.functions.timestamps import micros
+from feedlake.functions.timestamps import micros, utc_wall
+
+
+UNKNOWN_COMPONENT = "unknown"
 
 
 def _newest(tie: str | None, ts: str = "ts") -> Column:
@@ -27,25 +30,35 @@ def metric_gauges(samples: DataFrame, tie: str | None = None) -> DataFrame:
 
 def timing_summary(samples: DataFrame, tie: str | None = None) -> DataFrame:
     """Last, count, total, average and longest duration per operation, to four places."""
-    raw = samples.groupBy("name").agg(
+    return samples.groupBy("name").agg(*_timing_parts(tie)).select("name", *_timing_columns(), round_exact(F.col("longest"), 4).alias("max_duration_seconds"))
+
+
+def _timing_parts(tie: str | None) -> list[Column]:
+    return [
         F.max_by("value", _newest(tie)).alias("last"),
         F.count("value").alias("executions_total"),
         F.sum("value").cast("double").alias("total"),
         F.max("value").alias("longest"),
-    )
-    return raw.select(
-        "name",
+    ]
+
+
+def _timing_columns() -> list[Column]:
+    return [
         round_exact(F.col("last"), 4).alias("last_duration_seconds"),
-        "executions_total",
+        F.col("executions_total"),
         round_exact(F.col("total"), 4).alias("duration_seconds_total"),
         round_exact(F.col("total") / F.col("executions_total"), 4).alias("average_duration_seconds"),
-        round_exact(F.col("longest"), 4).alias("max_duration_seconds"),
-    )
+    ]
 
 
 def error_summary(errors: DataFrame, tie: str | None = None) -> DataFrame:
-    """Error count and last error per component; the null component is the total."""
-    return errors.rollup("component").agg(
+    """Error count and last error per component, and a row with ``is_total`` and no component.
+
+    Errors without a component count for ``UNKNOWN_COMPONENT``.
+    """
+    named = errors.withColumn("component", F.coalesce("component", F.lit(UNKNOWN_COMPONENT)))
+    return named.rollup("component").agg(
+        (F.grouping("component") == 1).alias("is_total"),
         F.count("*").alias("errors_total"),
         F.max_by(F.struct("type", "message", F.col("ts").alias("timestamp")), _newest(tie)).alias("last_error"),
     )
@@ -54,7 +67,7 @@ def error_summary(errors: DataFrame, tie: str | None = None) -> DataFrame:
 def event_log(events: DataFrame) -> DataFrame:
     """Log lines: upper-case severity, second precision, details never null."""
     return events.select(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.date_format(utc_wall(events, "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         "event_type",
         F.upper("severity").alias("severity"),
         "module",
@@ -96,32 +109,26 @@ def job_run_summary(runs: DataFrame, tie: str | None = None) -> DataFrame:
 def dashboard_summary(samples: DataFrame, errors: DataFrame, tie: str | None = None) -> DataFrame:
     """One record: status, all metrics by name, and the last error per component.
 
-    Works on the rollups, whose size is the number of names.
+    Samples and errors are read once each; what is put together has a row per name.
     """
-    counters = metric_counters(samples)
-    timings = timing_summary(samples, tie)
     parts = ["last_duration_seconds", "executions_total", "duration_seconds_total", "average_duration_seconds"]
-    named = [counters.select("name", F.col("value").cast("double"))]
-    for part in parts:
-        named.append(timings.select(F.concat("name", F.lit(f"_{part}")).alias("name"), F.col(part).cast("double").alias("value")))
+    totals = samples.groupBy("name").agg(*_timing_parts(tie), F.sum("value").alias("sum"))
+    timed = totals.select("name", "sum", *_timing_columns())
+    values = [F.struct("name", F.col("sum").cast("double").alias("value"))]
+    values += [F.struct(F.concat("name", F.lit(f"_{p}")).alias("name"), F.col(p).cast("double").alias("value")) for p in parts]
+    metrics = timed.select(F.explode(F.array(*values)).alias("m")).agg(F.collect_list("m").alias("metrics"))
     failures = error_summary(errors, tie)
-    named.append(
-        failures.select(
-            F.when(F.col("component").isNull(), F.lit("total_errors"))
-            .otherwise(F.concat(F.lit("errors_"), "component", F.lit("_total"))).alias("name"),
-            F.col("errors_total").cast("double").alias("value"),
-        )
+    name = F.when(F.col("is_total"), F.lit("total_errors")).otherwise(F.concat(F.lit("errors_"), "component", F.lit("_total")))
+    failed = failures.agg(
+        F.collect_list(F.struct(name.alias("name"), F.col("errors_total").cast("double").alias("value"))).alias("counts"),
+        F.collect_list(F.when(~F.col("is_total"), F.struct("component", "last_error"))).alias("details"),
     )
-    metrics = named[0]
-    for part in named[1:]:
-        metrics = metrics.unionByName(part)
-    details = failures.where("component IS NOT NULL").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("component", "last_error"))))
-    ).scalar()
-    return metrics.agg(
+    # Both sides are one row.
+    return metrics.crossJoin(failed).select(
         F.lit("ok").alias("status"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("metrics"),
-    ).withColumn("error_details", details)
+        F.map_from_entries(F.sort_array(F.concat("metrics", "counts"))).alias("metrics"),
+        F.map_from_entries(F.sort_array("details")).alias("error_details"),
+    )
 
 
 def rolling_request_count(requests: DataFrame, key: str = "key", tie: str = "event_id", window_s: int = 60) -> DataFrame:

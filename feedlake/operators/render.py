@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.functions.text import text_or_empty
-from feedlake.functions.timestamps import iso_text, rfc822
+from feedlake.functions.timestamps import in_utc, is_aware, iso_text, rfc822, utc_wall
 
 # Channel names in publishing order.
 CHANNELS = ["eitaa", "pwa", "rss"]
@@ -27,8 +27,14 @@ def _or(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default
 
 
+def _published(df: DataFrame) -> Column:
+    """UTC as ISO text; instants carry the offset, times without a zone do not."""
+    text = iso_text(utc_wall(df, "published_at"))
+    return F.concat(text, F.lit("+00:00")) if is_aware(df, "published_at") else text
+
+
 def feed_items(df: DataFrame) -> DataFrame:
-    """The ten fields of a published item."""
+    """The ten fields of a published item; a date given as text that does not parse is null."""
     no_outputs = F.array().cast("array<string>")
     url = _url(df)
     return df.select(
@@ -38,7 +44,7 @@ def feed_items(df: DataFrame) -> DataFrame:
         _content(df).alias("content"),
         url.alias("original_url"),
         url.alias("url"),
-        iso_text("published_at").alias("published_at"),
+        _published(df).alias("published_at"),
         _or(df, "rewrite_status", F.lit("pending")).alias("rewrite_status"),
         F.coalesce(_or(df, "published_outputs", no_outputs), no_outputs).alias("published_outputs"),
         _or(df, "pipeline_metadata", F.create_map().cast("map<string,string>")).alias("pipeline_metadata"),
@@ -52,15 +58,16 @@ def json_items(df: DataFrame) -> DataFrame:
 
 
 def rss_fields(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """``title``, ``link``, ``guid``, ``description``, ``pubDate``; without a date the item is dated ``now``."""
-    stamp = F.col("published_at").cast("timestamp")
+    """``title``, ``link``, ``guid``, ``description``, ``pubDate``; without a date that parses the item is dated ``now``."""
+    stamp = utc_wall(df, "published_at")
+    now = in_utc(F.current_timestamp() if now is None else now)
     url = _url(df)
     return df.select(
         text_or_empty("title").alias("title"),
         url.alias("link"),
         F.coalesce(F.nullif("id", F.lit("")), url).alias("guid"),
         _content(df).alias("description"),
-        rfc822(F.coalesce(stamp, F.current_timestamp() if now is None else now)).alias("pubDate"),
+        rfc822(F.coalesce(stamp, now)).alias("pubDate"),
     )
 
 

@@ -10,8 +10,7 @@ from feedlake.functions.lexicons import ROLE_PERMISSIONS, ROUTE_PERMISSIONS
 from feedlake.functions.timestamps import iso_text
 
 # What a conflicting article write overwrites.
-ARTICLE_UPDATE_COLUMNS = ["title", "content", "rewritten_content", "rewrite_status", "published_outputs"]
-DEEP_PAGE_ROWS = 10_000
+ARTICLE_UPDATE_COLUMNS = ["title", "content", "rewritten_content", "rewrite_status", "published_outputs", "pipeline_metadata"]
 
 
 def latest_per_key(df: DataFrame, key: str, order: str | None) -> DataFrame:
@@ -99,24 +98,18 @@ PAGE_COLUMNS = ["id", "title", "content", "published_at", "rewrite_status", "pip
 def paginate(df: DataFrame, page: int = 1, limit: int = 10, order_by: str = "id") -> DataFrame:
     """One page in the order of the unique column ``order_by``, with the total row count.
 
-    Near pages are a top-k. A deep page would keep every row before it in that top-k, so
-    there the page's keys are found first, on the key column alone: rows are counted per
-    key range, and only the ranges the page touches are ranked.
+    The page's keys are found on the key column alone, then their rows are fetched and
+    sorted: rows are counted per key range, and only the ranges the page touches are ranked.
     """
     if page < 1 or limit < 1:
         raise ValueError("page and limit must be at least 1")
-    start = (page - 1) * limit
     columns = [c for c in PAGE_COLUMNS if c in df.columns]
-    total = df.agg(F.count("*")).scalar()
-    if start + limit <= DEEP_PAGE_ROWS:
-        rows = df.orderBy(order_by).offset(start).limit(limit).select(*columns)
-    else:
-        rows = df.join(F.broadcast(_page_keys(df, order_by, start, limit)), order_by).select(*columns)
-    return rows.withColumn("total", total)
+    keys, total = _page_keys(df, order_by, (page - 1) * limit, limit)
+    return df.join(keys, order_by).select(*columns).orderBy(order_by).withColumn("total", F.lit(total).cast("long"))
 
 
-def _page_keys(df: DataFrame, key: str, start: int, limit: int) -> DataFrame:
-    """The at most ``limit`` keys on positions ``start`` and after."""
+def _page_keys(df: DataFrame, key: str, start: int, limit: int) -> tuple[DataFrame, int]:
+    """The at most ``limit`` keys on positions ``start`` and after, stored, and the number of rows."""
     from feedlake.session import materialize
 
     keys = materialize(df.select(key).repartitionByRange(key).withColumn("_slot", F.spark_partition_id()))
@@ -135,10 +128,10 @@ def _page_keys(df: DataFrame, key: str, start: int, limit: int) -> DataFrame:
         offsets[slot] = seen
         seen += size
     if not touched:
-        return keys.select(key).limit(0)
+        return keys.select(key).limit(0), before
     base = F.create_map(*[F.lit(v) for s in touched for v in (s, offsets[s])])
     position = F.element_at(base, F.col("_slot")) + F.col("_at") - 1
-    return ranked.where((position >= start) & (position < start + limit)).select(key)
+    return materialize(ranked.where((position >= start) & (position < start + limit)).select(key)), before
 
 
 def paginate_after(df: DataFrame, last_key, limit: int = 10, order_by: str = "id") -> DataFrame:

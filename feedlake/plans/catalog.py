@@ -13,14 +13,14 @@ from feedlake.functions.ids import article_id
 from feedlake.functions.masking import mask_sensitive
 from feedlake.functions.responses import extract_completion
 from feedlake.functions.timestamps import iso_text, parse_iso
-from feedlake.operators import dedup, merge, monitoring as mon, render, tables
+from feedlake.operators import dedup, enrich, merge, monitoring as mon, render, tables
 from feedlake.operators.analysis import add_agent_signals, analyze
 from feedlake.operators.enrich import enrich_with_providers
 from feedlake.operators.sources import update_source_stats
 from feedlake.operators.throttle import throttle
 from feedlake.plans import jobs, stages
 from feedlake.session import checkpoint_dir, ship
-from feedlake.sources import feeds
+from feedlake.sources import feeds, sinks
 from feedlake.sources.sinks import write_event_log
 from feedlake.sources.stores import read_event_log
 from feedlake.streaming import rollups
@@ -39,6 +39,10 @@ WEIGHTS = {"tionst": 0.3, "quer": 0.5, "thanea": 0.4, "enlich": 0.3, "queeux": 0
 KEYWORDS = {"ai": ["ai", "llm"], "tech": ["thanea", "python"], "news": ["release", "attion"]}
 
 
+def _edited(text: str = "text") -> Column:
+    return X.render_template("Edited: {text}", {"text": text})
+
+
 # --- ingestion, duplicates, merging ------------------------------------------------
 
 
@@ -154,20 +158,23 @@ def render_template(spark, sf):
 
 
 def prefix_templates(spark, sf):
+    """Two templates of the caller's own."""
     return T.read_table(spark, sf, "conversations").select(
-        "conv_id", "turn", X.prefix_content("text").alias("prefixed"), X.prefix_prompt("text").alias("processed")
+        "conv_id", "turn", _edited().alias("prefixed"), X.render_template("Turn {turn}: {text}", {"turn": F.col("turn").cast("string"), "text": "text"}).alias("processed")
     )
 
 
 def summary_template(spark, sf):
+    """The first line over the whole text, by a template of the caller's own."""
+    title = F.substring_index("text", "\n", 1)
     return T.documents(spark, sf).select(
-        "doc_id", X.summary_template(F.substring_index("text", "\n", 1), "text").alias("summary")
+        "doc_id", X.render_template("About {title}\n{content}", {"title": title, "content": "text"}).alias("summary")
     )
 
 
 def rewrite_fallback(spark, sf):
     """Assistant turns answer; every other turn counts as a failed rewrite of its text."""
-    answer = F.when(F.col("role") == "assistant", X.prefix_content("text"))
+    answer = F.when(F.col("role") == "assistant", _edited())
     return T.read_table(spark, sf, "conversations").select(
         "conv_id", "turn", X.rewrite_or_fallback(answer, "text").alias("text"), answer.isNull().alias("used_fallback")
     )
@@ -176,7 +183,8 @@ def rewrite_fallback(spark, sf):
 def header_and_tags(spark, sf):
     tags = X.tag_keywords("title", "content", KEYWORDS)
     tagged = T.stored_articles(spark, sf).withColumn("tags", tags)
-    headed = tagged.withColumn("rewritten_content", X.language_header("rewritten_content", "en"))
+    text = F.col("rewritten_content")
+    headed = tagged.withColumn("rewritten_content", F.when(X.is_filled(text), X.render_template("EN\n{text}", {"text": text})).otherwise(text))
     return headed.select(
         "id", F.array_join("tags", ",").alias("tags"), X.append_tags("rewritten_content", "tags").alias("rewritten_content")
     )
@@ -565,8 +573,8 @@ def content_stages(spark, sf):
     )
     steps = [
         stages.sanitize_stage(),
-        stages.rewrite_stage(X.prefix_content("content")),
-        stages.translate_stage("en"),
+        stages.rewrite_stage(_edited("content")),
+        stages.translate_stage(X.render_template("EN\n{text}", {"text": "rewritten_content"})),
         stages.analysis_stage(positive=POSITIVE, negative=NEGATIVE, weights=WEIGHTS),
         stages.tagging_stage(KEYWORDS),
     ]
@@ -605,6 +613,49 @@ def json_feed_items(spark, sf):
     return read.select(*[F.col(f"i.{p}").alias(p) for p in parts], F.size("i.published_outputs").alias("n_outputs"))
 
 
+def json_feed_files(spark, sf):
+    """The published feed of all articles, read back from its files."""
+    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    n = sinks.write_json_feed(T.stored_articles(spark, sf), path, "2024-06-01T00:00:00+00:00")
+    read = sinks.read_json_feed(spark, path).select(F.from_json("item", "id STRING, title STRING, content STRING, published_at STRING").alias("i"))
+    return read.select("i.*", F.lit(n).cast("long").alias("n_articles"))
+
+
+def rss_feed_files(spark, sf):
+    """The RSS feed of all articles, read back from its files."""
+    path = f"{checkpoint_dir(spark)}/rss-{uuid.uuid4().hex}"
+    n = sinks.write_rss_feed(T.stored_articles(spark, sf), path, "News", "https://example.org", "All articles", "now")
+    return sinks.read_rss_feed(spark, path).withColumn("n_articles", F.lit(n).cast("long"))
+
+
+def fan_out_targets(spark, sf):
+    """Articles handed to two feeds and a failing target; what the feeds hold is read back."""
+    base = f"{checkpoint_dir(spark)}/fan-{uuid.uuid4().hex}"
+
+    def failing(df):
+        raise OSError("no space")
+
+    targets = {
+        "full": lambda df: sinks.write_json_feed(df, f"{base}/full", "now"),
+        "broken": failing,
+        "done": lambda df: sinks.write_json_feed(df.where("rewrite_status = 'completed'"), f"{base}/done", "now"),
+    }
+    answers = sinks.fan_out(T.stored_articles(spark, sf), targets)
+    held = None
+    for name in ("full", "done"):
+        ids = sinks.read_json_feed(spark, f"{base}/{name}").select(F.lit(name).alias("target"), F.get_json_object("item", "$.id").alias("id"))
+        held = ids if held is None else held.unionByName(ids)
+    return answers.join(held, "target", "left").select("target", "ok", "error", "id")
+
+
+def rewrite_with_fallback(spark, sf):
+    """Turns rewritten by two providers in order; where both fail the marked original stays."""
+    turns = T.spread(T.read_table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id")
+    asked = turns.withColumn("question", F.col("text")).withColumnRenamed("text", "content")
+    done = enrich.rewrite_with_fallback(asked, "question", "content", {"terse": _terse, "patient": _patient}, retries=2, delay=0.0)
+    return done.select("conv_id", "turn", "rewritten_content", "used_fallback")
+
+
 def rss_items(spark, sf):
     return render.rss_fields(T.stored_articles(spark, sf))
 
@@ -639,7 +690,7 @@ def _terse():
     def call(text: str) -> str:
         if len(text) > 300:
             raise ValueError("too long")
-        return "terse: " + text[:20]
+        return "terse: " + text
 
     return call
 
@@ -759,7 +810,8 @@ QUERIES: dict[str, Query] = {
         evolve_schema, valid_sessions, authorize_requests, check_unique, parse_timestamps,
         metric_counters, metric_gauges, timing_summary, error_summary, event_log, event_rollup_hourly, job_runs,
         dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
-        content_stages, publish_outputs, json_feed_items, rss_items, channel_messages, fetch_and_process,
+        content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
+        rewrite_with_fallback, channel_messages, fetch_and_process,
         enrich_failover, stage_isolation, feed_files, event_log_round_trip, dedup_stream, event_rollup_stream,
     )
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from feedlake.functions.text import prefix_prompt, prompt
+from feedlake.functions.text import prompt
 from feedlake.operators.dedup import group_duplicates
 from feedlake.operators.enrich import ProviderFactory, rewrite_with_fallback
 from feedlake.operators.merge import clean_items, merge_combine, winners
@@ -29,8 +29,8 @@ class JobResult:
 
 
 def template_rewrite(df: DataFrame) -> DataFrame:
-    """Offline rewrite: the prompt behind a prefix. Never fails."""
-    text = prefix_prompt(prompt("title", "content"))
+    """Offline rewrite: title and content by the prompt template. Never fails."""
+    text = prompt("title", "content")
     return df.withColumns({"rewritten_content": text, "rewrite_status": F.lit("completed"), "used_fallback": F.lit(False)})
 
 
@@ -69,6 +69,19 @@ def merged_items(raw: DataFrame, strategy: str = "priority", semantics: str = "g
     return merged.withColumn("id", F.when(F.col("part") > 0, later).otherwise(F.col("id"))).drop("part")
 
 
+def _shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of ``schema``: missing ones null, structs as JSON where text is stored."""
+    columns = []
+    for f in schema:
+        if f.name not in df.columns:
+            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+        elif isinstance(f.dataType, T.StringType) and isinstance(df.schema[f.name].dataType, T.StructType):
+            columns.append(F.to_json(f.name).alias(f.name))
+        else:
+            columns.append(F.col(f.name))
+    return df.select(*columns)
+
+
 def fetch_and_process(
     entries: DataFrame,
     sources: DataFrame,
@@ -94,5 +107,5 @@ def fetch_and_process(
     )
     # Written once: a provider must not be asked again for the same article.
     processed = materialize(publish_outputs(rewrite(pending), accepted))
-    stored = upsert_partial(articles, processed.select(*articles.columns), "id")
+    stored = upsert_partial(articles, _shaped(processed, articles.schema), "id")
     return JobResult(stored, processed, update_source_stats(sources, fetch_log))

@@ -177,7 +177,7 @@ CHANNELS = (
     "CASE WHEN rewrite_status = 'completed' THEN concat_ws(',', CASE WHEN length(title) > 100 THEN 'eitaa' END, 'pwa', "
     "CASE WHEN source_id <> 'src3' THEN 'rss' END) ELSE '' END"
 )
-PREFIX = "'[Rewritten (dummy)]: ' || "
+PREFIX = "'Edited: ' || "
 
 
 def tags(title: str, content: str) -> str:
@@ -282,10 +282,8 @@ def _queries() -> dict[str, str]:
     q["sanitize_documents"] = f"SELECT doc_id, {lines('text')} AS content_clean FROM documents"
     q["render_template"] = f"SELECT doc_id, 'Title: ' || {TITLE} || chr(10) || 'Content: ' || text AS prompt FROM documents"
     q["prefix_templates"] = f"""SELECT conv_id, turn, {PREFIX} text AS prefixed,
-      '[Dummy AI] processed prompt: ' || text AS processed FROM conversations"""
-    q["summary_template"] = f"""SELECT doc_id, '[Mock AI Summary]: Summary of ''' || {TITLE} ||
-      ''': This article discusses the key themes of ' || substr(text, 1, 60) || '...' || chr(10) ||
-      '[Mock AI Rewrite]: Optimized version of: ' || text AS summary FROM documents"""
+      'Turn ' || CAST(turn AS VARCHAR) || ': ' || text AS processed FROM conversations"""
+    q["summary_template"] = f"""SELECT doc_id, 'About ' || {TITLE} || chr(10) || text AS summary FROM documents"""
     q["rewrite_fallback"] = f"""SELECT conv_id, turn,
       CASE WHEN role = 'assistant' THEN {PREFIX} text ELSE '[Rewritten Failed - Fallback]: ' || text END AS text,
       role <> 'assistant' AS used_fallback FROM conversations"""
@@ -293,7 +291,7 @@ def _queries() -> dict[str, str]:
       SELECT id, array_to_string(t, ',') AS tags,
              CASE WHEN headed <> '' AND len(t) > 0 THEN headed || chr(10) || chr(10) || 'Tags: #' || array_to_string(t, ' #') ELSE headed END AS rewritten_content
       FROM (SELECT id, {tags('title', 'content')} AS t,
-                   CASE WHEN rewritten_content <> '' THEN '[Translated to EN]:' || chr(10) || rewritten_content ELSE rewritten_content END AS headed
+                   CASE WHEN rewritten_content <> '' THEN 'EN' || chr(10) || rewritten_content ELSE rewritten_content END AS headed
             FROM articles)"""
     q["extract_completions"] = f"""SELECT conv_id, turn,
       CASE role WHEN 'assistant' THEN text WHEN 'user' THEN {strip('text')} END AS text,
@@ -458,7 +456,7 @@ def _queries() -> dict[str, str]:
       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) - 1 AS n_prev FROM events"""
 
     clean_title, clean_content = one_line(no_tags("title")), lines("content")
-    headed = f"'[Translated to EN]:' || chr(10) || {PREFIX} c"
+    headed = f"'EN' || chr(10) || {PREFIX} c"
     q["content_stages"] = f"""WITH {ARTICLES},
       cleaned AS (SELECT id, {clean_title} AS t, {clean_content} AS c FROM articles),
       headed AS (SELECT id, t, c, {headed} AS r, {tags('t', 'c')} AS g FROM cleaned),
@@ -475,6 +473,17 @@ def _queries() -> dict[str, str]:
     shown = "coalesce(rewritten_content, content, '')"
     q["json_feed_items"] = f"""WITH {ARTICLES} SELECT id, source_id, title, {shown} AS content, original_url, original_url AS url,
       {iso('published_at')} AS published_at, rewrite_status, CASE WHEN published_outputs = '' THEN 0 ELSE 2 END AS n_outputs FROM articles"""
+    q["json_feed_files"] = f"""WITH {ARTICLES} SELECT id, title, {shown} AS content, {iso('published_at')} AS published_at,
+      (SELECT count(*) FROM articles) AS n_articles FROM articles"""
+    q["rss_feed_files"] = f"""WITH {ARTICLES} SELECT title, original_url AS link, id AS guid, {shown} AS description,
+      strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') AS "pubDate", (SELECT count(*) FROM articles) AS n_articles FROM articles"""
+    q["fan_out_targets"] = f"""WITH {ARTICLES} SELECT 'full' AS target, true AS ok, NULL AS error, id FROM articles
+      UNION ALL SELECT 'done', true, NULL, id FROM articles WHERE rewrite_status = 'completed'
+      UNION ALL SELECT 'broken', false, 'OSError: no space', NULL"""
+    q["rewrite_with_fallback"] = """SELECT conv_id, turn,
+      CASE WHEN length(text) <= 300 THEN 'terse: ' || text WHEN contains(text, '.') THEN 'patient: ' || text
+           ELSE '[Rewritten Failed - Fallback]: ' || text END AS rewritten_content,
+      length(text) > 300 AND NOT contains(text, '.') AS used_fallback FROM conversations"""
     q["rss_items"] = f"""WITH {ARTICLES} SELECT title, original_url AS link, id AS guid, {shown} AS description,
       strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') AS "pubDate" FROM articles"""
     encoded = "replace(url_encode(content), '%20', '+')"
@@ -483,7 +492,7 @@ def _queries() -> dict[str, str]:
       stored AS (SELECT substr(sha256(original_url), 1, 16) AS id, * EXCLUDE (id) FROM articles),
       merged AS (SELECT * FROM ranked WHERE place = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY group_id) = 1),
       todo AS (SELECT *, 'completed' AS rewrite_status,
-                 '[Dummy AI] processed prompt: Title: ' || title || chr(10) || 'Content: ' || content AS rewritten_content
+                 'Title: ' || title || chr(10) || 'Content: ' || content AS rewritten_content
                FROM merged WHERE id NOT IN (SELECT id FROM stored WHERE rewrite_status = 'completed')),
       done AS (SELECT id, source_id, title, rewrite_status, rewritten_content, url AS original_url, {CHANNELS} AS published_outputs FROM todo)
       SELECT s.id, s.source_id, coalesce(d.title, s.title) AS title, coalesce(d.rewrite_status, s.rewrite_status) AS rewrite_status,
@@ -494,7 +503,7 @@ def _queries() -> dict[str, str]:
       SELECT id, source_id, title, rewrite_status, rewritten_content, original_url, published_outputs FROM done WHERE id NOT IN (SELECT id FROM stored)"""
 
     q["enrich_failover"] = """SELECT conv_id, turn,
-      CASE WHEN length(text) <= 300 THEN 'terse: ' || substr(text, 1, 20) WHEN contains(text, '.') THEN 'patient: ' || text ELSE text END AS text,
+      CASE WHEN length(text) <= 300 THEN 'terse: ' || text WHEN contains(text, '.') THEN 'patient: ' || text ELSE text END AS text,
       CASE WHEN length(text) <= 300 THEN 'terse' WHEN contains(text, '.') THEN 'patient' END AS provider_used,
       CASE WHEN length(text) <= 300 THEN 1 WHEN contains(text, '.') THEN 3 ELSE 4 END AS attempts,
       CASE WHEN length(text) <= 300 THEN '' WHEN contains(text, '.') THEN 'terse: too long' ELSE 'terse: too long; patient: no sentence' END AS errors

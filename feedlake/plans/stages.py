@@ -11,6 +11,7 @@ from feedlake.functions import lexicons as lex, text as X
 from feedlake.operators.analysis import analyze
 from feedlake.operators.enrich import ProviderFactory, enrich_with_providers
 
+# Stage names, as they stand in results, are part of the format.
 FAILURE = "struct<stage:string,error:string,critical:boolean>"
 
 
@@ -97,8 +98,10 @@ def provider_stage(providers: Mapping[str, ProviderFactory], critical: bool = Tr
     )
 
 
-def translate_stage(lang: str = "en", critical: bool = False) -> Stage:
-    return Stage("TranslationStage", {"rewritten_content": X.language_header("rewritten_content", lang)}, critical)
+def translate_stage(translation: Column, critical: bool = False) -> Stage:
+    """``translation`` replaces the rewritten text; empty and null texts stay as they are."""
+    text = F.when(X.is_filled(F.col("rewritten_content")), translation).otherwise(F.col("rewritten_content"))
+    return Stage("TranslationStage", {"rewritten_content": text}, critical)
 
 
 def analysis_stage(enabled: bool = True, critical: bool = False, **lexicons) -> Stage:
@@ -119,9 +122,11 @@ def tagging_stage(keywords=lex.TAG_KEYWORDS, critical: bool = False) -> Stage:
     return Stage("MetadataTaggingStage", {"rewritten_content": X.append_tags("rewritten_content", tags)}, critical)
 
 
-def default_stages(rewritten: Column | None = None, lang: str = "en", analysis: bool = True) -> list[Stage]:
-    text = X.prefix_content("content") if rewritten is None else rewritten
-    return [sanitize_stage(), rewrite_stage(text), translate_stage(lang), analysis_stage(analysis), tagging_stage()]
+def default_stages(rewritten: Column | None = None, translation: Column | None = None, analysis: bool = True) -> list[Stage]:
+    """All stages; without a rewrite the content is taken, without a translation that stage is left out."""
+    steps = [sanitize_stage(), rewrite_stage(F.col("content") if rewritten is None else rewritten)]
+    steps += [] if translation is None else [translate_stage(translation)]
+    return [*steps, analysis_stage(analysis), tagging_stage()]
 
 
 def process_articles(

@@ -1,16 +1,15 @@
-"""Versioned tables, event logs and whole-file feeds."""
+"""Versioned tables, event logs and published feeds."""
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Mapping
-from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from feedlake.operators.monitoring import event_log
 from feedlake.operators.render import json_items, rss_items
+from feedlake.session import materialize
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -62,62 +61,75 @@ def write_event_log(events: DataFrame, path: str) -> None:
     event_log(events).write.mode("append").json(path)
 
 
-def replace_file(spark: SparkSession, path: str, data: bytes) -> None:
-    """Replace one file as a whole: write beside it, then rename over it."""
-    target, fs = _filesystem(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
-    stream = fs.create(part)
-    stream.write(bytearray(data))
-    stream.close()
-    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    flags = spark.sparkContext._gateway.new_array(options, 1)
-    flags[0] = options.OVERWRITE
-    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-        target.toUri(), spark._jsc.hadoopConfiguration()
-    ).rename(part, target, flags)
-
-
 def newest(df: DataFrame, n: int) -> DataFrame:
-    """The feed holds the newest ``n`` articles; a feed file is a bounded report."""
+    """The newest ``n`` articles, for callers that want a bounded feed."""
     return df.orderBy(F.col("published_at").desc(), F.col("id")).limit(n)
 
 
-def write_json_feed(df: DataFrame, path: str, generated_at: str, n: int = 100) -> int:
-    """The JSON feed document of the newest ``n`` articles, replaced as a whole."""
-    items = [json.loads(r["item"]) for r in json_items(newest(df, n)).collect()]
-    document = {"version": "1.0", "generated_at": generated_at, "count": len(items), "items": items}
-    text = json.dumps(document, ensure_ascii=False, indent=2) + "\n"
-    replace_file(df.sparkSession, path, text.encode("utf-8"))
-    return len(items)
+def _write_feed(items: DataFrame, path: str, head: Mapping[str, str]) -> int:
+    """Items as text part files, then a manifest that names their folder and number.
+
+    Tasks write the parts and nothing passes through the driver. Readers go by the newest
+    manifest, so they see the old feed or the new one as a whole.
+    """
+    spark = items.sparkSession
+    counted = Observation()
+    folder = f"items-{uuid.uuid4().hex}"
+    items.select("item").observe(counted, F.count("item").alias("n")).write.text(f"{path}/{folder}")
+    manifest = {**head, "count": int(counted.get["n"]), "items": folder}
+    schema = ", ".join(f"{k} {'BIGINT' if k == 'count' else 'STRING'}" for k in manifest)
+    write_next(spark.createDataFrame([tuple(manifest.values())], schema), f"{path}/manifest")
+    return manifest["count"]
+
+
+def write_json_feed(df: DataFrame, path: str, generated_at: str) -> int:
+    """All articles as JSON items, one on a line, with a manifest (version, generated_at, count)."""
+    return _write_feed(json_items(df), path, {"version": "1.0", "generated_at": generated_at})
 
 
 def write_rss_feed(
-    df: DataFrame, path: str, title: str, link: str, description: str, built_at: str, n: int = 100, now: Column | None = None
+    df: DataFrame, path: str, title: str, link: str, description: str, built_at: str, now: Column | None = None
 ) -> int:
-    """The RSS document of the newest ``n`` articles, replaced as a whole."""
-    items = [r["item"] for r in rss_items(newest(df, n), now).collect()]
-    head = [("title", title), ("link", link), ("description", description), ("lastBuildDate", built_at)]
-    lines = ["<?xml version='1.0' encoding='utf-8'?>", '<rss version="2.0">', "<channel>"]
-    lines += [f"<{tag}>{escape(value)}</{tag}>" for tag, value in head]
-    text = "\n".join([*lines, *items, "</channel>", "</rss>"]) + "\n"
-    replace_file(df.sparkSession, path, text.encode("utf-8"))
-    return len(items)
+    """All articles as ``<item>`` elements, with a manifest that holds the channel's own fields."""
+    head = {"title": title, "link": link, "description": description, "lastBuildDate": built_at}
+    return _write_feed(rss_items(df, now), path, head)
+
+
+def read_feed_manifest(spark: SparkSession, path: str) -> dict:
+    return read_latest(spark, f"{path}/manifest").first().asDict()
+
+
+def read_json_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The items of the newest feed, as JSON text in ``item``."""
+    return spark.read.text(f"{path}/{read_feed_manifest(spark, path)['items']}").withColumnRenamed("value", "item")
+
+
+def read_rss_feed(spark: SparkSession, path: str) -> DataFrame:
+    """The items of the newest feed: title, link, guid, description, pubDate."""
+    parts = f"{path}/{read_feed_manifest(spark, path)['items']}"
+    end = "</item>"
+    schema = "title STRING, link STRING, guid STRUCT<_VALUE: STRING, _isPermaLink: STRING>, description STRING, pubDate STRING"
+    # Items run over several lines; in texts the end tag is escaped, so it separates items.
+    rows = spark.read.option("lineSep", f"{end}\n").text(parts)
+    item = F.from_xml(F.concat("value", F.lit(end)), schema, {"rowTag": "item", "ignoreSurroundingSpaces": "false"})
+    read = rows.select(item.alias("i")).select("i.*")
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in (
+        ("title", "title"), ("link", "link"), ("guid._VALUE", "guid"), ("description", "description"))]
+    return read.select(*texts, "pubDate")
 
 
 def fan_out(df: DataFrame, targets: Mapping[str, Callable[[DataFrame], object]]) -> DataFrame:
     """Hand the same articles to every target; one target's failure does not stop the others.
 
+    The articles are stored once in the shared folder, so every target reads the same rows.
     Returns one row per target: ``target``, ``ok``, ``error``.
     """
-    cached = df.persist()
     rows = []
-    try:
-        for name, write in targets.items():
-            try:
-                write(cached)
-                rows.append((name, True, None))
-            except Exception as error:
-                rows.append((name, False, f"{type(error).__name__}: {error}"))
-    finally:
-        cached.unpersist()
+    stored = materialize(df)
+    for name, write in targets.items():
+        try:
+            write(stored)
+            rows.append((name, True, None))
+        except Exception as error:
+            rows.append((name, False, f"{type(error).__name__}: {error}"))
     return df.sparkSession.createDataFrame(rows, "target STRING, ok BOOLEAN, error STRING")

@@ -13,7 +13,7 @@ from feedlake.sources.sinks import read_latest, write_next
 
 ARTICLE_SCHEMA = (
     "id STRING, source_id STRING, title STRING, content STRING, original_url STRING, published_at TIMESTAMP, "
-    "rewritten_content STRING, rewrite_status STRING, published_outputs ARRAY<STRING>"
+    "rewritten_content STRING, rewrite_status STRING, published_outputs ARRAY<STRING>, pipeline_metadata STRING"
 )
 
 
@@ -29,7 +29,7 @@ def ingest_batch(
     sources_path: str,
     source_of: Callable[[Column], Column] = folder_name,
     rewrite: Rewrite = template_rewrite,
-    keep_versions: int = 3,
+    keep_versions: int | None = None,
     **job,
 ) -> None:
     """Read the tables as of before the batch, run the job, write them as of after it.

@@ -32,14 +32,14 @@ def test_counters_gauges_timings(samples):
 
 def test_errors_and_dashboard(spark, samples):
     errors = spark.createDataFrame(
-        [("fetch", "E1", "first", at(0)), ("fetch", "E2", "last", at(9)), ("store", "E3", "only", at(4))],
+        [("fetch", "E1", "first", at(0)), ("fetch", "E2", "last", at(9)), ("store", "E3", "only", at(4)), (None, "E4", "lost", at(5))],
         "component STRING, type STRING, message STRING, ts TIMESTAMP",
     )
-    got = {r.component: (r.errors_total, r.last_error.message) for r in mon.error_summary(errors).collect()}
-    assert got == {"fetch": (2, "last"), "store": (1, "only"), None: (3, "last")}
+    got = {(r.component, r.is_total): (r.errors_total, r.last_error.message) for r in mon.error_summary(errors).collect()}
+    assert got == {("fetch", False): (2, "last"), ("store", False): (1, "only"), ("unknown", False): (1, "lost"), (None, True): (4, "last")}
     board = mon.dashboard_summary(samples, errors, None).first()
     assert board.status == "ok"
-    assert board.metrics["total_errors"] == 3 and board.metrics["errors_fetch_total"] == 2 and board.metrics["b"] == 7.0
+    assert board.metrics["total_errors"] == 4 and board.metrics["errors_fetch_total"] == 2 and board.metrics["b"] == 7.0
     assert board.metrics["a_executions_total"] == 3
     assert board.error_details["store"].type == "E3"
 

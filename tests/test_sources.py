@@ -110,27 +110,39 @@ def articles(spark):
 
 
 def test_json_feed(spark, articles, tmp_path):
-    path = f"{tmp_path}/feed.json"
+    path = f"{tmp_path}/feed"
     for expected in (2, 0):
         assert sinks.write_json_feed(articles.limit(expected), path, "now") == expected
-        feed = json.loads((tmp_path / "feed.json").read_text(encoding="utf-8"))
-        assert (feed["version"], feed["count"], len(feed["items"])) == ("1.0", expected, expected)
+        manifest = sinks.read_feed_manifest(spark, path)
+        assert (manifest["version"], manifest["count"], manifest["generated_at"]) == ("1.0", expected, "now")
+        items = sorted((json.loads(r["item"]) for r in sinks.read_json_feed(spark, path).collect()), key=lambda i: i["id"])
+        assert len(items) == expected
         if expected:
-            a, b = feed["items"]
+            a, b = items
             assert (a["title"], a["content"], a["url"], a["published_outputs"]) == ("عنوان <&>", "", "http://u", ["pwa"])
             assert (b["content"], b["url"], b["published_outputs"], b["pipeline_metadata"]) == ("original", "", [], {})
-            assert a["published_at"] == "2026-08-12T10:00:00"
+            assert a["published_at"] == "2026-08-12T10:00:00+00:00"
             assert len(a) == 10
 
 
+def test_feeds_hold_every_article(spark, tmp_path):
+    many = spark.range(250).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("2024-01-01").alias("published_at"))
+    assert sinks.write_json_feed(many, f"{tmp_path}/j", "now") == 250
+    assert sinks.write_rss_feed(many, f"{tmp_path}/r", "T", "l", "D", "now") == 250
+    assert sinks.read_json_feed(spark, f"{tmp_path}/j").count() == 250
+    assert sinks.read_rss_feed(spark, f"{tmp_path}/r").select("guid").distinct().count() == 250
+
+
 def test_rss_feed(spark, articles, tmp_path):
-    path = f"{tmp_path}/feed.xml"
+    path = f"{tmp_path}/feed"
     for expected in (2, 0):
         sinks.write_rss_feed(articles.limit(expected), path, "T & t", "http://l", "D", "now")
-        channel = ET.parse(path).getroot().find("channel")
-        assert channel.findtext("title") == "T & t"
-        items = channel.findall("item")
-        assert len(items) == expected
+        manifest = sinks.read_feed_manifest(spark, path)
+        assert (manifest["title"], manifest["link"], manifest["count"]) == ("T & t", "http://l", expected)
+        text = "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "feed" / manifest["items"]).glob("part-*"))
+        items = ET.fromstring(f"<channel>{text}</channel>").findall("item")
+        items.sort(key=lambda i: i.findtext("guid"))
+        assert len(items) == expected == sinks.read_rss_feed(spark, path).count()
         if expected:
             assert items[0].findtext("title") == "عنوان <&>"
             assert items[0].findtext("pubDate") == "Wed, 12 Aug 2026 10:00:00 GMT"
@@ -138,6 +150,25 @@ def test_rss_feed(spark, articles, tmp_path):
             assert items[1].findtext("guid") == "b"
 
 
+def test_dates_as_text_and_other_zones(spark, articles):
+    rows = [("a", "2026-08-12T12:00:00+02:00"), ("b", "soon"), ("c", None)]
+    texts = spark.createDataFrame(rows, "id STRING, published_at STRING").withColumn("title", F.lit("t"))
+    now = F.lit("2026-01-01T00:00:00Z").cast("timestamp")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for session in ("UTC", "Asia/Tehran"):
+        spark.conf.set("spark.sql.session.timeZone", session)
+        try:
+            dates = {r.guid: r.pubDate for r in render.rss_fields(texts, now).collect()}
+            assert dates["a"] == "Wed, 12 Aug 2026 10:00:00 GMT"
+            assert dates["b"] == dates["c"] == "Thu, 01 Jan 2026 00:00:00 GMT"
+            shown = {r.id: r.published_at for r in render.feed_items(texts).collect()}
+            assert shown == {"a": "2026-08-12T10:00:00", "b": None, "c": None}
+            instants = texts.where("id = 'a'").withColumn("published_at", F.to_timestamp("published_at"))
+            assert render.feed_items(instants).first().published_at == "2026-08-12T10:00:00+00:00"
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_newest_bounds_the_feed(articles):
     assert [r.id for r in sinks.newest(articles, 1).collect()] == ["a"]
 

@@ -50,12 +50,20 @@ def by_id(df):
     return {r.id: r for r in df.collect()}
 
 
+def translation():
+    return X.render_template("EN\n{text}", {"text": "rewritten_content"})
+
+
+def edited(name):
+    return X.render_template("Edited: {text}", {"text": name})
+
+
 def test_default_stages(articles):
-    steps = stages.default_stages()
+    steps = stages.default_stages(edited("content"), translation())
     r = by_id(stages.process_articles(articles, steps, F.lit(1.5), F.lit("2024-01-01").cast("timestamp")))["1"]
     assert (r.title, r.content) == ("Great news", "We launch\na new AI tool")
     assert r.rewritten_content == (
-        "[Translated to EN]:\n[Rewritten (dummy)]: We launch\na new AI tool\n\nTags: #ai #news"
+        "EN\nEdited: We launch\na new AI tool\n\nTags: #ai #news"
     )
     assert r.rewrite_status == "completed"
     run = r.pipeline_metadata.pipeline_run
@@ -77,10 +85,10 @@ def test_plan_has_no_exchange_and_no_python(articles):
 
 
 def test_critical_failure_ends_the_article_only(articles):
-    steps = [stages.sanitize_stage(), stages.provider_stage({"p": picky}, retries=1), stages.translate_stage(), stages.tagging_stage()]
+    steps = [stages.sanitize_stage(), stages.provider_stage({"p": picky}, retries=1), stages.translate_stage(translation()), stages.tagging_stage()]
     got = by_id(stages.process_articles(articles, steps))
     ok, failed = got["1"], got["2"]
-    assert (ok.rewrite_status, ok.rewritten_content) == ("completed", "[Translated to EN]:\npicky\n\nTags: #ai #news")
+    assert (ok.rewrite_status, ok.rewritten_content) == ("completed", "EN\npicky\n\nTags: #ai #news")
     assert (failed.rewrite_status, failed.rewritten_content) == ("failed", None)
     run = failed.pipeline_metadata.pipeline_run
     assert run.stages_executed == ["SanitizationStage", "RewriteStage"]
@@ -92,7 +100,7 @@ def test_non_critical_failure_falls_back_and_goes_on(articles):
     steps = [
         Stage("Check", {"title": F.upper("title")}, critical=False, error=bad, fallback={"title": F.lit("fallback")}),
         Stage("Keep", {"content": F.lit("changed")}, critical=False, error=bad),
-        stages.rewrite_stage(X.prefix_content("content", "[P]")),
+        stages.rewrite_stage(edited("content")),
     ]
     got = by_id(stages.process_articles(articles, steps))
     assert (got["2"].title, got["2"].content, got["2"].rewrite_status) == ("fallback", "down", "completed")
@@ -162,7 +170,7 @@ def test_job(fetched):
     got = {r.original_url: r for r in result.articles.collect()}
     assert set(got) == {"http://x", "http://y", "http://z"}
     assert (got["http://x"].content, got["http://x"].rewrite_status) == ("high", "completed")
-    assert got["http://x"].rewritten_content == "[Dummy AI] processed prompt: Title: same \nContent: high"
+    assert got["http://x"].rewritten_content == "Title: same \nContent: high"
     assert got["http://x"].published_outputs == ["eitaa", "pwa", "rss"]
     assert got["http://z"].title == "kept"
     stats = {r.id: (r.fetch_count, r.reliability_score, r.last_error) for r in result.sources.collect()}
@@ -183,7 +191,7 @@ def test_job_with_providers_and_with_stages(fetched):
     got = {r.original_url: r for r in jobs.fetch_and_process(entries, sources, done, log, at(), rewrite).processed.collect()}
     assert got["http://y"].used_fallback and got["http://y"].rewritten_content == "[Rewritten Failed - Fallback]: down"
     assert not got["http://x"].used_fallback
-    staged = jobs.stages_rewrite([stages.provider_stage({"p": picky}, retries=1), stages.translate_stage()])
+    staged = jobs.stages_rewrite([stages.provider_stage({"p": picky}, retries=1), stages.translate_stage(translation())])
     got = {r.original_url: r for r in jobs.fetch_and_process(entries, sources, done, log, at(), staged).processed.collect()}
     assert (got["http://y"].rewrite_status, got["http://y"].published_outputs) == ("failed", [])
-    assert got["http://x"].rewritten_content == "[Translated to EN]:\npicky"
+    assert got["http://x"].rewritten_content == "EN\npicky"

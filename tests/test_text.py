@@ -62,16 +62,12 @@ def test_ids(spark):
 
 def test_templates(spark):
     row = spark.createDataFrame([("T", "C" * 70, None)], "t STRING, c STRING, n STRING").select(
-        X.prompt("t", "c"), X.prompt("t", "n"), X.prefix_content("c", "[P]"), X.prefix_prompt("t"),
-        X.summary_template("t", "c"), X.language_header("t", "fa"), X.language_header("n"), X.language_header(F.lit("")),
+        X.prompt("t", "c"), X.prompt("t", "n"), X.render_template("[P]: {c} {t}{c}", {"c": "c", "t": "t"}),
         X.prompt_template({"a": "<{t}>"}, "a", {"t": "t"}), X.prompt_template({}, "b", {}),
         X.rewrite_or_fallback("n", "t"), X.rewrite_or_fallback("t", "c"),
     ).first()
     assert list(row) == [
-        "Title: T\nContent: " + "C" * 70, "Title: T\nContent: ", "[P]: " + "C" * 70, "[Dummy AI] processed prompt: T",
-        "[Mock AI Summary]: Summary of 'T': This article discusses the key themes of " + "C" * 60
-        + "...\n[Mock AI Rewrite]: Optimized version of: " + "C" * 70,
-        "[Translated to FA]:\nT", None, "", "<T>", "", "[Rewritten Failed - Fallback]: T", "T",
+        "Title: T\nContent: " + "C" * 70, "Title: T\nContent: ", "[P]: " + "C" * 70 + " T" + "C" * 70, "<T>", "", "[Rewritten Failed - Fallback]: T", "T",
     ]
 
 
