@@ -10,7 +10,6 @@ from feedlake.session import materialize
 
 CLEAN_COLUMNS = ["id", "source_id", "title", "content", "url", "published_at"]
 RANKS = ["priority_rank", "weight_rank", "reliability_rank"]
-MAX_PART_BYTES = 64 * 1024 * 1024
 
 
 def rank_columns() -> list[Column]:
@@ -57,102 +56,61 @@ def _contributions(items: DataFrame, groups: DataFrame, order: str) -> DataFrame
         order,
         *rank_columns(),
         F.when(trimmed != "", F.unhex(F.sha2(trimmed, 256))).alias("content_key"),
-        F.octet_length(text_or_empty("content")).cast("long").alias("bytes"),
     ).join(groups, order)
     first = W.partitionBy("group_id", "content_key").orderBy(*RANKS, order)
     return (
         narrow.withColumn("place", F.row_number().over(first))
         .where("place = 1")
-        .select("group_id", order, *RANKS, "bytes", F.col("content_key").isNull().alias("blank"))
+        .select("group_id", order, *RANKS, F.col("content_key").isNull().alias("blank"))
     )
 
 
-def merge_combine(
-    items: DataFrame, groups: DataFrame, order: str = "arrival", max_part_bytes: int = MAX_PART_BYTES
-) -> DataFrame:
-    """Winner of each group with the other members' distinct contents appended in rank order.
+def combine_pieces(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
+    """Combined text of every group as pieces: ``group_id``, ``position`` from 0, ``piece``, ``order``.
 
-    A merged text longer than ``max_part_bytes`` comes as several rows, numbered by
-    ``part`` from 0: concatenated in that order they are the text. Every other group has
-    the single part 0.
+    The winner's content comes first, then the other members' distinct contents in rank
+    order; joined by position they are the text. Members are range-partitioned by group and
+    rank, so a group of any size spreads over tasks; what a range needs to know of the ones
+    before it is one row per group and range. Contents enter in the last join.
     """
-    kept = materialize(_contributions(items, groups, order))
-    sizes = kept.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    tagged = kept.join(sizes, "group_id")
-    wide = items.select(order, *CLEAN_COLUMNS, "source_name").join(tagged, order)
-    large = (F.col("n") > 1) & (F.col("total") > max_part_bytes)
-
-    member = F.struct(*RANKS, order, *CLEAN_COLUMNS, "source_name", "blank")
-    # Both branches carry whole members, so they share one shuffle of the texts.
-    single = wide.where("n = 1").select(F.array(member).alias("members"))
-    several = wide.where((F.col("n") > 1) & ~large).groupBy("group_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
-    result = _fold(single.unionByName(several.select("members")))
-    if not sizes.where(large).isEmpty():
-        result = result.unionByName(_assemble_parts(wide.where(large), order, max_part_bytes))
-    return result
-
-
-def _fold(groups: DataFrame) -> DataFrame:
-    """Members in rank order to one row: the first with the others' contents appended."""
-    first = F.get("members", F.lit(0))
-    others = F.filter(F.slice("members", 2, F.greatest(F.size("members") - 1, F.lit(0))), lambda m: ~m["blank"])
-    tail = F.transform(others, lambda m: F.concat(separator(m["source_name"]), m["content"]))
-    content = F.concat(text_or_empty(first["content"]), F.array_join(tail, ""))
-    return groups.select(
-        *[content.alias(c) if c == "content" else first[c].alias(c) for c in CLEAN_COLUMNS], F.lit(0).alias("part")
+    kept = _contributions(items, groups, order)
+    ranged = materialize(
+        kept.repartitionByRange("group_id", *RANKS, order).withColumn("slot", F.spark_partition_id())
+    )
+    leads = ranged.groupBy("group_id").agg(F.min(F.struct(*RANKS, order)).alias("lead"))
+    leads = leads.select("group_id", F.col(f"lead.{order}").alias("lead"))
+    used = ranged.join(leads, "group_id").withColumn("is_lead", F.col(order) == F.col("lead"))
+    used = used.where(F.col("is_lead") | ~F.col("blank")).select("group_id", "slot", *RANKS, order, "is_lead")
+    earlier = W.partitionBy("group_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    before = used.groupBy("group_id", "slot").agg(F.count("*").alias("n")).select(
+        "group_id", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    inside = W.partitionBy("group_id", "slot").orderBy(*RANKS, order)
+    placed = used.withColumn("within", F.row_number().over(inside) - 1).join(before, ["group_id", "slot"])
+    texts = items.select(order, "content", "source_name")
+    extra = F.concat(separator(F.col("source_name")), F.col("content"))
+    return placed.join(texts, order).select(
+        "group_id", (F.col("before") + F.col("within")).alias("position"),
+        F.when(F.col("is_lead"), text_or_empty("content")).otherwise(extra).alias("piece"), order,
     )
 
 
-def _assemble_parts(rows: DataFrame, order: str, max_part_bytes: int) -> DataFrame:
-    """The same text for oversized groups, as numbered parts.
+def fold_pieces(pieces: DataFrame) -> DataFrame:
+    """Each group's pieces joined to one string: ``group_id``, ``content``.
 
-    Members are range-partitioned by group and rank, so one group spreads over many
-    tasks; what a task needs to know of the others is one row per group and range.
+    A separate step, for groups whose text is known to fit into a row.
     """
-    sort_keys = ["group_id", *RANKS, order]
-    ranged = rows.repartitionByRange(*sort_keys).withColumn("slot", F.spark_partition_id())
-    ranged = materialize(ranged)
-    inside = W.partitionBy("group_id", "slot").orderBy(*RANKS, order)
-    placed = ranged.withColumn("seen", F.sum("bytes").over(inside.rowsBetween(W.unboundedPreceding, -1))).withColumn(
-        "chunk", F.floor(F.coalesce("seen", F.lit(0)) / F.lit(max_part_bytes)).cast("long")
-    )
-    pieces = ranged.groupBy("group_id", "slot").agg(
-        F.sum("bytes").alias("slot_bytes"),
-        F.min(F.struct(*RANKS, order)).alias("lead"),
-    )
-    leads = pieces.groupBy("group_id").agg(F.min("lead").alias("lead")).select("group_id", F.col(f"lead.{order}").alias("lead"))
-    is_lead = F.col(order) == F.col("lead")
-    text = (
-        placed.join(leads, "group_id")
-        .where(is_lead | ~F.col("blank"))
-        .select(
-            "group_id", "slot", "chunk", *RANKS, order,
-            F.when(is_lead, text_or_empty("content"))
-            .otherwise(F.concat(separator(F.col("source_name")), F.col("content")))
-            .alias("piece"),
-        )
-    )
-    parts = text.groupBy("group_id", "slot", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(*RANKS, order, "piece"))).alias("pieces")
-    )
-    # Part numbers: one small row per part.
-    numbering = W.partitionBy("group_id").orderBy("slot", "chunk")
-    numbers = (
-        text.groupBy("group_id", "slot", "chunk").agg(F.lit(1).alias("one"))
-        .select("group_id", "slot", "chunk", (F.row_number().over(numbering) - 1).alias("part"))
-    )
-    lead_rows = rows.join(leads, "group_id").where(is_lead).select("group_id", *[c for c in CLEAN_COLUMNS if c != "content"])
-    return (
-        parts.join(numbers, ["group_id", "slot", "chunk"])
-        .join(lead_rows, "group_id")
-        .select(
-            *[
-                F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("content") if c == "content" else F.col(c)
-                for c in CLEAN_COLUMNS
-            ],
-            "part",
-        )
-    )
+    ordered = F.sort_array(F.collect_list(F.struct("position", "piece")))
+    folded = pieces.groupBy("group_id").agg(ordered.alias("pieces"))
+    return folded.select("group_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("content"))
+
+
+def merge_combine(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
+    """One article per group: the winner, with the other members' distinct contents appended."""
+    pieces = materialize(combine_pieces(items, groups, order))
+    heads = pieces.where("position = 0").select("group_id", order)
+    others = items.select(order, *[c for c in CLEAN_COLUMNS if c != "content"])
+    return heads.join(fold_pieces(pieces), "group_id").join(others, order).select(*CLEAN_COLUMNS)
 
 
 def aggregate_sources(

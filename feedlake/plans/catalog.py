@@ -58,6 +58,12 @@ def aggregate_sources_combine(spark, sf):
     return merge.aggregate_sources(T.raw_items(spark, sf), "combine", "greedy")
 
 
+def combined_pieces(spark, sf):
+    """The combined texts in pieces, as a group of any size has them."""
+    items = T.raw_items(spark, sf)
+    return merge.combine_pieces(items, dedup.group_duplicates(items)).select("group_id", "position", "piece")
+
+
 def _by_title(spark, sf):
     """Items and their groups when only titles count."""
     items = T.raw_items(spark, sf)
@@ -73,7 +79,7 @@ def merge_by_title_priority(spark, sf):
 def merge_by_title_combine(spark, sf):
     items, groups = _by_title(spark, sf)
     merged = merge.merge_combine(items, groups)
-    return merged.select(X.normalize_title("title").alias("group_key"), "id", "source_id", "content", "part")
+    return merged.select(X.normalize_title("title").alias("group_key"), "id", "source_id", "content")
 
 
 def duplicate_groups(spark, sf):
@@ -798,7 +804,7 @@ def event_rollup_stream(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        aggregate_sources_priority, aggregate_sources_transitive, aggregate_sources_combine,
+        aggregate_sources_priority, aggregate_sources_transitive, aggregate_sources_combine, combined_pieces,
         merge_by_title_priority, merge_by_title_combine, duplicate_groups, duplicate_report, dedup_exact,
         article_ids, enabled_sources, raw_items, clean_items, source_stats, feed_xml_entries,
         normalize_text, sanitize_pages, sanitize_documents, render_template, prefix_templates, summary_template,

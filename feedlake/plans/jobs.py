@@ -54,8 +54,7 @@ def merged_items(raw: DataFrame, strategy: str = "priority", semantics: str = "g
     """Merged items with unique ids.
 
     Greedy grouping can leave two groups with the same id; the older group is stored first
-    and the other then counts as already processed, so it is dropped. Later parts of a
-    merged text too long for one row get the id of the first with their number.
+    and the other then counts as already processed, so it is dropped.
     """
     groups = group_duplicates(raw, semantics, **grouping)
     best = winners(raw, groups).join(raw.select("arrival", "id"), "arrival")
@@ -64,9 +63,7 @@ def merged_items(raw: DataFrame, strategy: str = "priority", semantics: str = "g
     if strategy != "combine":
         return clean_items(raw.join(chosen.select("arrival"), "arrival"))
     kept = groups.join(chosen.select("group_id"), "group_id", "left_semi")
-    merged = merge_combine(raw, kept)
-    later = F.concat("id", F.lit("#"), F.col("part").cast("string"))
-    return merged.withColumn("id", F.when(F.col("part") > 0, later).otherwise(F.col("id"))).drop("part")
+    return merge_combine(raw, kept)
 
 
 def _shaped(df: DataFrame, schema: T.StructType) -> DataFrame:

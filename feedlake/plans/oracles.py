@@ -236,15 +236,19 @@ def _queries() -> dict[str, str]:
     q["aggregate_sources_priority"] = f"WITH RECURSIVE {GREEDY}, {RANKED} SELECT {clean} FROM ranked WHERE place = 1"
     q["aggregate_sources_transitive"] = f"WITH RECURSIVE {TRANSITIVE}, {RANKED} SELECT {clean} FROM ranked WHERE place = 1"
     q["aggregate_sources_combine"] = (
-        f"WITH RECURSIVE {GREEDY}, {COMBINED} SELECT r.id, r.source_id, r.title, c.content, r.url, r.published_at, 0 AS part "
+        f"WITH RECURSIVE {GREEDY}, {COMBINED} SELECT r.id, r.source_id, r.title, c.content, r.url, r.published_at "
         "FROM ranked r JOIN combined c USING (group_id) WHERE r.place = 1"
     )
+    q["combined_pieces"] = f"""WITH RECURSIVE {GREEDY}, {COMBINED} SELECT group_id,
+      row_number() OVER (PARTITION BY group_id ORDER BY place) - 1 AS position,
+      CASE WHEN place = 1 THEN content ELSE chr(10) || chr(10) || '--- [Alternative Content from ' || source_name || '] ---' || chr(10) || content END AS piece
+      FROM firsts WHERE place = 1 OR (copy = 1 AND {strip('content')} <> '')"""
     q["merge_by_title_priority"] = (
         f"WITH {BY_TITLE}, {RANKED} SELECT norm_title AS group_key, id, source_id, content FROM ranked WHERE place = 1"
     )
     # The grouping key replaces the id, but merging keeps the items' own ids.
     q["merge_by_title_combine"] = (
-        f"WITH {BY_TITLE}, {COMBINED} SELECT r.norm_title AS group_key, r.id, r.source_id, c.content, 0 AS part "
+        f"WITH {BY_TITLE}, {COMBINED} SELECT r.norm_title AS group_key, r.id, r.source_id, c.content "
         "FROM ranked r JOIN combined c USING (group_id) WHERE r.place = 1"
     )
     q["duplicate_groups"] = f"WITH RECURSIVE {GREEDY} SELECT arrival, group_id FROM groups"

@@ -110,9 +110,8 @@ def combine(groups):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_part_bytes", [merge.MAX_PART_BYTES, 40])
-def test_combine(spark, max_part_bytes):
-    """One group holds a third of the rows; small limits force it into parts."""
+def test_combine(spark):
+    """One group holds a third of the rows; the result is the same over any number of partitions."""
     rng = random.Random(7)
     rows = []
     for n in range(120):
@@ -120,17 +119,21 @@ def test_combine(spark, max_part_bytes):
         content = rng.choice(["", "  ", None, f" text {rng.randrange(40)} ", f"text {rng.randrange(40)}", "long " * rng.randrange(9)])
         rows.append(item(n, f"i{n}", title, content, f"s{rng.randrange(5)}", rng.randrange(3), rng.random() // 0.5, 1.0))
     df = frame(spark, rows)
-    _, groups = greedy(rows)
-    parts = defaultdict(list)
-    for r in merge.merge_combine(df, dedup.group_duplicates(df), max_part_bytes=max_part_bytes).collect():
-        parts[r.id].append((r.part, r.content))
-    got = []
-    for id_, pieces in parts.items():
-        pieces.sort()
-        assert [p for p, _ in pieces] == list(range(len(pieces)))
-        got.append((id_, "".join(c for _, c in pieces)))
-    assert sorted(got) == combine(groups)
-    assert (max(len(p) for p in parts.values()) > 1) == (max_part_bytes == 40)
+    groups = dedup.group_duplicates(df)
+    want = combine(greedy(rows)[1])
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 8, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert sorted((r.id, r.content) for r in merge.merge_combine(df, groups).collect()) == want
+            pieces = merge.combine_pieces(df, groups).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        by_group = defaultdict(list)
+        for p in sorted(pieces, key=lambda p: (p.group_id, p.position)):
+            by_group[p.group_id].append(p)
+        assert all([p.position for p in ps] == list(range(len(ps))) for ps in by_group.values())
+        assert sorted("".join(p.piece for p in ps) for ps in by_group.values()) == sorted(text for _, text in want)
 
 
 def test_duplicate_report(spark):
