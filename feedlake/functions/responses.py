@@ -6,11 +6,11 @@ from pyspark.sql import Column, functions as F
 
 from feedlake.functions.text import _col, strip, text_or_empty
 
-NO_CHOICE = "Received empty or malformed choice array."
-NO_CONTENT = "Response message did not contain a 'content' field."
-NO_TEXT = "Response did not contain 'generated_text'."
-MALFORMED = "Malformed response."
-EMPTY_TEXT = "Empty text."
+NO_CHOICE = "no choices in the response"
+NO_CONTENT = "the first choice has no message content"
+NO_TEXT = "no generated text in the list"
+MALFORMED = "not a known response"
+EMPTY_TEXT = "the text is blank"
 
 
 def _result(text: Column, error: Column) -> Column:

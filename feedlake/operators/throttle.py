@@ -26,12 +26,18 @@ def admit(times: np.ndarray, recent: list[int], limit: int, window: int) -> tupl
         return np.ones(len(times), dtype=bool), both[-limit:].tolist()
     active = deque(recent)
     answers = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times.tolist()):
+    i = 0
+    while i < len(times):
+        t = int(times[i])
         while active and t - active[0] >= window:
             active.popleft()
         if len(active) < limit:
             active.append(t)
             answers[i] = True
+            i += 1
+        else:
+            # Full until the oldest admit leaves the window: one step for all in between.
+            i = int(np.searchsorted(times, active[0] + window))
     return answers, list(active)
 
 
@@ -73,12 +79,14 @@ def throttle(
     then the admits standing at a partition's end are handed to the next one of the same
     key, and partitions whose start changed are answered again, until no start changes.
     A quiet gap ends the chain, so it takes few rounds. The driver sees one row of at
-    most ``limit`` times per partition.
+    most ``limit`` times per partition. A request without a time is not admitted and does
+    not count.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
     window = window_s * 1_000_000
-    narrow = requests.select(F.col(key).alias("key"), micros(ts).alias("at"), F.col(tie).alias("tie"))
+    every = requests.select(F.col(key).alias("key"), micros(ts).alias("at"), F.col(tie).alias("tie"))
+    narrow, timeless = every.where(F.col("at").isNotNull()), every.where(F.col("at").isNull())
     order = ["key", "at", "tie"]
     ranged = narrow.repartitionByRange(partitions, *order) if partitions else narrow.repartitionByRange(*order)
     rows = keep_partitions(ranged.sortWithinPartitions(*order).withColumn("slot", F.spark_partition_id()))
@@ -122,4 +130,5 @@ def throttle(
             yield pd.DataFrame({"tie": batch["tie"], "key": batch["key"], "admitted": answers})
 
     out = rows.mapInPandas(answer, f"tie {tie_type}, key {key_type}, admitted boolean")
+    out = out.unionByName(timeless.select("tie", "key", F.lit(False).alias("admitted")))
     return out.withColumnRenamed("tie", tie)

@@ -99,6 +99,12 @@ def test_throttle_hot_key_over_many_partitions(spark, limit, window):
     assert {r.event_id: r.admitted for r in got.collect()} == sequential(rows, limit, window)
 
 
+def test_requests_without_a_time_are_not_admitted(spark):
+    rows = [(1, "c", at(0)), (2, "c", None), (3, "c", at(1)), (4, "d", None)]
+    got = throttle(requests(spark, rows), limit=2, window_s=60)
+    assert {r.event_id: r.admitted for r in got.collect()} == {1: True, 2: False, 3: True, 4: False}
+
+
 def test_rolling_count(spark):
     rng = random.Random(3)
     rows = [(i, f"k{rng.randrange(2)}", at(rng.randrange(900))) for i in range(200)]
