@@ -127,9 +127,8 @@ def source_stats(spark, sf):
 
 def feed_xml_entries(spark, sf):
     """Each document as a one-item feed held in a column, then parsed back."""
-    words = F.regexp_replace("text", "[&<>]", " ")
     xml = F.concat(
-        F.lit("<rss><channel><item><title>"), X.normalize_whitespace(words), F.lit("</title><link>https://example.org/d/"),
+        F.lit("<rss><channel><item><title>"), _escaped(X.normalize_whitespace("text")), F.lit("</title><link>https://example.org/d/"),
         F.col("doc_id").cast("string"), F.lit("</link></item></channel></rss>"),
     )
     held = T.documents(spark, sf).select("doc_id", xml.alias("xml"))
@@ -739,25 +738,68 @@ def stage_isolation(spark, sf):
     )
 
 
-def feed_files(spark, sf):
-    """All documents landed as feed files, a few per source, with one source's files cut off, and read back."""
-    clean = X.normalize_whitespace(F.regexp_replace("text", "[&<>]", " "))
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+FILE_ENTRIES = 1_000
+
+
+def _land(items: DataFrame, spot: list[str], head: Column, end: Column) -> str:
+    """Write ``value`` lines to one file per ``spot``, between a head and an end; the folder's path."""
+    files = items.select(*spot).distinct()
+    lines = items.select(*spot, F.lit(1).alias("line"), "value")
+    for at, value in ((0, head), (2, end)):
+        lines = lines.unionByName(files.select(*spot, F.lit(at).alias("line"), value.alias("value")))
+    landed = lines.repartition(*spot).sortWithinPartitions(*spot, "line").drop("line")
+    path = f"{checkpoint_dir(items.sparkSession)}/feeds-{uuid.uuid4().hex}"
+    landed.write.partitionBy(*spot).text(path)
+    return path
+
+
+def _landed_feeds(spark, sf):
+    """All documents landed as feed files, a few per source, with one source's files cut off, and read."""
+    clean = _escaped(X.normalize_whitespace("text"))
     item = F.concat(F.lit("<item><title>"), clean, F.lit("</title><link>"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
-    spot = ["source", "bucket"]
     items = T.read_table(spark, sf, "documents").select(
-        "source", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("bucket"), F.lit(1).alias("line"), item.alias("value")
+        "source", F.floor(F.col("doc_id") / FILE_ENTRIES).alias("bucket"), item.alias("value")
     )
-    files = items.select(*spot).distinct()
     end = F.when(F.col("source") == "src7", F.lit("<item><title>cut")).otherwise(F.lit("</channel></rss>"))
-    frame = files.select(*spot, F.lit(0).alias("line"), F.lit("<rss><channel>").alias("value")).unionByName(
-        files.select(*spot, F.lit(2).alias("line"), end.alias("value"))
-    )
-    landed = items.unionByName(frame).repartition(*spot).sortWithinPartitions(*spot, "line").drop("line")
-    path = f"{checkpoint_dir(spark)}/feeds-{uuid.uuid4().hex}"
-    landed.write.partitionBy(*spot).text(path)
+    path = _land(items, ["source", "bucket"], F.lit("<rss><channel>"), end)
     entries = feeds.number_arrivals(feeds.read_feed_files(spark, f"{path}/*/*"), "file_path")
-    good, _, _ = feeds.split_failed(entries)
-    return good.select(F.regexp_extract("file_path", "source=([^/]+)", 1).alias("source_id"), F.col("link").alias("doc"), "title")
+    return feeds.split_failed(entries)
+
+
+def _landed_source() -> Column:
+    return F.regexp_extract("file_path", "source=([^/]+)", 1).alias("source_id")
+
+
+def feed_files(spark, sf):
+    """Entries read back out of feed files; those of cut off files included."""
+    good, _, _ = _landed_feeds(spark, sf)
+    return good.select(_landed_source(), F.col("link").alias("doc"), "title")
+
+
+def feed_errors(spark, sf):
+    """Sources with broken fragments, and whether their fetches still count as successes."""
+    _, broken, log = _landed_feeds(spark, sf)
+    sources = broken.select(_landed_source()).distinct()
+    logged = log.groupBy(_landed_source()).agg(F.min("ok").alias("ok"), F.max("error").alias("error"))
+    return sources.join(logged, "source_id")
+
+
+def atom_entries(spark, sf):
+    """Pages as an Atom feed whose links are attributes, some beside a link to the feed, read back."""
+    pages = T.read_table(spark, sf, "pages")
+    own = F.concat(F.lit('<link href="'), _escaped(F.col("url")), F.lit('"/>'))
+    feed = F.when(F.col("page_id") % 2 == 0, F.lit('<link rel="self" href="https://example.org/feed"/>')).otherwise(F.lit(""))
+    title = F.concat(F.lit("<title>"), F.col("page_id").cast("string"), F.lit("</title>"))
+    items = pages.select(
+        F.floor(F.col("page_id") / FILE_ENTRIES).alias("bucket"), F.concat(F.lit("<entry>"), title, feed, own, F.lit("</entry>")).alias("value")
+    )
+    path = _land(items, ["bucket"], F.lit("<feed>"), F.lit("</feed>"))
+    entries = feeds.read_feed_files(spark, f"{path}/*", row_tag="entry")
+    return entries.select(F.col("title").alias("page"), "link")
 
 
 def event_log_round_trip(spark, sf):
@@ -818,6 +860,6 @@ QUERIES: dict[str, Query] = {
         dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
         content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
-        enrich_failover, stage_isolation, feed_files, event_log_round_trip, dedup_stream, event_rollup_stream,
+        enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, event_log_round_trip, dedup_stream, event_rollup_stream,
     )
 }

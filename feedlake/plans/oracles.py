@@ -277,8 +277,7 @@ def _queries() -> dict[str, str]:
              CASE WHEN s.reliability > 0 AND NOT last.ok THEN 'event ' || CAST(last.event_id AS VARCHAR) END AS last_error,
              CASE WHEN s.reliability > 0 THEN {iso('last_good')} END AS last_fetched_at
       FROM sources s LEFT JOIN per USING (id) LEFT JOIN last USING (id)"""
-    plain = "regexp_replace(text, '[&<>]', ' ', 'g')"
-    q["feed_xml_entries"] = f"""SELECT doc_id, 0 AS pos, {one_line(plain)} AS title,
+    q["feed_xml_entries"] = f"""SELECT doc_id, 0 AS pos, {one_line('text')} AS title,
       'https://example.org/d/' || CAST(doc_id AS VARCHAR) AS link, '' AS description FROM documents"""
 
     q["normalize_text"] = f"SELECT doc_id, {one_line('text')} AS text_norm, {one_line(f'lower({TITLE})')} AS title_norm FROM documents"
@@ -520,8 +519,9 @@ def _queries() -> dict[str, str]:
       CASE WHEN {refused} THEN 'Check,Rewrite' ELSE 'Check,Rewrite,Close' END AS stages_executed,
       CASE WHEN {refused} THEN 'Rewrite:refused:true' WHEN rewrite_status = 'failed' THEN 'Check:toxic:false' ELSE '' END AS failures
       FROM articles"""
-    q["feed_files"] = f"""SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS doc, {one_line(plain)} AS title
-      FROM documents WHERE source <> 'src7'"""
+    q["feed_files"] = f"""SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS doc, {one_line('text')} AS title FROM documents"""
+    q["feed_errors"] = "SELECT DISTINCT source AS source_id, true AS ok, 'malformed feed document' AS error FROM documents WHERE source = 'src7'"
+    q["atom_entries"] = "SELECT CAST(page_id AS VARCHAR) AS page, url AS link FROM pages"
     q["event_log_round_trip"] = """SELECT CAST(event_id AS VARCHAR) AS message, event_type, 'WARNING' AS severity,
       json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events"""
     q["dedup_stream"] = "SELECT DISTINCT sha256(text) AS content_sha FROM documents"

@@ -8,10 +8,20 @@ from feedlake.functions.ids import article_id
 from feedlake.functions.text import text_or_empty
 from feedlake.session import materialize
 
-ENTRY_SCHEMA = "title STRING, link STRING, description STRING, summary STRING, _corrupt_record STRING"
+# A link is the element's text (RSS) or its address attribute (Atom, where there may be several).
+LINK = "ARRAY<STRUCT<_VALUE: STRING, _href: STRING, _rel: STRING>>"
+ENTRY_SCHEMA = f"title STRING, link {LINK}, description STRING, summary STRING, _corrupt_record STRING"
 CHANNEL_SCHEMA = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING>>>"
 
 
+def _address(links: str) -> Column:
+    """The first link text, else the address of the link to the entry itself, else of any link, else empty."""
+    texts = F.filter(F.transform(links, lambda l: F.trim(l["_VALUE"])), lambda t: t != "")
+    own = F.filter(links, lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
+    first = lambda found: F.get(F.filter(F.transform(found, lambda l: l["_href"]), lambda h: h != ""), F.lit(0))
+    return F.coalesce(F.get(texts, F.lit(0)), first(own), first(F.col(links)), F.lit(""))
+
+
 def read_feed_files(spark: SparkSession, path: str, stream: bool = False, row_tag: str = "item", **options) -> DataFrame:
     """One row per ``<item>`` (or ``<entry>``) of the feed files below ``path``.
 
@@ -23,7 +33,7 @@ def read_feed_files(spark: SparkSession, path: str, stream: bool = False, row_ta
     rows = reader.schema(ENTRY_SCHEMA).load(path)
     return rows.select(
         text_or_empty("title").alias("title"),
-        text_or_empty("link").alias("link"),
+        _address("link").alias("link"),
         text_or_empty("description").alias("description"),
         text_or_empty("summary").alias("summary"),
         F.col("_corrupt_record"),
@@ -45,21 +55,20 @@ def explode_feed_xml(df: DataFrame, xml_col: str, *keep: str) -> DataFrame:
 
 
 def split_failed(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Good entries, broken fragments, and one fetch-log row per file.
+    """Readable entries, broken fragments, and one fetch-log row per file.
 
-    A file counts as failed when any part of it is broken; its readable entries are
-    dropped too, as one broken document fails its whole source. Takes entries that have
-    been written once (``number_arrivals``): Spark does not answer from the raw files what
-    touches nothing but the corrupt records.
+    Entries that can be read are kept whatever else is in their file. A fetch counts as
+    failed when nothing could be read; the log names the error in either case. Takes
+    entries that have been written once (``number_arrivals``): Spark does not answer from
+    the raw files what touches nothing but the corrupt records.
     """
     log = entries.groupBy("file_path").agg(
-        F.min(F.col("_corrupt_record").isNull()).alias("ok"),
+        F.max(F.col("_corrupt_record").isNull()).alias("ok"),
         F.max("fetched_at").alias("ts"),
         F.max(F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed feed document"))).alias("error"),
     )
     broken = entries.where(F.col("_corrupt_record").isNotNull()).select("file_path", "_corrupt_record", "fetched_at")
-    failed = log.where(~F.col("ok")).select("file_path")
-    good = entries.where(F.col("_corrupt_record").isNull()).join(failed, "file_path", "left_anti").drop("_corrupt_record")
+    good = entries.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return good, broken, log
 
 

@@ -28,12 +28,24 @@ def test_feed_files(spark, feed_dir):
     assert [(r.title, r.link, r.description) for r in got] == [("One & two", "http://a", "<p>body</p>"), ("Next", "", "")]
 
 
-def test_broken_file_fails_alone(spark, feed_dir):
+def test_atom_links(spark, tmp_path):
+    text = (
+        "<feed><entry><title>a</title><link rel='self' href='http://f'/><link rel='alternate' href='http://a'/></entry>"
+        "<entry><title>b</title><link href='http://b'/></entry><entry><title>c</title><link rel='via' href='http://c'/></entry>"
+        "<entry><title>d</title></entry></feed>"
+    )
+    (tmp_path / "atom.xml").write_text(text, encoding="utf-8")
+    got = feeds.read_feed_files(spark, f"{tmp_path}/atom.xml", row_tag="entry").collect()
+    assert {r.title: r.link for r in got} == {"a": "http://a", "b": "http://b", "c": "http://c", "d": ""}
+
+
+def test_readable_entries_of_a_broken_file_stay(spark, feed_dir):
     entries = feeds.number_arrivals(feeds.read_feed_files(spark, f"{feed_dir}/*/feed.xml"), "file_path")
     good, broken, log = feeds.split_failed(entries)
-    assert sorted(r.title for r in good.collect()) == ["Next", "One & two"]
+    assert sorted(r.title for r in good.collect()) == ["Next", "One & two", "ok"]
     assert broken.count() >= 1
-    assert {r.file_path.split("/")[-2]: r.ok for r in log.collect()} == {"s1": True, "s2": False}
+    got = {r.file_path.split("/")[-2]: (r.ok, r.error) for r in log.collect()}
+    assert got == {"s1": (True, None), "s2": (True, "malformed feed document")}
 
 
 def test_explode_feed_xml(spark):
