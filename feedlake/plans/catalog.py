@@ -22,7 +22,7 @@ from feedlake.plans import jobs, stages
 from feedlake.session import checkpoint_dir, ship
 from feedlake.sources import feeds, sinks
 from feedlake.sources.sinks import write_event_log
-from feedlake.sources.stores import read_event_log
+from feedlake.sources.stores import read_event_log, read_json_store
 from feedlake.streaming import rollups
 
 ship(__name__)
@@ -802,6 +802,19 @@ def atom_entries(spark, sf):
     return entries.select(F.col("title").alias("page"), "link")
 
 
+def json_store_users(spark, sf):
+    """Users written as JSON store documents, a bounded number in each, and read back with defaults."""
+    users = T.users(spark, sf).withColumn("created_at", F.lit("2024-01-01T00:00:00Z"))
+    record = F.struct("id", F.struct("id", "username", "role", "created_at"))
+    documents = users.groupBy(F.floor(F.col("id").cast("long") / FILE_ENTRIES).alias("document")).agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(record)).alias("users"))).alias("value")
+    )
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    documents.write.partitionBy("document").text(path)
+    read = read_json_store(spark, f"{path}/*", "users")
+    return read.select("id", "username", "role", iso_text("created_at").alias("created_at"))
+
+
 def event_log_round_trip(spark, sf):
     path = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
     write_event_log(
@@ -837,10 +850,12 @@ def dedup_stream(spark, sf):
 
 
 def event_rollup_stream(spark, sf):
-    """Hourly counts of the windows the watermark has closed."""
+    """Hourly counts of all windows, the open ones included, as the stream left them."""
     timed = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    closed = _run_stream(rollups.event_rollup_stream(timed))
-    return closed.withColumn("window_start", iso_text("window_start"))
+    base = f"{checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    rollups.start_updates(rollups.event_rollup_stream(timed), f"{base}/out", f"{base}/state").awaitTermination()
+    counts = rollups.latest_updates(spark, f"{base}/out", ["window_start", "event_type"])
+    return counts.withColumn("window_start", iso_text("window_start"))
 
 
 QUERIES: dict[str, Query] = {
@@ -860,6 +875,6 @@ QUERIES: dict[str, Query] = {
         dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
         content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
-        enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, event_log_round_trip, dedup_stream, event_rollup_stream,
+        enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, json_store_users, event_log_round_trip, dedup_stream, event_rollup_stream,
     )
 }

@@ -522,11 +522,13 @@ def _queries() -> dict[str, str]:
     q["feed_files"] = f"""SELECT source AS source_id, CAST(doc_id AS VARCHAR) AS doc, {one_line('text')} AS title FROM documents"""
     q["feed_errors"] = "SELECT DISTINCT source AS source_id, true AS ok, 'malformed feed document' AS error FROM documents WHERE source = 'src7'"
     q["atom_entries"] = "SELECT CAST(page_id AS VARCHAR) AS page, url AS link FROM pages"
+    q["json_store_users"] = """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS username,
+      CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'viewer' END AS role, '2024-01-01T00:00:00' AS created_at FROM customer"""
     q["event_log_round_trip"] = """SELECT CAST(event_id AS VARCHAR) AS message, event_type, 'WARNING' AS severity,
       json_extract_string(props, '$.k') AS k, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events"""
     q["dedup_stream"] = "SELECT DISTINCT sha256(text) AS content_sha FROM documents"
     q["event_rollup_stream"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS window_start, event_type, count(*) AS n FROM events
-      WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
+      GROUP BY ALL"""
     return q
 
 

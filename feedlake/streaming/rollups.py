@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from feedlake.operators import monitoring as mon
 from feedlake.operators.dedup import content_hash
@@ -16,10 +17,31 @@ def dedup_stream(df: DataFrame, text: str = "content", ts: str = "ts", within: s
 
 
 def event_rollup_stream(events: DataFrame, every: str = "1 hour", late: str = "10 minutes", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
-    """Counts per closed window, for append mode; rows later than ``late`` are dropped."""
+    """Counts per window: closed windows in append mode, open ones too in update mode.
+
+    Rows later than ``late`` are dropped.
+    """
     return mon.event_rollup(events.withWatermark("ts", late), every, by)
 
 
+def start_updates(df: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Store what each micro-batch changed, in a folder of its own that a rerun replaces."""
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    writer = df.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last stored row of every key; open windows are among them."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def metric_counters_stream(samples: DataFrame) -> DataFrame:
     """Running sums, for update mode; state is one row per name."""
     return mon.metric_counters(samples)

@@ -45,6 +45,16 @@ def batch(spark, path):
     return spark.read.schema(SCHEMA).parquet(f"{path}/*")
 
 
+def test_rollup_with_open_windows_equals_the_batch(spark, landed, tmp_path):
+    """Three micro-batches; each changes windows of the one before."""
+    counts = rollups.event_rollup_stream(stream(spark, landed), by=("event_type",))
+    rollups.start_updates(counts, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
+    got = rollups.latest_updates(spark, f"{tmp_path}/out", ["window_start", "event_type"])
+    want = mon.event_rollup(batch(spark, landed))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() > 1
+
+
 def test_dedup_stream(spark, landed, tmp_path):
     got = run(rollups.dedup_stream(stream(spark, landed)), "first_copies", "append", tmp_path)
     assert got.count() == batch(spark, landed).select("content").distinct().count()
