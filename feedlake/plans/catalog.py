@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlake import adapters as T
-from feedlake.functions import analytics as A, lexicons as lex, text as X
+from feedlake.functions import analytics as A, text as X
 from feedlake.functions.ids import article_id
 from feedlake.functions.masking import mask_sensitive
 from feedlake.functions.responses import extract_completion

@@ -4,7 +4,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from feedlake.operators import monitoring as mon
 from feedlake.operators.throttle import throttle
