@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cases import SF, documents, no_documents, odd_documents, split
+from cases import documents, no_documents, odd_documents, split
 from feedlake.llm import language_id as L, quality_classifier as C, quality_rules as R
 from feedlake.llm.common import WordHashes
 from feedlake.llm.queries import LLM_QUERIES
