@@ -36,11 +36,11 @@ SHARD_IDS = 1 << 20
 #: A pair that occurs less often in a shard gets no rule.
 MIN_COUNT = 128
 #: A round takes all pairs at least this share as frequent as the most frequent one.
-ROUND_SHARE = 0.25
+ROUND_SHARE = 0.1
 #: Symbols of one shard stay below this, so that they fit into two bytes.
 MOST_SYMBOLS = 1 << 16
 COUNT_BITS = 20
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 800_000
 MAGIC, HEADER = b"RPG1", "<4s5IQ"
 
 
@@ -50,15 +50,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Marks the first piece of a text, which has no space in front. No text holds a lone surrogate.
+FIRST = "\ud800"
+
+
+class _Pieces(dict):
+    """Piece to its number; new pieces wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece):
+        self.new.append(piece)
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoder:
     """Ids of whole texts. Texts are cut before single spaces between other characters.
 
     The vocabulary's own pre-tokenizer always starts a new piece there, so the ids of the parts
-    are the ids of the text, and each different part is encoded once.
+    are the ids of the text. Each different part is encoded once, many in one call: the bytes
+    that ids stand for tell where a part ends.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
-    UNSAFE = re.compile(r"\s\s|^\s|\s\Z|<\|")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,36 +83,79 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.numbers = list(range(self.size))
-        self.known: dict[str, tuple] = {}
+        self.n_bytes = np.zeros(self.size, np.int64)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.n_bytes[number] = len(token)
+        self.forget()
 
-    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [self.parts(t) if t else [] for t in texts]
-        new = {p for parts in cut for p in parts} - self.known.keys()
-        if len(self.known) + len(new) > KNOWN_PIECES:
-            self.known.clear()
-            new = {p for parts in cut for p in parts}
-        new = list(new)
-        number = self.numbers
-        for part, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[part] = tuple([number[i] for i in made.ids])
-        known, out = self.known, []
-        for parts in cut:
-            ids: list[int] = []
-            for p in parts:
-                ids += known[p]
-            ids.append(END_ID)
-            out.append(np.array(ids, np.uint32))
-        return out
+    def forget(self):
+        self.known = _Pieces()
+        self.ids = np.empty(0, np.uint32)
+        self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at_space = np.empty(0, bool)
 
-    def parts(self, text: str) -> list[str]:
-        if "<|" in text:
-            return [text]
-        if self.UNSAFE.search(text):
-            pieces = self.CUT.split(text)
-        else:
-            pieces = text.split(" ")
-        return [pieces[0], *[" " + p for p in pieces[1:]]]
+    def batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(self.known) > KNOWN_PIECES:
+            self.forget()
+        pieces = [t.split(" ") if t else [] for t in texts]
+        number, ends = self.numbers(pieces)
+        # A piece with white space at an edge tells that a cut parted it from a space.
+        wrong = np.concatenate([[0], np.cumsum(self.at_space[number])])[ends]
+        wrong = np.flatnonzero(np.diff(wrong, prepend=0))
+        if len(wrong):
+            for i in wrong.tolist():
+                pieces[i] = self.CUT.split(texts[i])
+            number, ends = self.numbers(pieces)
+        lengths = self.lengths[number]
+        to = np.cumsum(lengths)
+        ids = self.ids[np.arange(int(lengths.sum())) + np.repeat(self.starts[number] - (to - lengths), lengths)]
+        cuts = np.concatenate([[0], to])[ends]
+        return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, cuts)[:-1]]
+
+    def numbers(self, pieces: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every piece, and where each text's pieces end; the first of a text is marked."""
+        flat = []
+        for parts in pieces:
+            if parts and parts[0][:1] != FIRST:
+                parts[0] = FIRST + parts[0]
+            flat += parts
+        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.learn()
+        return number, np.cumsum([len(p) for p in pieces])
+
+    def learn(self):
+        """Encode the pieces that are new."""
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        first = np.array([p[:1] == FIRST for p in new], bool)
+        at_space = np.array([p in ("", FIRST) or (p[1:2] if p[:1] == FIRST else p[:1]).isspace() or p[-1:].isspace() for p in new], bool)
+        alone = at_space | first | np.array(["<|" in p for p in new], bool)
+        starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        pool = [self.ids]
+        end = len(self.ids)
+        single = np.flatnonzero(alone)
+        texts = [new[i][1:] if first[i] else " " + new[i] for i in single]
+        for i, x in zip(single, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            starts[i], lengths[i] = end, len(x.ids)
+            end += len(x.ids)
+            pool.append(np.array(x.ids, np.uint32))
+        joint = np.flatnonzero(~alone)
+        if len(joint):
+            joined = [" " + new[i] for i in joint.tolist()]
+            (x,) = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)
+            ids = np.array(x.ids, np.uint32)
+            bytes_at = np.cumsum(self.n_bytes[ids])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, joined)), np.int64, len(joined)))
+            cuts = np.searchsorted(bytes_at, ends) + 1
+            if not np.array_equal(bytes_at[cuts - 1], ends):
+                raise ValueError("the tokenizer joins characters across a cut")
+            lengths[joint] = np.diff(cuts, prepend=0)
+            starts[joint] = end + cuts - lengths[joint]
+            pool.append(ids)
+        self.ids = np.concatenate(pool)
+        self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
+        self.at_space = np.append(self.at_space, at_space)
 
 
 def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
@@ -104,22 +164,24 @@ def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.
     Each round counts all pairs of neighbours, gives the most frequent ones new symbols and
     replaces them from left to right without overlaps, until no pair is frequent.
     """
-    sequence = ids.astype(np.uint64)
+    sequence = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     n_rules = 0
     while len(sequence) > 1 and first + n_rules < MOST_SYMBOLS:
-        pairs = sequence[:-1] << np.uint64(32) | sequence[1:]
-        bucket = (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNT_BITS)).view(np.int64)
+        # Only pairs in well filled buckets are counted one by one.
+        bucket = sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:] * np.uint32(0x85EBCA6B)
+        bucket >>= np.uint32(32 - COUNT_BITS)
         often = np.bincount(bucket, minlength=1 << COUNT_BITS) >= min_count
         at = np.flatnonzero(often[bucket])
-        found, counts = np.unique(pairs[at], return_counts=True)
+        pairs = sequence[at].astype(np.uint64) << np.uint64(32) | sequence[at + 1]
+        found, counts = np.unique(pairs, return_counts=True)
         if not len(found) or counts.max() < min_count:
             break
         order = np.argsort(-counts, kind="stable")
         order = order[counts[order] >= max(min_count, ROUND_SHARE * counts.max())]
         chosen = np.sort(found[order[: MOST_SYMBOLS - first - n_rules]])
-        place = np.searchsorted(chosen, pairs[at])
-        hit = chosen[np.minimum(place, len(chosen) - 1)] == pairs[at]
+        place = np.searchsorted(chosen, pairs)
+        hit = chosen[np.minimum(place, len(chosen) - 1)] == pairs
         at, rule = at[hit], place[hit]
         # Of hits that overlap, every second one counts, from the left.
         run_start = np.concatenate([[True], np.diff(at) > 1])
@@ -129,12 +191,12 @@ def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.
         at, rule = at[used[rule]], rule[used[rule]]
         if not len(at):
             break
-        sequence[at] = (first + n_rules + np.cumsum(used) - 1)[rule].astype(np.uint64)
+        sequence[at] = (first + n_rules + np.cumsum(used) - 1)[rule].astype(np.uint32)
         sequence = np.delete(sequence, at + 1)
         rules.append(chosen[used])
         n_rules += int(used.sum())
     pairs = np.concatenate(rules) if rules else np.empty(0, np.uint64)
-    return sequence.astype(np.uint32), np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+    return sequence, np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
 
 
 def write_shard(documents: list[np.ndarray], first: int) -> bytes:
