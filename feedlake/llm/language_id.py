@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from feedlake.llm.common import by_hash, fold, map_texts
+from feedlake.llm.common import fold, map_texts, mix64
 from feedlake.session import materialize, ship
 
 ship(__name__)
@@ -41,6 +41,22 @@ def normal_words(text: str | None) -> list[str]:
     return ["▁" + w for w in WORD.findall((text or "").lower())]
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points by (word, place); words have one length."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+
+def _prefix_hashes(codes: np.ndarray, longest: int | None = None) -> list[np.ndarray]:
+    """For each length from 1, the hash of the substring of that length by (word, start)."""
+    size = codes.shape[1]
+    total, out = np.zeros(codes.shape, np.uint64), []
+    for length in range(1, (longest or size) + 1):
+        n = size - length + 1
+        total = total[:, :n] * np.uint64(0xD6E8FEB86659FD93) + codes[:, length - 1:]
+        out.append(mix64(total))
+    return out
+
+
 @dataclass
 class Pieces:
     """Piece numbers, the longest piece, and log probabilities by (piece, language).
@@ -53,17 +69,30 @@ class Pieces:
     logp: np.ndarray
     languages: list[str]
 
+    def __post_init__(self):
+        hashes = np.array([int(_prefix_hashes(_codes([p]))[-1][0, 0]) for p in self.number] or [0], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array([*self.number.values()] or [0], np.int32)[order]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[hashes >> np.uint64(44)] = True
+
     def lattice(self, words: list[str]) -> np.ndarray:
-        """Piece number of ``word[end - length:end]`` by (end - 1, length - 1, word); words have one length."""
+        """Piece number of ``word[end - length:end]`` by (end - 1, length - 1, word); words have one length.
+
+        Substrings are looked up by 64-bit hashes, all words at once.
+        """
         size = len(words[0])
         longest = min(self.longest, size)
         none, single = len(self.number) + 1, len(self.number)
         out = np.full((size, longest, len(words)), none, np.int32)
-        get = self.number.get
-        for w, word in enumerate(words):
-            for end in range(1, size + 1):
-                for length in range(1, min(longest, end) + 1):
-                    out[end - 1, length - 1, w] = get(word[end - length:end], single if length == 1 else none)
+        for length, found in enumerate(_prefix_hashes(_codes(words), longest), 1):
+            table = np.full(found.shape, single if length == 1 else none, np.int32)
+            row, start = np.nonzero(self.maybe[found >> np.uint64(44)])
+            values = found[row, start]
+            at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+            known = (self.hashes[at] == values) & bool(self.number)
+            table[row[known], start[known]] = self.numbers[at[known]]
+            out[length - 1:, length - 1, :] = table.T
         return out
 
     def forward(self, lattice: np.ndarray) -> np.ndarray:
@@ -150,7 +179,8 @@ class Model:
 def _word_counts(docs: DataFrame, sample_rows: int, seed: str) -> DataFrame:
     """(lang, word, n) over about ``sample_rows`` training documents of each language, stored."""
     rows = docs.where(F.col("lang").isNotNull() & (fold() != 0)).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), sample_rows / F.col("count")))
+    # Stored, so that Spark knows its size and no text is shuffled by its language.
+    sizes = materialize(rows.groupBy("lang").count().withColumn("share", F.least(F.lit(1.0), sample_rows / F.col("count"))))
     value = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))
     chosen = rows.join(sizes.select("lang", "share"), "lang").where(value < F.col("share") * F.lit(float(1 << 30)))
 
