@@ -21,6 +21,8 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,19 +56,6 @@ def tokenizer_path() -> str:
 FIRST = "\ud800"
 
 
-class _Pieces(dict):
-    """Piece to its number; new pieces wait in ``new``."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, piece):
-        self.new.append(piece)
-        number = self[piece] = len(self)
-        return number
-
-
 class Encoder:
     """Ids of whole texts. Texts are cut before single spaces between other characters.
 
@@ -76,6 +65,8 @@ class Encoder:
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: Pieces that are encoded by themselves: first ones, and those with white space at an edge or a special token.
+    SPECIAL = staticmethod(re.compile(rf"^{FIRST}|^\s|\s\Z|^\Z|<\|").search)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,7 +80,8 @@ class Encoder:
         self.forget()
 
     def forget(self):
-        self.known = _Pieces()
+        #: Piece to its number, in the order of the numbers.
+        self.known = defaultdict(count().__next__)
         self.ids = np.empty(0, np.uint32)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.at_space = np.empty(0, bool)
@@ -124,18 +116,21 @@ class Encoder:
         return number, np.cumsum([len(p) for p in pieces])
 
     def learn(self):
-        """Encode the pieces that are new."""
-        new, self.known.new = self.known.new, []
+        """Encode the pieces that are new: the last ones."""
+        new = list(islice(reversed(self.known), len(self.known) - len(self.starts)))[::-1]
         if not new:
             return
-        first = np.array([p[:1] == FIRST for p in new], bool)
-        at_space = np.array([p in ("", FIRST) or (p[1:2] if p[:1] == FIRST else p[:1]).isspace() or p[-1:].isspace() for p in new], bool)
-        alone = at_space | first | np.array(["<|" in p for p in new], bool)
+        alone = np.fromiter(map(bool, map(self.SPECIAL, new)), bool, len(new))
+        at_space = np.zeros(len(new), bool)
         starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         pool = [self.ids]
         end = len(self.ids)
         single = np.flatnonzero(alone)
-        texts = [new[i][1:] if first[i] else " " + new[i] for i in single]
+        texts = []
+        for i in single.tolist():
+            first, piece = new[i][:1] == FIRST, new[i].removeprefix(FIRST)
+            at_space[i] = not piece or piece[0].isspace() or piece[-1].isspace()
+            texts.append(piece if first else " " + piece)
         for i, x in zip(single, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             starts[i], lengths[i] = end, len(x.ids)
             end += len(x.ids)
@@ -221,6 +216,7 @@ class Shard:
         magic, n_docs, n_rules, n_symbols, self.first, wide, self.n_ids = struct.unpack_from(HEADER, blob)
         if magic != MAGIC:
             raise ValueError("not a token shard")
+        self.rule_ids = self.rule_starts = None
         at = struct.calcsize(HEADER)
         self.sizes = np.frombuffer(blob, "<u4", n_docs, at)
         at += 4 * n_docs
@@ -235,18 +231,28 @@ class Shard:
         out[rule] = self.lengths[symbols[rule] - self.first]
         return out
 
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rules one after another, and where each rule's begin."""
+        if self.rule_ids is None:
+            made: list[list[int]] = []
+            for sides in zip(self.left.tolist(), self.right.tolist()):
+                made.append([i for s in sides for i in (made[s - self.first] if s >= self.first else (s,))])
+            self.rule_ids = np.array([i for ids in made for i in ids], np.uint32)
+            self.rule_starts = np.cumsum(self.lengths) - self.lengths
+        return self.rule_ids, self.rule_starts
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a sequence of symbols; each round replaces all nonterminals by their two sides."""
-        while (rule := symbols >= self.first).any():
-            width = 1 + rule
-            start = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), np.int64)
-            out[start[~rule]] = symbols[~rule]
-            number = symbols[rule] - self.first
-            out[start[rule]] = self.left[number]
-            out[start[rule] + 1] = self.right[number]
-            symbols = out
-        return symbols.astype(np.uint32)
+        """Ids of a sequence of symbols."""
+        lengths = self.expansion_lengths(symbols)
+        ids = np.repeat(symbols.astype(np.uint32), lengths)
+        rule = symbols >= self.first
+        if rule.any():
+            rule_ids, rule_starts = self.expansions()
+            sizes = lengths[rule]
+            begins = (np.cumsum(lengths) - lengths)[rule]
+            steps = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ids[np.repeat(begins, sizes) + steps] = rule_ids[np.repeat(rule_starts[symbols[rule] - self.first], sizes) + steps]
+        return ids
 
     def documents(self) -> list[np.ndarray]:
         return np.split(self.expand(self.symbols), np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
