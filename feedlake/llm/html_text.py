@@ -1,4 +1,4 @@
-"""Main text of web pages by two passes of block rules."""
+"""Main text of web pages by two passes of block rules, with tags and names as evidence."""
 
 from __future__ import annotations
 
@@ -28,11 +28,11 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template head title svg math iframe object canvas audio video select".split())
-#: Containers that never hold main text.
+#: Containers that rarely hold main text.
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog button textarea".split())
 INSIDE_TAGS = frozenset("article main".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Words in class or id of containers that never hold main text.
+#: Words in class or id of containers that seldom hold main text.
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent gdpr notice notices "
@@ -51,12 +51,23 @@ STOP_HIGH = 0.3
 
 GOOD, BAD, SHORT, NEAR = "good", "bad", "short", "near"
 
+#: What a block's text alone is worth: 2 is good, 1 near, 0 short, less is bad.
+SCORES = {GOOD: 2, NEAR: 1, SHORT: 0, BAD: -1}
+#: What is added for standing in a believed article or beside it, and in a believed outside container.
+INSIDE, BESIDE = 3, -1
+BY_TAG, BY_NAME = -3, -2
+#: An outside container is not believed if it holds this share of the page's good text.
+TAG_SHARE, NAME_SHARE = 1 / 2, 1 / 3
+#: Articles are believed if they hold this share of it.
+ARTICLE_SHARE = 1 / 2
+
 
 @dataclass
 class Block:
     text: str
     link_chars: int
-    outside: bool
+    #: Outside containers around the block: a number in the page, and the weight against it.
+    outside: tuple[tuple[int, int], ...]
     inside: bool
     heading: bool
 
@@ -64,7 +75,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    outside: bool
+    outside: tuple[tuple[int, int], ...]
     raw: bool
     inside: bool
 
@@ -74,8 +85,9 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[_Open] = [_Open("", False, False, False)]
+        self.stack: list[_Open] = [_Open("", (), False, False)]
         self.blocks: list[Block] = []
+        self.containers = 0
         self.pieces: list[str] = []
         self.link_chars = 0
         self.links = 0
@@ -104,10 +116,14 @@ class _Blocks(HTMLParser):
             self.heading = True
         if tag in BLOCK_TAGS or tag in RAW_TAGS or tag in OUTSIDE_TAGS:
             top = self.stack[-1]
-            outside = top.outside or tag in OUTSIDE_TAGS
-            if not outside and attrs and tag not in ("html", "body"):
-                outside = _named_outside(attrs)
-            self.stack.append(_Open(tag, outside, top.raw or tag in RAW_TAGS, top.inside or tag in INSIDE_TAGS))
+            outside, raw = top.outside, top.raw or tag in RAW_TAGS
+            if attrs and tag not in ("html", "body"):
+                raw = raw or any(name == "hidden" for name, _ in attrs)
+            against = BY_TAG if tag in OUTSIDE_TAGS else _against(attrs) if tag not in ("html", "body") else 0
+            if against:
+                self.containers += 1
+                outside = (*outside, (self.containers, against))
+            self.stack.append(_Open(tag, outside, raw, top.inside or tag in INSIDE_TAGS))
 
     def _close_implied(self, tag):
         if self.stack[-1].tag == tag:
@@ -133,16 +149,15 @@ class _Blocks(HTMLParser):
             self.link_chars += len(data)
 
 
-def _named_outside(attrs) -> bool:
+def _against(attrs) -> int:
+    """Weight of an element's role and names against its text."""
+    weight = 0
     for name, value in attrs:
-        if name in ("class", "id", "role", "aria-label", "hidden"):
-            if name == "hidden":
-                return True
-            if name == "role" and (value or "").lower() in OUTSIDE_ROLES:
-                return True
-            if name != "role" and any(p.lower() in OUTSIDE_NAMES for p in NAME_PART.findall(value or "")):
-                return True
-    return False
+        if name == "role" and (value or "").lower() in OUTSIDE_ROLES:
+            weight = min(weight, BY_TAG)
+        if name in ("class", "id", "aria-label") and any(p.lower() in OUTSIDE_NAMES for p in NAME_PART.findall(value or "")):
+            weight = min(weight, BY_NAME)
+    return weight
 
 
 def page_blocks(html: str) -> list[Block]:
@@ -153,15 +168,12 @@ def page_blocks(html: str) -> list[Block]:
     return parser.blocks
 
 
-def first_pass(block: Block) -> str:
-    """Good, bad, or to be decided by the neighbours (short: too little text, near: doubtful)."""
-    if block.outside or block.link_chars > LINK_DENSITY * len(block.text):
+def text_label(block: Block) -> str:
+    """Good, bad, short or near by link density, stop words and length alone."""
+    if _linked(block):
         return BAD
     tokens = block.text.lower().split()
     density = sum(t.strip(".,;:!?\"'()*#$%&|") in STOP_WORDS for t in tokens) / len(tokens)
-    if block.inside:
-        # An article marks its text; what is not outside of it or made of links is its own.
-        return GOOD
     if "\xa9" in block.text and len(block.text) < LONG_CHARS:
         return BAD
     if len(block.text) < SHORT_CHARS:
@@ -173,6 +185,45 @@ def first_pass(block: Block) -> str:
     return BAD
 
 
+def _linked(block: Block) -> bool:
+    return block.link_chars > LINK_DENSITY * len(block.text)
+
+
+def first_pass(blocks: list[Block]) -> list[str]:
+    """Good, bad, or to be decided by the neighbours (short: too little text, near: doubtful).
+
+    Every block is scored by its text. Tags and names only add to or take from the score, and
+    the page's good text decides which are believed: an outside container that holds much of
+    it is not, and articles are only if they hold most of it. On a page without good text
+    outside containers are believed, and articles go by the share of the text left.
+    """
+    by_text = [text_label(b) for b in blocks]
+    good = [len(b.text) if label == GOOD else 0 for b, label in zip(blocks, by_text)]
+    total = sum(good)
+    held: dict[int, int] = {}
+    for b, n in zip(blocks, good):
+        for container, _ in b.outside:
+            held[container] = held.get(container, 0) + n
+    against = []
+    for b in blocks:
+        # Weights do not add up: one believed container, the worst, is enough.
+        against.append(min((
+            w for c, w in b.outside if not total or held[c] < (TAG_SHARE if w == BY_TAG else NAME_SHARE) * total
+        ), default=0))
+    if not any(n for n, w in zip(good, against) if not w):
+        good = [0 if _linked(b) else len(b.text) for b in blocks]
+    inside = sum(n for b, n, w in zip(blocks, good, against) if b.inside and not w)
+    left = sum(n for n, w in zip(good, against) if not w)
+    believed = inside > 0 and inside >= ARTICLE_SHARE * left
+    labels = []
+    for b, label, w in zip(blocks, by_text, against):
+        score = SCORES[label] + w
+        if believed:
+            score += INSIDE if b.inside and not w else BESIDE
+        labels.append(BAD if _linked(b) or score < 0 else (SHORT, NEAR, GOOD)[min(score, 2)])
+    return labels
+
+
 def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
     """True for main text.
 
@@ -210,10 +261,7 @@ def second_pass(labels: list[str], headings: list[bool]) -> list[bool]:
 def main_text(html: str | None) -> str:
     """Blocks of main text in page order, one per line; empty if there are none."""
     blocks = page_blocks(html or "")
-    # A page with an article keeps to it: blocks beside it are decided as bad.
-    within = any(b.inside and not b.outside for b in blocks)
-    labels = [BAD if within and not b.inside else first_pass(b) for b in blocks]
-    keep = second_pass(labels, [b.heading for b in blocks])
+    keep = second_pass(first_pass(blocks), [b.heading for b in blocks])
     return "\n".join(b.text for b, k in zip(blocks, keep) if k)
 
 

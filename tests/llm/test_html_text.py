@@ -20,6 +20,29 @@ def test_rules_without_article():
     assert main_text(page) == f"Rivers\n{(LONG * 2).strip()}\nBe.\n{(LONG * 2).strip()}"
 
 
+def test_teaser_articles_do_not_hide_the_story():
+    story = "".join(f"<p>{LONG * 2}</p>" for _ in range(3))
+    cards = "<article class=card><h3>Boats</h3><p>Ten boats.</p></article>" * 3
+    want = "\n".join([(LONG * 2).strip()] * 3)
+    page = f"<body><nav><a href=/>Home</a></nav><div id=content><h1>Rivers</h1>{story}</div><nav><a href=/>More</a></nav>{cards}</body>"
+    assert main_text(page) == f"Rivers\n{want}"
+
+
+def test_names_and_tags_are_evidence():
+    story, want = f"<p>{LONG * 2}</p><p>Be.</p><p>{LONG * 2}</p>", f"{(LONG * 2).strip()}\nBe.\n{(LONG * 2).strip()}"
+    for box in ("div class=content-with-sidebar", "div id=header-and-page", "form id=aspnetForm", "aside"):
+        end = box.split()[0]
+        assert main_text(f"<{box}>{story}</{end}><div class=ad>Buy now.</div>") == want, box
+        assert main_text(f"<{box}><article>{story}</article></{end}><footer>Legal</footer>") == want, box
+    # Believed: what they hold is a small part of the page's text.
+    said = f"<div class=comments><h2>Said</h2><p>{LONG * 2}</p></div>"
+    assert main_text(f"<article>{story * 3}</article>{said}") == "\n".join([want] * 3)
+    assert main_text(f"<article>{story * 3}{said}</article>") == "\n".join([want] * 3)
+    assert main_text(f"<article>{story}</article><div hidden><p>{LONG * 9}</p></div>") == want
+    # Text beside an article is still read.
+    assert main_text(f"<article>{story}</article><div><p>{LONG * 3}</p></div>") == f"{want}\n{(LONG * 3).strip()}"
+
+
 def test_broken_pages():
     assert main_text(None) == main_text("") == main_text("<") == ""
     assert main_text("<nav><p>a</nav>") == ""
