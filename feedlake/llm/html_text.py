@@ -28,6 +28,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template head title svg math iframe object canvas audio video select".split())
+#: What may stand in a head; anything else ends it.
+HEAD_TAGS = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 #: Containers that rarely hold main text.
 OUTSIDE_TAGS = frozenset("nav header footer aside form menu dialog button textarea".split())
 INSIDE_TAGS = frozenset("article main".split())
@@ -80,8 +82,20 @@ class _Open:
     inside: bool
 
 
+class _Link:
+    """An open link: the size of the stack at its start, its characters in the current block."""
+
+    def __init__(self, depth: int):
+        self.depth, self.chars = depth, 0
+        self.blocks: list[tuple[Block, int]] = []
+
+
 class _Blocks(HTMLParser):
-    """Cuts a page into blocks at block tags; text in raw elements is dropped."""
+    """Cuts a page into blocks at block tags; text in raw elements is dropped.
+
+    A link without an end tag ends with the first block that has text of it, a head without
+    one at the first thing that may not stand in it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -90,7 +104,7 @@ class _Blocks(HTMLParser):
         self.containers = 0
         self.pieces: list[str] = []
         self.link_chars = 0
-        self.links = 0
+        self.link: _Link | None = None
         self.heading = False
 
     def end_block(self):
@@ -98,9 +112,40 @@ class _Blocks(HTMLParser):
         if text:
             top = self.stack[-1]
             self.blocks.append(Block(text, self.link_chars, top.outside, top.inside, self.heading))
+            if self.link and self.link.chars:
+                self.link.blocks.append((self.blocks[-1], self.link.chars))
+        if self.link:
+            self.link.chars = 0
         self.pieces, self.link_chars = [], 0
 
+    def _end_link(self):
+        """Ends a link that has no end tag here."""
+        for block, chars in self.link.blocks[1:]:
+            block.link_chars -= chars
+        if self.link.blocks:
+            self.link_chars -= self.link.chars
+        self.link = None
+
+    def _pop(self, i: int):
+        del self.stack[i:]
+        if self.link and self.link.depth > i:
+            self._end_link()
+
+    def _end_head(self, tag: str = ""):
+        """Ends an open head before a tag or text that may not stand in it."""
+        if tag == "body":
+            i = next((i for i, x in enumerate(self.stack) if x.tag == "head"), 0)
+        else:
+            i = len(self.stack) - 1
+            if self.stack[i].tag == "title" and tag in BLOCK_TAGS:
+                i -= 1
+            if self.stack[i].tag != "head" or tag in HEAD_TAGS:
+                return
+        if i > 0:
+            self._pop(i)
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag == "br":
             self.pieces.append(" ")
             return
@@ -109,7 +154,10 @@ class _Blocks(HTMLParser):
         if tag in VOID_TAGS:
             return
         if tag == "a":
-            self.links += 1
+            if self.link:
+                self._end_link()
+            if any(name == "href" for name, _ in attrs):
+                self.link = _Link(len(self.stack))
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self._close_implied(tag)
         if re.fullmatch("h[1-6]", tag):
@@ -127,26 +175,29 @@ class _Blocks(HTMLParser):
 
     def _close_implied(self, tag):
         if self.stack[-1].tag == tag:
-            self.stack.pop()
+            self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
         if tag in BLOCK_TAGS:
             self.end_block()
         if tag == "a":
-            self.links = max(0, self.links - 1)
+            self.link = None
         if re.fullmatch("h[1-6]", tag):
             self.heading = False
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._pop(i)
                 return
 
     def handle_data(self, data):
+        if self.stack[-1].tag == "head" and not data.isspace():
+            self._end_head()
         if self.stack[-1].raw:
             return
         self.pieces.append(data)
-        if self.links:
+        if self.link:
             self.link_chars += len(data)
+            self.link.chars += len(data)
 
 
 def _against(attrs) -> int:
@@ -165,6 +216,8 @@ def page_blocks(html: str) -> list[Block]:
     parser.feed(html)
     parser.close()
     parser.end_block()
+    if parser.link:
+        parser._end_link()
     return parser.blocks
 
 

@@ -51,6 +51,24 @@ def test_broken_pages():
     assert main_text("<article><p>a</b></i></div>c<p") == "a\nc" or main_text("<article><p>a</b></i></div>c<p").startswith("a")
 
 
+def test_open_head_and_links():
+    story, want = f"<p>{LONG * 2}</p>" * 2, "\n".join([(LONG * 2).strip()] * 2)
+    for head in (
+        "<head><title>T</title><body>", "<html><head><meta charset=utf-8><title>T</title>", "<head><title>T<body>",
+        "<head><noscript><img src=x><body>", "<head><link rel=x><script>var a = '<p>';</script><div>", "<head><title>T<div>",
+        "<head><style>p{}</style></head><body>",
+    ):
+        assert main_text(head + story) == want, head
+    assert main_text(f"<head><title>T</title>{LONG * 2}") == (LONG * 2).strip()
+    for link in (
+        "<p><a href=/>Home</p>", "<p><a href=/>Home<p>", "<div><a href=/>Home</div>", "<a href=/>Home", "<a name=top>",
+        "<div><a href=/>Home<p><a href=/b>Back",
+    ):
+        assert main_text(f"<body>{link}{story}") == want, link
+    # A link around blocks that does end holds them all.
+    assert main_text(f"<body><a href=/><div>Home</div>{story}</a>{story}") == want
+
+
 def test_rows(spark):
     big = "<article>" + "<p>word " * 20_000
     rows = [(1, "u", None), (2, None, "<article><p>x"), (2, None, "<article><p>x"), (None, "v", big)]
