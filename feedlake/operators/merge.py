@@ -65,34 +65,57 @@ def _contributions(items: DataFrame, groups: DataFrame, order: str) -> DataFrame
     )
 
 
-def combine_pieces(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
-    """Combined text of every group as pieces: ``group_id``, ``position`` from 0, ``piece``, ``order``.
+def _placed(items: DataFrame, groups: DataFrame, order: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """Place of every member in its group's text, without texts: ``group_id``, ``lead`` (the winner's
+    ``order``), the winner's ``fields``, ``position``, ``order``.
 
-    The winner's content comes first, then the other members' distinct contents in rank
-    order; joined by position they are the text. Members are range-partitioned by group and
-    rank, so a group of any size spreads over tasks; what a range needs to know of the ones
-    before it is one row per group and range. Contents enter in the last join.
+    The fields come by the one row per group and range, so no group is gathered for them.
     """
     kept = _contributions(items, groups, order)
     ranged = materialize(
         kept.repartitionByRange("group_id", *RANKS, order).withColumn("slot", F.spark_partition_id())
     )
-    leads = ranged.groupBy("group_id").agg(F.min(F.struct(*RANKS, order)).alias("lead"))
-    leads = leads.select("group_id", F.col(f"lead.{order}").alias("lead"))
-    used = ranged.join(leads, "group_id").withColumn("is_lead", F.col(order) == F.col("lead"))
-    used = used.where(F.col("is_lead") | ~F.col("blank")).select("group_id", "slot", *RANKS, order, "is_lead")
+    firsts = ranged.groupBy("group_id", "slot").agg(F.min(F.struct(*RANKS, order)).alias("first"))
+    best = F.min("first").over(W.partitionBy("group_id"))
+    leads = firsts.select("group_id", "slot", best.getField(order).alias("lead"))
+    used = ranged.join(leads, ["group_id", "slot"]).withColumn("is_lead", F.col(order) == F.col("lead"))
+    used = used.where(F.col("is_lead") | ~F.col("blank")).select("group_id", "lead", "slot", *RANKS, order)
     earlier = W.partitionBy("group_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    before = used.groupBy("group_id", "slot").agg(F.count("*").alias("n")).select(
-        "group_id", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    before = used.groupBy("group_id", "slot").agg(F.count("*").alias("n"), F.first("lead").alias("lead")).select(
+        "group_id", "slot", "lead", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
+    if fields:
+        before = before.join(items.select(F.col(order).alias("lead"), *fields), "lead")
     inside = W.partitionBy("group_id", "slot").orderBy(*RANKS, order)
-    placed = used.withColumn("within", F.row_number().over(inside) - 1).join(before, ["group_id", "slot"])
+    placed = used.drop("lead").withColumn("within", F.row_number().over(inside) - 1).join(before, ["group_id", "slot"])
+    return placed.select("group_id", "lead", *fields, (F.col("before") + F.col("within")).alias("position"), order)
+
+
+def _with_texts(placed: DataFrame, items: DataFrame, order: str) -> DataFrame:
     texts = items.select(order, "content", "source_name")
     extra = F.concat(separator(F.col("source_name")), F.col("content"))
-    return placed.join(texts, order).select(
-        "group_id", (F.col("before") + F.col("within")).alias("position"),
-        F.when(F.col("is_lead"), text_or_empty("content")).otherwise(extra).alias("piece"), order,
-    )
+    piece = F.when(F.col(order) == F.col("lead"), text_or_empty("content")).otherwise(extra)
+    return placed.join(texts, order).withColumn("piece", piece).drop("content", "source_name")
+
+
+def combine_pieces(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
+    """Combined text of every group as pieces: ``group_id``, ``position`` from 0, ``piece``, ``order``.
+
+    The winner's content comes first, then the other members' distinct contents in rank
+    order; joined by position they are the text. Members are range-partitioned by group and
+    rank, so a group of any size spreads over tasks; what a range needs to know of the ones
+    before it is one row per group and range. Contents enter in the last join.
+    """
+    return _with_texts(_placed(items, groups, order), items, order).select("group_id", "position", "piece", order)
+
+
+def merge_pieces(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
+    """``merge_combine`` for groups of any size: a row per piece of ``combine_pieces``, with the winner's fields.
+
+    ``group_id``, ``position``, ``piece`` and the clean columns but the content.
+    """
+    fields = tuple(c for c in CLEAN_COLUMNS if c != "content")
+    return _with_texts(_placed(items, groups, order, fields), items, order).select("group_id", "position", *fields, "piece")
 
 
 def fold_pieces(pieces: DataFrame) -> DataFrame:
@@ -106,7 +129,10 @@ def fold_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def merge_combine(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
-    """One article per group: the winner, with the other members' distinct contents appended."""
+    """One article per group: the winner, with the other members' distinct contents appended.
+
+    A group's text has to fit into a row (2 GB) and an executor; ``merge_pieces`` has no such limit.
+    """
     pieces = materialize(combine_pieces(items, groups, order))
     heads = pieces.where("position = 0").select("group_id", order)
     others = items.select(order, *[c for c in CLEAN_COLUMNS if c != "content"])
@@ -116,8 +142,14 @@ def merge_combine(items: DataFrame, groups: DataFrame, order: str = "arrival") -
 def aggregate_sources(
     items: DataFrame, strategy: str = "priority", semantics: str = "greedy", order: str = "arrival", **grouping
 ) -> DataFrame:
-    """Group duplicates across sources and merge each group; unknown strategies act as ``priority``."""
+    """Group duplicates across sources and merge each group; unknown strategies act as ``priority``.
+
+    ``combine`` gives a row per article, so a group's text has to fit into one; ``pieces`` gives
+    the same texts in the rows of ``merge_pieces``, for groups of any size.
+    """
     groups = group_duplicates(items, semantics, order=order, **grouping)
     if strategy == "combine":
         return merge_combine(items, groups, order)
+    if strategy == "pieces":
+        return merge_pieces(items, groups, order)
     return merge_priority(items, groups, order)

@@ -58,6 +58,10 @@ def aggregate_sources_combine(spark, sf):
     return merge.aggregate_sources(T.raw_items(spark, sf), "combine", "greedy")
 
 
+def aggregate_sources_pieces(spark, sf):
+    return merge.aggregate_sources(T.raw_items(spark, sf), "pieces", "greedy")
+
+
 def combined_pieces(spark, sf):
     """The combined texts in pieces, as a group of any size has them."""
     items = T.raw_items(spark, sf)
@@ -861,7 +865,8 @@ def event_rollup_stream(spark, sf):
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        aggregate_sources_priority, aggregate_sources_transitive, aggregate_sources_combine, combined_pieces,
+        aggregate_sources_priority, aggregate_sources_transitive, aggregate_sources_combine, aggregate_sources_pieces,
+        combined_pieces,
         merge_by_title_priority, merge_by_title_combine, duplicate_groups, duplicate_report, dedup_exact,
         article_ids, enabled_sources, raw_items, clean_items, source_stats, feed_xml_entries,
         normalize_text, sanitize_pages, sanitize_documents, render_template, prefix_templates, summary_template,

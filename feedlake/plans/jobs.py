@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from feedlake.functions.text import prompt
 from feedlake.operators.dedup import group_duplicates
 from feedlake.operators.enrich import ProviderFactory, rewrite_with_fallback
-from feedlake.operators.merge import clean_items, merge_combine, winners
+from feedlake.operators.merge import clean_items, merge_combine, merge_pieces, winners
 from feedlake.operators.render import CHANNELS, publish_outputs
 from feedlake.operators.sources import update_source_stats
 from feedlake.operators.tables import skip_completed, upsert_partial
@@ -54,16 +54,17 @@ def merged_items(raw: DataFrame, strategy: str = "priority", semantics: str = "g
     """Merged items with unique ids.
 
     Greedy grouping can leave two groups with the same id; the older group is stored first
-    and the other then counts as already processed, so it is dropped.
+    and the other then counts as already processed, so it is dropped. With strategy ``pieces``
+    an article has the rows of ``merge_pieces``; ``combine`` needs texts that fit into a row.
     """
     groups = group_duplicates(raw, semantics, **grouping)
     best = winners(raw, groups).join(raw.select("arrival", "id"), "arrival")
     oldest = W.partitionBy("id").orderBy("group_id")
     chosen = best.withColumn("_n", F.row_number().over(oldest)).where("_n = 1")
-    if strategy != "combine":
+    if strategy not in ("combine", "pieces"):
         return clean_items(raw.join(chosen.select("arrival"), "arrival"))
     kept = groups.join(chosen.select("group_id"), "group_id", "left_semi")
-    return merge_combine(raw, kept)
+    return merge_pieces(raw, kept) if strategy == "pieces" else merge_combine(raw, kept)
 
 
 def _shaped(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -243,6 +243,10 @@ def _queries() -> dict[str, str]:
       row_number() OVER (PARTITION BY group_id ORDER BY place) - 1 AS position,
       CASE WHEN place = 1 THEN content ELSE chr(10) || chr(10) || '--- [Alternative Content from ' || source_name || '] ---' || chr(10) || content END AS piece
       FROM firsts WHERE place = 1 OR (copy = 1 AND {strip('content')} <> '')"""
+    q["aggregate_sources_pieces"] = f"""WITH RECURSIVE {GREEDY}, {COMBINED} SELECT group_id,
+      row_number() OVER (PARTITION BY group_id ORDER BY f.place) - 1 AS position, r.id, r.source_id, r.title, r.url, r.published_at,
+      CASE WHEN f.place = 1 THEN f.content ELSE chr(10) || chr(10) || '--- [Alternative Content from ' || f.source_name || '] ---' || chr(10) || f.content END AS piece
+      FROM firsts f JOIN ranked r USING (group_id) WHERE r.place = 1 AND (f.place = 1 OR (f.copy = 1 AND {strip('f.content')} <> ''))"""
     q["merge_by_title_priority"] = (
         f"WITH {BY_TITLE}, {RANKED} SELECT norm_title AS group_key, id, source_id, content FROM ranked WHERE place = 1"
     )

@@ -136,6 +136,22 @@ def test_combine(spark):
         assert sorted("".join(p.piece for p in ps) for ps in by_group.values()) == sorted(text for _, text in want)
 
 
+def test_pieces_have_the_winners_fields(spark):
+    """Joined by position they are the one-row articles, and no plan gathers a group into a row."""
+    rows = [item(n, f"i{n}", "hot" if n % 3 == 0 else f"t{n % 7}", f"text {n}", f"s{n % 5}", n % 2) for n in range(60)]
+    df = frame(spark, rows)
+    for get in (merge.aggregate_sources, merged_items):
+        got = get(df, "pieces")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan
+        articles = defaultdict(list)
+        for r in sorted(got.collect(), key=lambda r: (r.group_id, r.position)):
+            articles[r.id, r.source_id, r.title, r.url, r.published_at].append((r.position, r.piece))
+        assert all([p for p, _ in ps] == list(range(len(ps))) for ps in articles.values())
+        one = {(r.id, r.source_id, r.title, r.url, r.published_at): r.content for r in get(df, "combine").collect()}
+        assert {k: "".join(x for _, x in ps) for k, ps in articles.items()} == one
+
+
 def test_duplicate_report(spark):
     rows = [item(1, "1", "a", source="x"), item(2, "2", "a", source="y", priority=5), item(3, "3", "A", source="y"), item(4, "4", "b")]
     df = frame(spark, rows)
