@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlake.llm import (
-    decontaminate, html_text, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secret_scan,
-    substring_dedup, token_files,
+    decontaminate, html_text, jaccard_join, language_id, mixing, periodic_runs, quality_classifier, quality_rules,
+    secret_scan, substring_dedup, token_files,
 )
 from feedlake.llm.common import fold
 
@@ -72,6 +72,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.run_digests(periodic_runs.runs_of_texts(docs, periodic_runs.repeat_tail))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -83,4 +88,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op12_periodic_runs": op12_periodic_runs,
 }
