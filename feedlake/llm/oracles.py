@@ -70,4 +70,34 @@ WITH masks AS (
 SELECT doc_id, item_id, min(pos) AS first_token, count(*) AS n_windows FROM hits GROUP BY doc_id, item_id
 """
 
-LLM_ORACLES = {"op3_decontaminate": OP3, "op2_mix_sources": OP2}
+OP13 = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), counted AS (
+  SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY doc_id, term
+), sizes AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY doc_id
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes
+), scaled AS (
+  SELECT doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM sizes, totals
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scored AS (
+  SELECT i.item_id, c.doc_id, CAST(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 12 * s.m))) AS BIGINT) AS score
+  FROM item_terms i JOIN weights w USING (term) JOIN counted c USING (term) JOIN scaled s ON s.doc_id = c.doc_id
+  GROUP BY i.item_id, c.doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+LLM_ORACLES = {"op3_decontaminate": OP3, "op2_mix_sources": OP2, "op13_lexical_search": OP13}

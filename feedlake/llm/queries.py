@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from feedlake.llm import (
-    decontaminate, html_text, jaccard_join, language_id, mixing, periodic_runs, quality_classifier, quality_rules,
-    secret_scan, substring_dedup, token_files,
+    decontaminate, html_text, jaccard_join, language_id, lexical_search, mixing, periodic_runs, quality_classifier,
+    quality_rules, secret_scan, substring_dedup, suffix_dedup, token_files,
 )
 from feedlake.llm.common import fold
 
@@ -72,11 +72,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic_runs.run_digests(periodic_runs.runs_of_texts(docs, periodic_runs.repeat_tail))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
@@ -88,5 +96,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_token_files": op10_token_files,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
