@@ -22,7 +22,7 @@ SLICE_ROWS = 512
 ARROW_TYPES = {
     "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(),
     "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-    "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()),
+    "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()), "array<boolean>": pa.list_(pa.bool_()),
 }
 
 

@@ -3,8 +3,8 @@
 Only suffixes whose first 400 bytes occur again matter. Equal strings of 400 bytes have the same
 anchor, the smallest hash of 32 bytes in them, so all suffixes with one anchor form a bucket. Windows that
 follow each other with one anchor are a region, the unit that is counted and sent: equal regions become one
-with a count, and a region whose anchor occurs nowhere else is unique as a whole. Texts of the regions that meet
-others at their anchor are sent once each to the task of their bucket.
+with a count, and a region whose anchor occurs nowhere else, nor twice in itself, is unique as a whole. Texts of the
+regions that meet others at their anchor, or themselves, are sent once each to the task of their bucket.
 
 A task holds the regions of some buckets as one text. It ranks the suffixes at the positions of a difference
 cover modulo 32 by doubling, from 32 bytes on until no two are equal. Then it sorts the windows block by block: by
@@ -67,32 +67,35 @@ DISTANCE = np.array([
 ])
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """The smallest hash of 32 bytes in every window of 400."""
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 32 bytes, by position, and the smallest one in every window of 400."""
     codes, factor = BYTE_CODES[data], 0xD6E8FEB86659FD93
     width = 1
     while width < SEED:
         codes = codes[:-width] * np.uint64(factor) + codes[width:]
         factor = factor * factor % (1 << 64)
         width *= 2
-    least, width, span = mix64(codes), 1, WINDOW - SEED + 1
+    hashes = least = mix64(codes)
+    width, span = 1, WINDOW - SEED + 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = span - width
-    return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
+    return hashes, np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def regions(data: bytes) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor, hash, first window, windows) of the regions of a text, in order."""
+def regions(data: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(anchor, hash, first window, windows, is the anchor in it twice) of the regions of a text, in order."""
     view, whole = memoryview(data), np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - WINDOW + 1, CHUNK):
-        of_window = anchors(whole[at:at + CHUNK + WINDOW - 1])
+        hashes, of_window = anchors(whole[at:at + CHUNK + WINDOW - 1])
         change = np.flatnonzero(of_window[1:] != of_window[:-1]) + 1
         cuts = np.unique(np.concatenate([change, np.arange(0, len(of_window), REGION_WINDOWS)]))
         sizes = np.diff(np.append(cuts, len(of_window))).tolist()
-        for first, size, anchor in zip((cuts + at).tolist(), sizes, of_window[cuts].view(np.int64).tolist()):
-            yield anchor, _signed(xxhash.xxh3_64_intdigest(view[first:first + size + WINDOW - 1])), first, size
+        for cut, size, anchor in zip(cuts.tolist(), sizes, of_window[cuts]):
+            first = cut + at
+            twice = np.count_nonzero(hashes[cut:cut + size + WINDOW - SEED] == anchor) > 1
+            yield int(anchor.view(np.int64)), _signed(xxhash.xxh3_64_intdigest(view[first:first + size + WINDOW - 1])), first, size, twice
 
 
 def _signed(value: int) -> int:
@@ -311,24 +314,26 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     """
     def setup():
         def work(texts):
-            found = [list(zip(*regions(t.encode()))) or [(), (), (), ()] for t in texts]
-            return [[f[k] for f in found] for k in range(4)]
+            found = [list(zip(*regions(t.encode()))) for t in texts]
+            return [[f[k] for f in found] for k in range(5)]
 
         return work
 
     long_enough = docs.where(F.octet_length("text") >= WINDOW)
-    outputs = {"anchors": "array<bigint>", "regions": "array<bigint>", "firsts": "array<bigint>", "sizes": "array<int>"}
+    outputs = {"anchors": "array<bigint>", "regions": "array<bigint>", "firsts": "array<bigint>", "sizes": "array<int>", "twices": "array<boolean>"}
     cut = materialize(map_texts(long_enough, ["id", "key"], ["text"], outputs, setup))
     cut = cut.select("id", "key", F.explode(F.arrays_zip(*outputs)).alias("r")).select(
         "id", "key", F.col("r.anchors").alias("anchor"), F.col("r.regions").alias("region"),
-        F.col("r.firsts").alias("first"), F.col("r.sizes").alias("size"))
-    counted = materialize(cut.groupBy(KEY).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "key", "first"))))
-    meeting = counted.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
-    judged = materialize(counted.join(meeting.drop("total"), "anchor"))
-
-    alone = judged.where("kinds = 1").select(
+        F.col("r.firsts").alias("first"), F.col("r.sizes").alias("size"), F.col("r.twices").alias("twice"))
+    counted = materialize(cut.groupBy(KEY).agg(
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("id", "key", "first", "twice"))))
+    meeting = counted.groupBy("anchor").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("total"), F.max("twice").alias("any_twice"))
+    judged = materialize(counted.join(meeting.where("total > 1 OR any_twice").drop("total", "any_twice"), "anchor"))
+
+    alone = judged.where("kinds = 1 AND n > 1").select(
         *KEY, F.array(F.lit(0).cast("long")).alias("froms"), F.array(F.col("size").cast("long")).alias("tos"))
-    wanted = judged.where("kinds > 1").withColumn("hot", F.col("kinds") > HOT_REGIONS)
+    wanted = judged.where("kinds > 1 OR n = 1").withColumn("hot", F.col("kinds") > HOT_REGIONS)
     size, hot = wanted.agg(F.sum(F.when(~F.col("hot"), F.col("size") + WINDOW)), F.max("hot")).first()
     results = [alone]
     if size:
@@ -343,7 +348,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
         known = known.unionByName(r)
     known = known.where(F.size("froms") > 0)
     moved = lambda column: F.transform(column, lambda x: x + F.col("first"))
-    return cut.join(known, KEY).groupBy("id", "key").agg(
+    return cut.drop("twice").join(known, KEY).groupBy("id", "key").agg(
         F.flatten(F.collect_list(moved("froms"))).alias("froms"), F.flatten(F.collect_list(moved("tos"))).alias("tos"))
 
 
