@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from feedlake.functions.timestamps import micros
-from feedlake.session import keep_partitions, ship
+from feedlake.session import keep_partitions, materialize, release, ship
 
 ship(__name__)
 
@@ -63,6 +63,119 @@ def _walk(batches, starts: dict, limit: int, window: int):
         yield batch, answers, (key, recent)
 
 
+# --- limit 1: what a range does to the earliest time of the next admission ------------------
+
+#: No restriction, and beyond all times.
+FREE, NEVER = -(1 << 62), 1 << 62
+
+
+def transfer(times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """How a range of one key's requests changes the earliest admissible time, as steps (xs, ys).
+
+    An earliest time up to xs[i] and above xs[i - 1] becomes ys[i]; one above the last x stays as it is.
+    It can lie one window after the first request at most, so only the requests up to there are steps.
+    """
+    n = len(times)
+    following = np.searchsorted(times, times + window)
+    after = times + window
+    end = n
+    while end:
+        # All requests of the last window not yet done: the next admission of each is done already.
+        begin = int(np.searchsorted(times, times[end - 1] - window, "right"))
+        block = np.arange(begin, end)
+        inside = following[block] < n
+        after[block[inside]] = after[following[block[inside]]]
+        end = begin
+    use = min(n, int(np.searchsorted(times, times[0] + window)) + 1)
+    xs = times[:use].copy()
+    if use < n or xs[-1] >= times[0] + window:
+        xs[-1] = NEVER
+    return _merged(xs, after[:use])
+
+
+def _merged(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    last = np.append(ys[1:] != ys[:-1], True)
+    return xs[last], ys[last]
+
+
+def apply_steps(xs: np.ndarray, ys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(xs, x)
+    return np.where(at < len(xs), ys[np.minimum(at, len(xs) - 1)], x)
+
+
+def compose(first: tuple, second: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The steps of ``second`` after ``first``."""
+    xs, ys = first
+    beyond = second[0] > xs[-1]
+    return _merged(
+        np.concatenate([xs, second[0][beyond]]), np.concatenate([apply_steps(*second, ys), second[1][beyond]])
+    )
+
+
+STEPS = "at int, xs array<bigint>, ys array<bigint>"
+
+
+def _chained_starts(rows: DataFrame, edges: dict[int, dict], window: int) -> dict[int, list[int]]:
+    """For limit 1, the admit that counts at the start of each partition.
+
+    A partition that holds only the key that the partition before it ends with is open: what it passes
+    on depends on what it gets, by a step function. All others pass on what their own requests give. The
+    functions of open neighbours are composed two and two, then four and four, so a key over P partitions takes
+    log2(P) jobs. The driver sees one number per partition.
+    """
+    slots = sorted(edges)
+    place = {slot: i for i, slot in enumerate(slots)}
+    starts, first = {}, {}
+    for left, right in zip(slots, slots[1:]):
+        a, b = edges[left], edges[right]
+        if a["last_key"] != b["first_key"]:
+            continue
+        if place[left] not in first:
+            starts[right] = a["recent"][-1] + window
+        if b["first_key"] == b["last_key"]:
+            first[place[right]] = first.get(place[left], place[right])
+    if first:
+        spark = rows.sparkSession
+        sent = spark.sparkContext.broadcast((place, first, {place[s]: x for s, x in starts.items()}))
+
+        def read(batches):
+            found = [(b["slot"].iat[0], b["at"].to_numpy()) for b in batches if len(b)]
+            if found:
+                xs, ys = transfer(np.concatenate([t for _, t in found]), window)
+                yield pd.DataFrame({"at": [sent.value[0][int(found[0][0])]], "xs": [xs], "ys": [ys]})
+
+        def join(batches):
+            for b in batches:
+                out = []
+                for at, xs, ys, before, pxs, pys in zip(b["at"], b["xs"], b["ys"], b["before"], b["pxs"], b["pys"]):
+                    if pxs is not None and before >= sent.value[1][at]:
+                        xs, ys = compose((pxs, pys), (xs, ys))
+                    out.append((at, xs, ys))
+                yield pd.DataFrame(out, columns=["at", "xs", "ys"])
+
+        def end(batches):
+            for b in batches:
+                yield pd.DataFrame({"at": b["at"], "x": [
+                    int(apply_steps(xs, ys, np.array([sent.value[2][sent.value[1][at]]]))[0]) for at, xs, ys in zip(b["at"], b["xs"], b["ys"])
+                ]})
+
+        open_ = [slots[i] for i in first]
+        steps = materialize(rows.where(F.col("slot").isin(open_)).mapInPandas(read, STEPS))
+        reach, longest = 1, max(at - start + 1 for at, start in first.items())
+        while reach < longest:
+            earlier = steps.select(
+                (F.col("at") + reach).alias("at"), F.col("at").alias("before"), F.col("xs").alias("pxs"), F.col("ys").alias("pys"))
+            joined = materialize(steps.join(earlier, "at", "left").mapInPandas(join, STEPS))
+            release(steps)
+            steps, reach = joined, reach * 2
+        for r in steps.mapInPandas(end, "at int, x bigint").collect():
+            after = r["at"] + 1
+            if after < len(slots) and edges[slots[r["at"]]]["last_key"] == edges[slots[after]]["first_key"]:
+                starts[slots[after]] = r["x"]
+        release(steps)
+    return {slot: [x - window] for slot, x in starts.items()}
+
+
 def throttle(
     requests: DataFrame,
     key: str = "key",
@@ -78,8 +191,9 @@ def throttle(
     partitions. Each partition is answered on its own first, as if nothing came before;
     then the admits standing at a partition's end are handed to the next one of the same
     key, and partitions whose start changed are answered again, until no start changes.
-    A quiet gap ends the chain, so it takes few rounds. The driver sees one row of at
-    most ``limit`` times per partition. A request without a time is not admitted and does
+    A quiet gap ends the chain; a key that is full all the time takes as many rounds as it
+    has partitions. With limit 1 it takes log2 of them (``_chained_starts``). The driver sees
+    one row of at most ``limit`` times per partition. A request without a time is not admitted and does
     not count.
     """
     if limit < 1:
@@ -108,7 +222,11 @@ def throttle(
     starts: dict[int, list[int]] = {}
     edges: dict[int, dict] = {}
     todo = rows
-    while True:
+    if limit == 1:
+        for r in rows.mapInPandas(edges_of(starts), schema).collect():
+            edges[r["slot"]] = r.asDict()
+        starts, todo = _chained_starts(rows, edges, window), None
+    while todo is not None:
         for r in todo.mapInPandas(edges_of(starts), schema).collect():
             edges[r["slot"]] = r.asDict()
         wanted: dict[int, list[int]] = {}
