@@ -51,10 +51,6 @@ def group_duplicates(
 
     Only order, id and title hash take part; text stays where it is.
     """
-    if semantics not in ("greedy", "transitive"):
-        raise ValueError(f"unknown semantics: {semantics}")
-    spark = items.sparkSession
-    along = "pos" if semantics == "greedy" else None
     title = normalize_title(title_col)
     pos = F.col(order).cast("long")
     # An item without a title gets a title key of its own.
@@ -62,8 +58,24 @@ def group_duplicates(
         pos.alias("pos"),
         text_or_empty(id_col).alias("id_key"),
         F.when(title != "", F.unhex(F.sha2(title, 256))).otherwise(F.encode(pos.cast("string"), "UTF-8")).alias("title_key"),
+        pos.alias("label"),
     )
-    nodes = written = materialize(nodes)
+    return settle_labels(nodes, semantics, hot_rows, blocks).select(F.col("pos").alias(order), F.col("label").alias("group_id"))
+
+
+def settle_labels(
+    nodes: DataFrame, semantics: str = "greedy", hot_rows: int = skew.HOT_ROWS, blocks: int | None = None
+) -> DataFrame:
+    """``nodes`` (pos, id_key, title_key, label) with labels lowered along both keys until nothing changes.
+
+    Rows below all others may come with labels from earlier runs; they may share a ``pos``
+    below 0 if rows with a key in common have the same label.
+    """
+    if semantics not in ("greedy", "transitive"):
+        raise ValueError(f"unknown semantics: {semantics}")
+    spark = nodes.sparkSession
+    along = "pos" if semantics == "greedy" else None
+    nodes = written = materialize(nodes.select("pos", "id_key", "title_key", "label"))
     n_rows = nodes.count()
 
     hot, any_hot = {}, {}
@@ -78,7 +90,7 @@ def group_duplicates(
         nodes = nodes.withColumn("block", F.lit(-1))
     for key, salt in (("id_key", "id_salt"), ("title_key", "title_salt")):
         nodes = skew.salt_hot(nodes, key, "block", salt, hot[key] if any_hot[key] else None)
-    state = nodes.drop("block").withColumn("label", F.col("pos"))
+    state = nodes.drop("block")
 
     def sweep(df: DataFrame, value: str, out: str) -> DataFrame:
         by_id = skew.min_per_key(df, "id_key", "id_salt", value, "by_id", along, any_hot["id_key"])
@@ -100,7 +112,7 @@ def group_duplicates(
         after = written = _replace(written, materialize(after))
         final = after.where("label < old_label").isEmpty()
         state = after.drop("old_label")
-    return state.select(F.col("pos").alias(order), F.col("label").alias("group_id"))
+    return state.select("pos", "id_key", "title_key", "label")
 
 
 def _replace(old: DataFrame, new: DataFrame) -> DataFrame:

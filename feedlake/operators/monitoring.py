@@ -95,8 +95,13 @@ def job_run_summary(runs: DataFrame, tie: str | None = None) -> DataFrame:
         F.count_if(~F.col("ok")).alias("failure_count"),
         last.alias("last"),
     )
+    return job_run_report(summary)
+
+
+def job_run_report(summary: DataFrame, *keep: str) -> DataFrame:
+    """Job states from counts and the last run (ok, error, start, end, interval_s) of each job."""
     return summary.select(
-        "name", "run_count", "success_count", "failure_count",
+        "name", *keep, "run_count", "success_count", "failure_count",
         F.when(F.col("last.ok"), F.lit("success")).otherwise(F.lit("failed")).alias("last_status"),
         F.when(~F.col("last.ok"), F.col("last.error")).alias("last_error"),
         F.col("last.start").alias("last_run_start"),

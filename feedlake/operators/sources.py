@@ -18,6 +18,11 @@ def update_source_stats(sources: DataFrame, fetch_log: DataFrame, tie: str | Non
         F.max(F.when(F.col("ok"), F.col("ts"))).alias("_last_good"),
         F.max_by(F.struct("ok", "error"), newest).alias("_last"),
     )
+    return apply_fetches(sources, log)
+
+
+def apply_fetches(sources: DataFrame, log: DataFrame) -> DataFrame:
+    """``sources`` after the fetches that ``log`` sums up: id, _runs, _good, _last_good, _last (ok, error)."""
     fetched = F.col("_runs").isNotNull() & F.col("enabled")
     runs = F.col("fetch_count") + F.col("_runs")
     good = F.col("success_count") + F.col("_good")

@@ -23,7 +23,9 @@ from feedlake.session import checkpoint_dir, ship
 from feedlake.sources import feeds, sinks
 from feedlake.sources.sinks import write_event_log
 from feedlake.sources.stores import read_event_log, read_json_store
-from feedlake.streaming import rollups
+from feedlake.sources.buckets import BucketTable
+from feedlake.streaming import rollups, summaries
+from feedlake.streaming.remerge import ArticleStore, merge_items
 
 ship(__name__)
 
@@ -139,6 +141,43 @@ def feed_xml_entries(spark, sf):
     return feeds.explode_feed_xml(held, "xml", "doc_id")
 
 
+def feed_item_shapes(spark, sf):
+    """Documents as feeds of five shapes: RSS, cut in its second item, no markup, RDF, and items without a channel."""
+    doc, title = F.col("doc_id"), X.normalize_whitespace("text")
+    item = lambda n, end="</item>": F.concat(
+        F.lit("<item><title>"), _escaped(title), F.lit(f"</title><link>https://example.org/{n}/"), doc.cast("string"),
+        F.lit("</link><description><![CDATA[<item>"), F.substring(title, 1, 20), F.lit(f"</item>]]></description>{end}"))
+    shape = doc % 5
+    xml = (
+        F.when(shape == 0, F.concat(F.lit("<rss><channel><!-- <item> -->"), item(1), item(2), F.lit("</channel></rss>")))
+        .when(shape == 1, F.concat(F.lit("<rss><channel>"), item(1), item(2, "")))
+        .when(shape == 2, F.concat(F.lit("no feed "), _escaped(title)))
+        .when(shape == 3, F.concat(F.lit("<rdf:RDF><channel/>"), item(1), F.lit("<item rdf:about='x'/></rdf:RDF>")))
+        .otherwise(F.concat(F.lit("<rss>"), item(1), F.lit("<item><title>open</item></rss>")))
+    )
+    read = feeds.read_feed_items(T.documents(spark, sf).select("doc_id", xml.alias("xml")), "xml", "doc_id")
+    return read.drop("broken")
+
+
+def _remerged(spark, sf, semantics):
+    """The items as three batches, in order; the stored winner of every group."""
+    items = T.raw_items(spark, sf)
+    store = ArticleStore(f"{checkpoint_dir(spark)}/articles-{uuid.uuid4().hex}", 16)
+    low, high = items.select(F.min("arrival"), F.max("arrival")).first()
+    edges = [low + (high - low + 1) * n // 3 for n in range(4)] if low is not None else []
+    for n, (begin, end) in enumerate(zip(edges, edges[1:])):
+        merge_items(store, items.where((F.col("arrival") >= begin) & (F.col("arrival") < end)), n + 1, semantics=semantics)
+    return store.articles.read(spark).select("group_id", "arrival", "id", "source_id", "title", "content", "url")
+
+
+def remerged_articles(spark, sf):
+    return _remerged(spark, sf, "greedy")
+
+
+def remerged_articles_transitive(spark, sf):
+    return _remerged(spark, sf, "transitive")
+
+
 # --- text ---------------------------------------------------------------------------
 
 
@@ -532,10 +571,10 @@ def event_rollup_hourly(spark, sf):
     return mon.event_rollup(T.events(spark, sf))
 
 
-def job_runs(spark, sf):
+def _job_runs(spark, sf):
     """Each user's events as runs of a job; the value is the duration in seconds."""
     seconds = F.col("value").cast("decimal(18,6)")
-    runs = T.events(spark, sf).select(
+    return T.events(spark, sf).select(
         F.concat(F.lit("job"), F.col("user_id").cast("string")).alias("name"),
         F.lit(300.0).alias("interval_s"),
         F.col("ts").alias("start"),
@@ -544,13 +583,19 @@ def job_runs(spark, sf):
         F.when(F.col("event_type") == "error", F.lit("EventError: failed")).alias("error"),
         "event_id",
     )
-    done = mon.job_run_summary(runs, "event_id")
+
+
+def _shown_runs(done: DataFrame, *more: str) -> DataFrame:
     return done.select(
-        "name", "run_count", "success_count", "failure_count", "last_status", "last_error", "last_duration",
+        "name", *more, "run_count", "success_count", "failure_count", "last_status", "last_error", "last_duration",
         iso_text("last_run_end").alias("last_run_end"), iso_text("next_run").alias("next_run"),
     )
 
 
+def job_runs(spark, sf):
+    return _shown_runs(mon.job_run_summary(_job_runs(spark, sf), "event_id"))
+
+
 def dashboard(spark, sf):
     """The one-record summary, unfolded into its metrics."""
     one = mon.dashboard_summary(_samples(spark, sf), _errors(spark, sf), "event_id")
@@ -862,6 +907,46 @@ def event_rollup_stream(spark, sf):
     return counts.withColumn("window_start", iso_text("window_start"))
 
 
+def _three_batches(spark, rows: DataFrame, ts: str, what: str, start) -> str:
+    """Land ``rows`` in three parts by time and run ``start(stream, path, checkpoint)`` after each; the path."""
+    path = f"{checkpoint_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = rows.select(F.min(at), F.max(at)).first()
+    for n in range(3 if low is not None else 0):
+        begin, end = (low + (high - low + 1) * k // 3 for k in (n, n + 1))
+        rows.where((at >= begin) & (at < end)).write.mode("append").parquet(f"{path}/in")
+        start(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    return f"{path}/out"
+
+
+def source_stats_stream(spark, sf):
+    """Source statistics kept by a stream of three micro-batches."""
+    log, summary = T.fetch_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), summaries.fetch_summary()
+    out = _three_batches(spark, log, "ts", "fetches", summary.start)
+    stats = summaries.source_stats_of(summary.state(out).read(spark), T.feed_sources(spark, sf))
+    return stats.select(
+        "id", "enabled", "fetch_count", "success_count", "failure_count", "reliability_score", "last_error",
+        iso_text("last_fetched_at").alias("last_fetched_at"), summaries.LATE,
+    )
+
+
+def job_runs_stream(spark, sf):
+    """Job states kept by a stream of three micro-batches."""
+    runs = _job_runs(spark, sf).withColumns({c: F.col(c).cast("timestamp") for c in ("start", "end")})
+    summary = summaries.run_summary()
+    out = _three_batches(spark, runs, "end", "runs", summary.start)
+    return _shown_runs(summaries.job_runs_of(summary.state(out).read(spark)), summaries.LATE)
+
+
+def stored_article(spark, sf):
+    """One article out of a table stored in key buckets: one bucket is opened."""
+    articles = T.stored_articles(spark, sf).select("id", "title", "content", "rewrite_status")
+    store = BucketTable(
+        f"{checkpoint_dir(spark)}/by-id-{uuid.uuid4().hex}", "id", "id STRING, title STRING, content STRING, rewrite_status STRING", 64)
+    store.upsert(articles, 1)
+    return store.get(spark, "7")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -881,5 +966,6 @@ QUERIES: dict[str, Query] = {
         content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
         enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, json_store_users, event_log_round_trip, dedup_stream, event_rollup_stream,
+        feed_item_shapes, remerged_articles, remerged_articles_transitive, source_stats_stream, job_runs_stream, stored_article,
     )
 }

@@ -533,6 +533,23 @@ def _queries() -> dict[str, str]:
     q["dedup_stream"] = "SELECT DISTINCT sha256(text) AS content_sha FROM documents"
     q["event_rollup_stream"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%S') AS window_start, event_type, count(*) AS n FROM events
       GROUP BY ALL"""
+    norm, shape = one_line("text"), "doc_id % 5"
+    shaped = f"""shaped AS (SELECT doc_id, {norm} AS t, {shape} AS shape FROM documents),
+      whole AS (SELECT doc_id, shape, 0 AS pos, t AS title, 1 AS n, '<item>' || substr(t, 1, 20) || '</item>' AS description FROM shaped WHERE shape <> 2
+                UNION ALL SELECT doc_id, shape, 1, t, 2, '<item>' || substr(t, 1, 20) || '</item>' FROM shaped WHERE shape = 0)"""
+    q["feed_item_shapes"] = f"""WITH {shaped}
+      SELECT doc_id, pos, trim(title) AS title, 'https://example.org/' || n || '/' || doc_id AS link, description, NULL AS error FROM whole
+      UNION ALL SELECT doc_id, 1, NULL, NULL, NULL, 'cut item' FROM shaped WHERE shape = 1
+      UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'no item' FROM shaped WHERE shape = 2
+      UNION ALL SELECT doc_id, 1, '', '', '', NULL FROM shaped WHERE shape = 3
+      UNION ALL SELECT doc_id, 1, NULL, NULL, NULL, 'malformed item' FROM shaped WHERE shape = 4"""
+    stored = "group_id, arrival, id, source_id, title, content, url"
+    q["remerged_articles"] = f"WITH RECURSIVE {GREEDY}, {RANKED} SELECT {stored} FROM ranked WHERE place = 1"
+    q["remerged_articles_transitive"] = f"WITH RECURSIVE {TRANSITIVE}, {RANKED} SELECT {stored} FROM ranked WHERE place = 1"
+    # The batches come in time order, so none of their rows is late.
+    q["source_stats_stream"] = f"SELECT *, CAST(0 AS BIGINT) AS late_rows FROM ({q['source_stats']})"
+    q["job_runs_stream"] = f"SELECT *, CAST(0 AS BIGINT) AS late_rows FROM ({q['job_runs']})"
+    q["stored_article"] = f"WITH {ARTICLES} SELECT id, title, content, rewrite_status FROM articles WHERE id = '7'"
     return q
 
 

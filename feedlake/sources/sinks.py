@@ -17,6 +17,16 @@ def _filesystem(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    base, fs = _filesystem(spark, path)
+    return [e.getPath().getName() for e in fs.listStatus(base)] if fs.exists(base) else []
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target, fs = _filesystem(spark, path)
+    fs.delete(target, True)
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Committed versions below ``path``, ascending."""
     base, fs = _filesystem(spark, path)
@@ -52,8 +62,7 @@ def write_next(df: DataFrame, path: str, version: int | None = None, keep: int |
     df.write.mode("overwrite").parquet(f"{path}/v={version}")
     if keep is not None:
         for old in [v for v in known if v < version][:-keep]:
-            target, fs = _filesystem(spark, f"{path}/v={old}")
-            fs.delete(target, True)
+            delete_folder(spark, f"{path}/v={old}")
     return version
 
 
