@@ -85,14 +85,15 @@ class Shard:
             docs, cuts = blocks_of(docs, sketch)
             row = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(docs))))
             at, _ = _rows(starts, docs)
-            most = np.zeros(len(cuts) * n_terms, np.int32)
+            # Of the same type as the impacts: only then does numpy take its fast way.
+            most = np.zeros(len(cuts) * n_terms, np.int64)
             np.maximum.at(most, np.repeat(row, starts[docs + 1] - starts[docs]) * n_terms + columns[at], impacts[at])
             some = np.flatnonzero(most)
             members.append(docs)
             ends.append(n_members + np.append(cuts[1:], len(docs)))
             n_members += len(docs)
             sizes.append(np.bincount(some // n_terms, minlength=len(cuts)))
-            tops.append(most[some])
+            tops.append(most[some].astype(np.int32))
             top_columns.append((some % n_terms).astype(np.int32))
             block_lists[t + 1] += len(cuts)
         join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
