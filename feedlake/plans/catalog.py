@@ -24,7 +24,7 @@ from feedlake.sources import feeds, sinks
 from feedlake.sources.sinks import write_event_log
 from feedlake.sources.stores import read_event_log, read_json_store
 from feedlake.sources.buckets import BucketTable
-from feedlake.streaming import rollups, summaries
+from feedlake.streaming import admission, rollups, summaries
 from feedlake.streaming.remerge import ArticleStore, merge_items
 
 ship(__name__)
@@ -938,6 +938,17 @@ def job_runs_stream(spark, sf):
     return _shown_runs(summaries.job_runs_of(summary.state(out).read(spark)), summaries.LATE)
 
 
+def throttle_stream(spark, sf):
+    """Three requests a day and user, answered by a stream of three micro-batches; one row per request."""
+    events = T.events(spark, sf).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("key"))
+
+    def start(stream, path, checkpoint):
+        return admission.start_admission(stream, path, checkpoint, limit=3, window_s=86_400)
+
+    answers = admission.read_answers(spark, _three_batches(spark, events, "ts", "requests", start))
+    return answers.withColumn("key", F.col("key").cast("bigint"))
+
+
 def stored_article(spark, sf):
     """One article out of a table stored in key buckets: one bucket is opened."""
     articles = T.stored_articles(spark, sf).select("id", "title", "content", "rewrite_status")
@@ -966,6 +977,6 @@ QUERIES: dict[str, Query] = {
         content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
         enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, json_store_users, event_log_round_trip, dedup_stream, event_rollup_stream,
-        feed_item_shapes, remerged_articles, remerged_articles_transitive, source_stats_stream, job_runs_stream, stored_article,
+        feed_item_shapes, remerged_articles, remerged_articles_transitive, source_stats_stream, job_runs_stream, throttle_stream, stored_article,
     )
 }

@@ -549,6 +549,7 @@ def _queries() -> dict[str, str]:
     # The batches come in time order, so none of their rows is late.
     q["source_stats_stream"] = f"SELECT *, CAST(0 AS BIGINT) AS late_rows FROM ({q['source_stats']})"
     q["job_runs_stream"] = f"SELECT *, CAST(0 AS BIGINT) AS late_rows FROM ({q['job_runs']})"
+    q["throttle_stream"] = f"SELECT *, false AS late FROM ({q['throttle_three_per_day']})"
     q["stored_article"] = f"WITH {ARTICLES} SELECT id, title, content, rewrite_status FROM articles WHERE id = '7'"
     return q
 
