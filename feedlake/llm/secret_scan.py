@@ -111,7 +111,8 @@ def assigned_literals(text: str) -> list[tuple[str, int, int]]:
                 values += held[piece]
             else:
                 values.append(_unquoted(text, a, b))
-        held[m["name"]] = values
+        # Each literal once: names that add themselves up would double the list at every line.
+        held[m["name"]] = values = list(dict.fromkeys(values))
         found += [(m["name"], a, b) for a, b in values]
         at = max(end, m.start() + 1)
     return found
