@@ -33,11 +33,12 @@ def _published(df: DataFrame) -> Column:
     return F.concat(text, F.lit("+00:00")) if is_aware(df, "published_at") else text
 
 
-def feed_items(df: DataFrame) -> DataFrame:
-    """The ten fields of a published item; a date given as text that does not parse is null."""
+def feed_items(df: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep`` and the ten fields of a published item; a date given as text that does not parse is null."""
     no_outputs = F.array().cast("array<string>")
     url = _url(df)
     return df.select(
+        *keep,
         text_or_empty("id").alias("id"),
         _or(df, "source_id", F.lit("")).alias("source_id"),
         _or(df, "title", F.lit("")).alias("title"),
@@ -51,18 +52,20 @@ def feed_items(df: DataFrame) -> DataFrame:
     )
 
 
-def json_items(df: DataFrame) -> DataFrame:
-    """One JSON object per article: ``id``, ``item``."""
-    items = feed_items(df)
-    return items.select("id", F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"}).alias("item"))
+def json_items(df: DataFrame, *keep: str) -> DataFrame:
+    """One JSON object per article: columns ``keep``, ``id``, ``item``."""
+    items = feed_items(df, *keep)
+    fields = [c for c in items.columns if c not in keep]
+    return items.select(*keep, "id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("item"))
 
 
-def rss_fields(df: DataFrame, now: Column | None = None) -> DataFrame:
+def rss_fields(df: DataFrame, now: Column | None = None, *keep: str) -> DataFrame:
     """``title``, ``link``, ``guid``, ``description``, ``pubDate``; without a date that parses the item is dated ``now``."""
     stamp = utc_wall(df, "published_at")
     now = in_utc(F.current_timestamp() if now is None else now)
     url = _url(df)
     return df.select(
+        *keep,
         text_or_empty("title").alias("title"),
         url.alias("link"),
         F.coalesce(F.nullif("id", F.lit("")), url).alias("guid"),
@@ -71,12 +74,12 @@ def rss_fields(df: DataFrame, now: Column | None = None) -> DataFrame:
     )
 
 
-def rss_items(df: DataFrame, now: Column | None = None) -> DataFrame:
-    """One ``<item>`` element per article: ``guid``, ``item``."""
-    fields = rss_fields(df, now)
+def rss_items(df: DataFrame, now: Column | None = None, *keep: str) -> DataFrame:
+    """One ``<item>`` element per article: columns ``keep``, ``guid``, ``item``."""
+    fields = rss_fields(df, now, *keep)
     guid = F.struct(F.lit("false").alias("_isPermaLink"), F.col("guid").alias("_VALUE")).alias("guid")
     element = F.to_xml(F.struct("title", "link", guid, "description", "pubDate"), {"rowTag": "item"})
-    return fields.select("guid", element.alias("item"))
+    return fields.select(*keep, "guid", element.alias("item"))
 
 
 def form_encode(c: Column) -> Column:

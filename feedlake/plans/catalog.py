@@ -20,7 +20,7 @@ from feedlake.operators.sources import update_source_stats
 from feedlake.operators.throttle import throttle
 from feedlake.plans import jobs, stages
 from feedlake.session import checkpoint_dir, ship
-from feedlake.sources import feeds, sinks
+from feedlake.sources import feeds, pages, sinks
 from feedlake.sources.sinks import write_event_log
 from feedlake.sources.stores import read_event_log, read_json_store
 from feedlake.sources.buckets import BucketTable
@@ -682,6 +682,24 @@ def rss_feed_files(spark, sf):
     return sinks.read_rss_feed(spark, path).withColumn("n_articles", F.lit(n).cast("long"))
 
 
+def rss_feed_pages(spark, sf):
+    """The feed of all articles in pages a reader can open, newest first, each page parsed on its own."""
+    path = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    articles = T.stored_articles(spark, sf)
+    pages.write_rss_pages(articles, path, "https://example.org/feed", "News", "https://example.org", "All articles", "now", page_items=50)
+    return feeds.read_feed_items(pages.read_pages(spark, path), "document", "page")
+
+
+def json_feed_pages(spark, sf):
+    """The same pages as JSON documents, with their neighbours and items."""
+    path = f"{checkpoint_dir(spark)}/pages-{uuid.uuid4().hex}"
+    pages.write_json_pages(T.stored_articles(spark, sf), path, "https://example.org/feed", "now", page_items=50)
+    schema = "count BIGINT, next STRING, previous STRING, items ARRAY<STRUCT<id: STRING, title: STRING>>"
+    read = pages.read_pages(spark, path).select("page", F.from_json("document", schema).alias("d"))
+    return read.select("page", "d.count", "d.next", "d.previous", F.posexplode("d.items").alias("pos", "item")).select(
+        "page", "count", "next", "previous", "pos", "item.id", "item.title")
+
+
 def fan_out_targets(spark, sf):
     """Articles handed to two feeds and a failing target; what the feeds hold is read back."""
     base = f"{checkpoint_dir(spark)}/fan-{uuid.uuid4().hex}"
@@ -974,7 +992,7 @@ QUERIES: dict[str, Query] = {
         evolve_schema, valid_sessions, authorize_requests, check_unique, parse_timestamps,
         metric_counters, metric_gauges, timing_summary, error_summary, event_log, event_rollup_hourly, job_runs,
         dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
-        content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, fan_out_targets,
+        content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, rss_feed_pages, json_feed_pages, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
         enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, json_store_users, event_log_round_trip, dedup_stream, event_rollup_stream,
         feed_item_shapes, remerged_articles, remerged_articles_transitive, source_stats_stream, job_runs_stream, throttle_stream, stored_article,

@@ -484,6 +484,13 @@ def _queries() -> dict[str, str]:
       (SELECT count(*) FROM articles) AS n_articles FROM articles"""
     q["rss_feed_files"] = f"""WITH {ARTICLES} SELECT title, original_url AS link, id AS guid, {shown} AS description,
       strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') AS "pubDate", (SELECT count(*) FROM articles) AS n_articles FROM articles"""
+    paged = f"""{ARTICLES}, paged AS (SELECT *, row_number() OVER (ORDER BY published_at DESC, id) - 1 AS place, count(*) OVER () AS n FROM articles)"""
+    q["rss_feed_pages"] = f"""WITH {paged} SELECT CAST(place // 50 AS INTEGER) AS page, CAST(place % 50 AS INTEGER) AS pos, title,
+      original_url AS link, {shown} AS description, NULL AS error, NULL AS broken FROM paged"""
+    q["json_feed_pages"] = f"""WITH {paged} SELECT CAST(place // 50 AS INTEGER) AS page, n AS count,
+      CASE WHEN (place // 50 + 1) * 50 < n THEN 'https://example.org/feed/page=' || (place // 50 + 1) END AS next,
+      CASE WHEN place >= 50 THEN 'https://example.org/feed/page=' || (place // 50 - 1) END AS previous,
+      CAST(place % 50 AS INTEGER) AS pos, id, title FROM paged"""
     q["fan_out_targets"] = f"""WITH {ARTICLES} SELECT 'full' AS target, true AS ok, NULL AS error, id FROM articles
       UNION ALL SELECT 'done', true, NULL, id FROM articles WHERE rewrite_status = 'completed'
       UNION ALL SELECT 'broken', false, 'OSError: no space', NULL"""
