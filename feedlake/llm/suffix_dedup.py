@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from feedlake.llm.common import fresh, map_texts, mix64
+from feedlake.llm.common import fresh, map_texts, mix64, slices
 from feedlake.session import materialize, ship
 
 ship(__name__)
@@ -60,13 +61,22 @@ def difference_cover(period: int) -> list[int]:
 COVER = difference_cover(PERIOD)
 PLACE = np.full(PERIOD, -1, np.int64)
 PLACE[COVER] = np.arange(len(COVER))
-#: Smallest distance at which positions with these two residues both lie in the cover.
+#: Smallest distance at which positions with residues a and b both lie in the cover, at a * PERIOD + b.
 DISTANCE = np.array([
-    [next(d for d in range(PERIOD) if PLACE[(a + d) % PERIOD] >= 0 and PLACE[(b + d) % PERIOD] >= 0) for b in range(PERIOD)]
-    for a in range(PERIOD)
+    next(d for d in range(PERIOD) if PLACE[(a + d) % PERIOD] >= 0 and PLACE[(b + d) % PERIOD] >= 0)
+    for a in range(PERIOD) for b in range(PERIOD)
 ])
 
 
+def ordered(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Order of keys of ``bits`` bits; with room for the places in 64 bits the values themselves are sorted."""
+    room = int(len(keys)).bit_length()
+    if bits + room > 64:
+        return np.argsort(keys)
+    packed = np.sort(keys.astype(np.uint64) << np.uint64(room) | np.arange(len(keys), dtype=np.uint64))
+    return (packed & np.uint64((1 << room) - 1)).astype(np.int64)
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of 32 bytes, by position, and the smallest one in every window of 400."""
     codes, factor = BYTE_CODES[data], 0xD6E8FEB86659FD93
@@ -114,20 +124,30 @@ class Cover:
             self.eight = self.eight << np.uint64(8) | padded[k:k + n + SEED]
         at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).ravel()
         order, new = self.sorted_by_bytes(at)
-        self.ranks = {SEED: self._ranks(order, new)}
-        depth, have = SEED, self.ranks[SEED]
+        depth, have = SEED, self._ranks(order, new)
+        # Ranks by position in the text; places outside of the cover are never asked for.
+        self.ranks, self.whole = {}, None
+        wide = int(2 * len(have)).bit_length()
         # Past the end, a shorter suffix comes first.
         past = len(have) - np.arange(len(have))
         while depth < max(DEPTHS) or have.max(initial=0) < len(have):
             ahead = len(COVER) * (depth // PERIOD)
             beyond = np.concatenate([have[ahead:] + len(have), past[-ahead:]])
-            key = have << 32 | beyond
-            order = np.argsort(key, kind="stable")
+            if depth in DEPTHS:
+                self.ranks[depth] = self._spread(have, at, n)
+            key = have << wide | beyond
+            order = ordered(key, 2 * wide)
             have = self._ranks(order, key[order][1:] != key[order][:-1])
             depth *= 2
-            if depth in DEPTHS:
-                self.ranks[depth] = have
-        self.whole = have
+        if depth in DEPTHS:
+            self.ranks[depth] = self._spread(have, at, n)
+        self.whole = self._spread(have, at, n)
+
+    @staticmethod
+    def _spread(ranks: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n + PERIOD, np.int32)
+        out[at] = ranks
+        return out
 
     @staticmethod
     def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -136,32 +156,49 @@ class Cover:
         return out
 
     def sorted_by_bytes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order of positions by their first 32 bytes, and whether each differs from the one before it."""
+        """Order of positions by their first 32 bytes, and whether each differs from the one before it.
+
+        Equal ones are brought together by a hash, checked on the bytes; then one of each kind is sorted.
+        """
         keys = [self.eight[at + k] for k in range(0, SEED, 8)]
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(max(len(at) - 1, 0), bool)
-        for key in keys:
-            new |= key[order][1:] != key[order][:-1]
-        return order, new
+        code = keys[0]
+        for key in keys[1:]:
+            code = mix64(code) + key
+        by_code = np.argsort(code)
+        first = np.ones(len(at), bool)
+        first[1:] = code[by_code][1:] != code[by_code][:-1]
+        kind = np.cumsum(first) - 1
+        heads = by_code[first]
+        if any((key[by_code] != key[heads][kind]).any() for key in keys):
+            order = np.lexsort(keys[::-1])
+            new = np.zeros(max(len(at) - 1, 0), bool)
+            for key in keys:
+                new |= key[order][1:] != key[order][:-1]
+            return order, new
+        rank = np.empty(len(heads), np.int64)
+        rank[np.lexsort([key[heads] for key in keys][::-1])] = np.arange(len(heads))
+        group = np.empty(len(at), np.int64)
+        group[by_code] = rank[kind]
+        order = ordered(group, int(len(heads)).bit_length())
+        return order, group[order][1:] != group[order][:-1]
 
     @staticmethod
-    def rank(ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return ranks[at // PERIOD * len(COVER) + PLACE[at % PERIOD]]
+    def distance(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return DISTANCE[(i & (PERIOD - 1)) * PERIOD + (j & (PERIOD - 1))]
 
     def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Is suffix i before suffix j, given that their first 32 bytes are equal?"""
-        d = DISTANCE[i % PERIOD, j % PERIOD]
-        return self.rank(self.whole, i + d) < self.rank(self.whole, j + d)
+        d = self.distance(i, j)
+        return self.whole[i + d] < self.whole[j + d]
 
     def agree(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Are the 400 bytes at i and j equal, given that the first 32 are?"""
-        d = DISTANCE[i % PERIOD, j % PERIOD]
+        d = self.distance(i, j)
         a, b = i + d, j + d
-        same = np.ones(len(i), bool)
-        skip = 0
+        same, skip = np.ones(len(i), bool), 0
         for depth in DEPTHS:
             ranks = self.ranks[depth]
-            same &= self.rank(ranks, a + skip) == self.rank(ranks, b + skip)
+            same &= ranks[a + skip] == ranks[b + skip]
             skip += depth
         for k in range(skip, WINDOW, 8):
             same &= self.eight[i + k] == self.eight[j + k]
@@ -180,9 +217,11 @@ class Cover:
 
     def _by_cover(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Sort ties: within a residue by one rank, then residues of a group merged two and two."""
-        residue = at % PERIOD
-        own = self.rank(self.whole, at + DISTANCE[residue, residue])
-        order = np.lexsort((own, residue, group))
+        residue = at & (PERIOD - 1)
+        own = self.whole[at + self.distance(at, at)].astype(np.int64)
+        wide = int(own.max()).bit_length()
+        group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+        order = ordered((group * PERIOD + residue) << wide | own, int(group[-1] * PERIOD + PERIOD).bit_length() + wide)
         at, group, residue = at[order], group[order], residue[order]
         run = np.concatenate([np.zeros(1, np.int64), np.cumsum((group[1:] != group[:-1]) | (residue[1:] != residue[:-1]))])
         while True:
@@ -227,11 +266,13 @@ def repeated_windows(texts: list[bytes], counts: np.ndarray) -> list[np.ndarray]
     starts = begins[owner] + np.arange(len(owner)) - first[owner]
     cover = Cover(b"".join(texts))
     out = np.zeros(len(starts), bool)
+    number = np.zeros(len(cover.eight), np.int64)
+    number[starts] = np.arange(len(starts))
     leading = cover.eight[starts]
     for block in blocks_of(leading):
         which = np.flatnonzero(block)
         at, tied = cover.sort(starts[which])
-        window = np.searchsorted(starts, at)
+        window = number[at]
         same = tied.copy()
         pair = np.flatnonzero(tied)
         same[pair] = cover.agree(at[pair - 1], at[pair])
@@ -292,19 +333,44 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         F.col("r.ns").alias("n"), F.col("r.datas").alias("data"))
 
 
-def _by_hash(hot: DataFrame) -> DataFrame:
-    """Repeated windows of hot anchors' regions, every window counted on its own."""
-    def setup():
-        def work(datas):
-            return [[[xxhash.xxh3_128_digest(d[i:i + WINDOW]) for i in range(len(d) - WINDOW + 1)] for d in datas]]
+WINDOWS = "slice bigint, hash binary, n bigint, anchors array<bigint>, regions array<bigint>, sizes array<bigint>, ats array<bigint>"
 
-        return work
 
-    hashed = map_texts(hot.dropDuplicates(KEY), [*KEY, "n"], ["data"], {"hashes": "array<binary>"}, setup)
-    windows = hashed.select(*KEY, "n", F.posexplode("hashes").alias("at", "hash"))
+def _slice_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different windows of some regions, by hash, with the places of each."""
+    for batch in batches:
+        for part in slices(batch, "data"):
+            rows = part.to_pylist()
+            places = {}
+            for r in rows:
+                data, own = r["data"], (r["anchor"], r["region"], r["size"])
+                for i in range(r["size"]):
+                    places.setdefault(xxhash.xxh3_128_digest(data[i:i + WINDOW]), []).append((r["n"], *own, i))
+            out = {"slice": [rows[0]["region"]] * len(places), "hash": list(places), "n": [sum(p[0] for p in x) for x in places.values()]}
+            for k, name in enumerate(("anchors", "regions", "sizes", "ats"), 1):
+                out[name] = [[p[k] for p in x] for x in places.values()]
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def _windows_by_region(hits: pd.DataFrame) -> pd.DataFrame:
+    found = {}
+    for row in zip(hits["anchors"], hits["regions"], hits["sizes"], hits["ats"]):
+        for anchor, region, size, at in zip(*row):
+            found.setdefault((anchor, region, size), []).append(at)
+    froms = [sorted(x) for x in found.values()]
+    out = pd.DataFrame(list(found), columns=KEY)
+    return out.assign(froms=froms, tos=[[x + 1 for x in f] for f in froms])
+
+
+def _by_hash(hot: DataFrame) -> DataFrame:
+    """Repeated windows of hot anchors' regions, every window counted on its own.
+
+    Tasks merge equal windows before they are counted, so a window in a third of all documents is a row per slice
+    of regions, and so is what comes back.
+    """
+    windows = materialize(hot.dropDuplicates(KEY).mapInArrow(_slice_windows, WINDOWS))
     often = windows.groupBy("hash").agg(F.sum("n").alias("total")).where("total > 1").select("hash")
-    hits = windows.join(often, "hash").groupBy(KEY).agg(F.collect_list(F.col("at").cast("long")).alias("froms"))
-    return hits.select(*KEY, "froms", F.transform("froms", lambda x: x + 1).alias("tos"))
+    return windows.join(often, "hash").groupBy("slice").applyInPandas(_windows_by_region, RESULT)
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
