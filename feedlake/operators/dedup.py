@@ -84,7 +84,7 @@ def settle_labels(
         hot[key] = None if found is None else materialize(found)
         any_hot[key] = found is not None and not hot[key].isEmpty()
     if any(any_hot.values()):
-        blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // hot_rows))
         nodes = written = _replace(written, skew.order_blocks(nodes, "pos", "block", blocks))
     else:
         nodes = nodes.withColumn("block", F.lit(-1))

@@ -111,21 +111,42 @@ def job_run_report(summary: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def dashboard_summary(samples: DataFrame, errors: DataFrame, tie: str | None = None) -> DataFrame:
-    """One record: status, all metrics by name, and the last error per component.
-
-    Samples and errors are read once each; what is put together has a row per name.
-    """
+def _metric_rows(samples: DataFrame, tie: str | None) -> DataFrame:
+    """(name, value): the sum of every metric and the four parts of its timing."""
     parts = ["last_duration_seconds", "executions_total", "duration_seconds_total", "average_duration_seconds"]
     totals = samples.groupBy("name").agg(*_timing_parts(tie), F.sum("value").alias("sum"))
     timed = totals.select("name", "sum", *_timing_columns())
     values = [F.struct("name", F.col("sum").cast("double").alias("value"))]
     values += [F.struct(F.concat("name", F.lit(f"_{p}")).alias("name"), F.col(p).cast("double").alias("value")) for p in parts]
-    metrics = timed.select(F.explode(F.array(*values)).alias("m")).agg(F.collect_list("m").alias("metrics"))
+    return timed.select(F.explode(F.array(*values)).alias("m")).select("m.*")
+
+
+def _error_name() -> Column:
+    return F.when(F.col("is_total"), F.lit("total_errors")).otherwise(F.concat(F.lit("errors_"), "component", F.lit("_total")))
+
+
+def dashboard_rows(samples: DataFrame, errors: DataFrame, tie: str | None = None) -> DataFrame:
+    """The dashboard as a row per name: ``name``, ``value``, and ``last_error`` where it counts a component's errors.
+
+    For any number of names: nothing is gathered.
+    """
+    failures = error_summary(errors, tie)
+    failed = failures.select(
+        _error_name().alias("name"), F.col("errors_total").cast("double").alias("value"),
+        F.when(~F.col("is_total"), F.col("last_error")).alias("last_error"))
+    return _metric_rows(samples, tie).withColumn("last_error", F.lit(None).cast(failed.schema["last_error"].dataType)).unionByName(failed)
+
+
+def dashboard_summary(samples: DataFrame, errors: DataFrame, tie: str | None = None) -> DataFrame:
+    """One record: status, all metrics by name, and the last error per component.
+
+    Samples and errors are read once each; what is put together has a row per name and must fit
+    into one, else use ``dashboard_rows``.
+    """
+    metrics = _metric_rows(samples, tie).agg(F.collect_list(F.struct("name", "value")).alias("metrics"))
     failures = error_summary(errors, tie)
-    name = F.when(F.col("is_total"), F.lit("total_errors")).otherwise(F.concat(F.lit("errors_"), "component", F.lit("_total")))
     failed = failures.agg(
-        F.collect_list(F.struct(name.alias("name"), F.col("errors_total").cast("double").alias("value"))).alias("counts"),
+        F.collect_list(F.struct(_error_name().alias("name"), F.col("errors_total").cast("double").alias("value"))).alias("counts"),
         F.collect_list(F.when(~F.col("is_total"), F.struct("component", "last_error"))).alias("details"),
     )
     # Both sides are one row.

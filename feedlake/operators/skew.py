@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from feedlake.session import materialize
 
+#: No key with more rows than this is handled by one window, at any table size.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 1_000
 
 
 def hot_keys(df: DataFrame, key: str, n_rows: int, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``max(hot_rows, n_rows / 1000)`` rows.
+    """Keys with more than ``hot_rows`` rows; None when no key can have as many.
 
-    At most ``HOT_SHARE`` keys can pass that bar, so the result may be broadcast at any
-    table size. None when no key can pass it.
+    There are at most ``n_rows / hot_rows`` of them, so the list is small beside the table but grows with it.
     """
-    bar = max(hot_rows, n_rows // HOT_SHARE)
-    if n_rows <= bar:
+    if n_rows <= hot_rows:
         return None
-    return df.groupBy(key).count().where(F.col("count") > bar).select(key)
+    return df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
 
 
 def order_blocks(df: DataFrame, order: str, block: str, blocks: int) -> DataFrame:
@@ -32,10 +30,14 @@ def order_blocks(df: DataFrame, order: str, block: str, blocks: int) -> DataFram
 
 
 def salt_hot(df: DataFrame, key: str, block: str, salt: str, hot: DataFrame | None) -> DataFrame:
-    """``salt`` = the block for rows of hot keys, -1 for all others."""
+    """``salt`` = the block for rows of hot keys, -1 for all others.
+
+    Spark broadcasts the list while it is below its size limit. Beyond that it joins by key, and adaptive
+    execution splits the hot keys' rows.
+    """
     if hot is None:
         return df.withColumn(salt, F.lit(-1))
-    flagged = df.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), key, "left")
+    flagged = df.join(hot.withColumn("is_hot", F.lit(True)), key, "left")
     return flagged.withColumn(salt, F.when(F.col("is_hot"), F.col(block)).otherwise(F.lit(-1))).drop("is_hot")
 
 

@@ -452,6 +452,16 @@ def paginate_articles(spark, sf):
     return page.withColumn("published_at", iso_text("published_at"))
 
 
+def indexed_pages(spark, sf):
+    """The third and the last page of all articles by one stored index."""
+    articles = T.stored_articles(spark, sf)
+    index = pages.PageIndex(f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", "id")
+    total = index.build(articles)
+    last = max(1, -(-total // 10))
+    both = [index.page(articles, n).withColumn("page", F.lit(n)) for n in (3, last)]
+    return both[0].unionByName(both[1]).select("page", "id", "title", "content", iso_text("published_at").alias("published_at"), "rewrite_status", "total")
+
+
 def paginate_after(spark, sf):
     return tables.paginate_after(_target(spark, sf), "2", limit=10, order_by="id").select("id", "title")
 
@@ -602,6 +612,12 @@ def dashboard(spark, sf):
     return one.select("status", F.size("error_details").alias("n_error_details"), F.explode("metrics").alias("name", "value"))
 
 
+def dashboard_rows(spark, sf):
+    """The dashboard with a row per name, for any number of them."""
+    rows = mon.dashboard_rows(_samples(spark, sf), _errors(spark, sf), "event_id")
+    return rows.select("name", "value", F.col("last_error.message").alias("last_error"))
+
+
 def throttle_one_per_hour(spark, sf):
     events = T.events(spark, sf).select("event_id", "ts", F.col("user_id").alias("key"))
     return throttle(events, limit=1, window_s=3600)
@@ -988,10 +1004,10 @@ QUERIES: dict[str, Query] = {
         tokens, language, sentiment, readability, topics, topics_corpus, agent_signals, analyze_documents,
         analyze_quality_join,
         upsert_full, upsert_partial, delete_by_key, skip_completed, get_article, list_articles, list_feed,
-        list_sources, paginate_articles, paginate_after, article_stats, status_breakdown, find_user, scan_users,
+        list_sources, paginate_articles, indexed_pages, paginate_after, article_stats, status_breakdown, find_user, scan_users,
         evolve_schema, valid_sessions, authorize_requests, check_unique, parse_timestamps,
         metric_counters, metric_gauges, timing_summary, error_summary, event_log, event_rollup_hourly, job_runs,
-        dashboard, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
+        dashboard, dashboard_rows, throttle_one_per_hour, throttle_three_per_day, rolling_request_count,
         content_stages, publish_outputs, json_feed_items, json_feed_files, rss_items, rss_feed_files, rss_feed_pages, json_feed_pages, fan_out_targets,
         rewrite_with_fallback, channel_messages, fetch_and_process,
         enrich_failover, stage_isolation, feed_files, feed_errors, atom_entries, json_store_users, event_log_round_trip, dedup_stream, event_rollup_stream,

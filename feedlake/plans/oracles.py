@@ -374,6 +374,9 @@ def _queries() -> dict[str, str]:
       reliability AS reliability_score, CAST(0 AS BIGINT) AS fetch_count FROM sources"""
     q["paginate_articles"] = f"""WITH {ARTICLES} SELECT id, title, content, {iso('published_at')} AS published_at, rewrite_status,
       (SELECT count(*) FROM articles) AS total FROM articles ORDER BY id LIMIT 10 OFFSET 20"""
+    q["indexed_pages"] = f"""WITH {ARTICLES}, placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS total FROM articles)
+      SELECT CAST(place // 10 + 1 AS INTEGER) AS page, id, title, content, {iso('published_at')} AS published_at, rewrite_status, total
+      FROM placed WHERE place // 10 + 1 IN (3, (total + 9) // 10)"""
     q["paginate_after"] = f"WITH {ARTICLES} SELECT id, title FROM articles WHERE id > '2' ORDER BY id LIMIT 10"
     q["article_stats"] = """SELECT count(*) AS articles_total, count(*) FILTER (quality = 1) AS rewrites_completed,
       (SELECT count(DISTINCT source) FROM documents) AS sources_total FROM documents LEFT JOIN labels USING (doc_id)"""
@@ -441,6 +444,11 @@ def _queries() -> dict[str, str]:
         UNION ALL SELECT 'errors_' || component || '_total', CAST(count(*) AS DOUBLE) FROM faults GROUP BY component
         UNION ALL SELECT 'total_errors', CAST(count(*) AS DOUBLE) FROM faults)
       SELECT 'ok' AS status, (SELECT count(DISTINCT component) FROM faults) AS n_error_details, name, value FROM named"""
+    # The newest error of each component, by time and then number.
+    q["dashboard_rows"] = f"""WITH {faults}, rows AS ({q['dashboard']}),
+      newest AS (SELECT 'errors_' || component || '_total' AS name, message FROM faults
+                 QUALIFY row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) = 1)
+      SELECT r.name, r.value, n.message AS last_error FROM rows r LEFT JOIN newest n USING (name)"""
     q["throttle_one_per_hour"] = """WITH RECURSIVE
       e AS MATERIALIZED (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
       hop AS MATERIALIZED (SELECT a.user_id, a.i, min(b.i) AS j FROM e a JOIN e b ON b.user_id = a.user_id AND b.ts >= a.ts + INTERVAL 1 HOUR GROUP BY a.user_id, a.i),

@@ -1,13 +1,15 @@
-"""Feeds as pages: every file is a whole RSS or JSON document, linked with the pages beside it."""
+"""Pages: feeds whose files are whole RSS or JSON documents, and a stored index for pages of a table."""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from feedlake.operators.render import json_items, rss_items
+from feedlake.operators.tables import PAGE_COLUMNS
 from feedlake.session import materialize
 from feedlake.sources.sinks import delete_folder, folder_names, read_feed_manifest, read_latest, versions, write_next
 
@@ -33,6 +35,40 @@ def number_rows(df: DataFrame, name: str, *order: Column) -> tuple[DataFrame, in
     return joined.withColumn(name, F.col("_base") + row).drop("_part", "_base"), at
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """Positions of a table's rows by a unique column, stored once and used by every page.
+
+    The index holds (key, position) in order, so a page is a range of positions: the filter reaches the scan and all other
+    row groups are skipped by their bounds, whatever the page. It must be built anew when keys come or go.
+    """
+
+    path: str
+    order_by: str
+
+    def build(self, df: DataFrame) -> int:
+        """Sort the keys of ``df`` and store them; the number of rows."""
+        placed, total = number_rows(df.select(self.order_by), "position", F.col(self.order_by))
+        version = write_next(placed, f"{self.path}/keys")
+        write_next(df.sparkSession.createDataFrame([(total, version)], "total BIGINT, version BIGINT"), f"{self.path}/totals")
+        return total
+
+    def keys(self, spark: SparkSession, start: int, limit: int) -> tuple[DataFrame, int]:
+        """(key, position) of at most ``limit`` rows from ``start`` on, and the number of rows."""
+        last = read_latest(spark, f"{self.path}/totals").first()
+        held = spark.read.parquet(f"{self.path}/keys/v={last['version']}")
+        return held.where((F.col("position") >= start) & (F.col("position") < start + limit)), last["total"]
+
+    def page(self, df: DataFrame, page: int = 1, limit: int = 10) -> DataFrame:
+        """One page of ``df`` in order, with the total row count, like ``paginate`` but without sorting the keys."""
+        if page < 1 or limit < 1:
+            raise ValueError("page and limit must be at least 1")
+        keys, total = self.keys(df.sparkSession, (page - 1) * limit, limit)
+        columns = [c for c in PAGE_COLUMNS if c in df.columns]
+        found = df.join(keys.select(self.order_by), self.order_by).select(*columns)
+        return found.orderBy(self.order_by).withColumn("total", F.lit(total).cast("long"))
+
+
 def _write_pages(items: DataFrame, count: int, path: str, page_items: int, document, keep: int) -> int:
     """One file per page of ``items`` (_place, item), then the manifest; folders no manifest names are removed.
 

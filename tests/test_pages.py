@@ -46,3 +46,18 @@ def test_json_pages_and_removal_of_old_ones(spark, tmp_path):
     assert documents[0]["next"] == "http://f/page=1" and documents[0]["previous"] is None
     assert {i["title"] for d in documents.values() for i in d["items"]} == {f"T <{i}> & ü" for i in range(12)}
     assert pages.read_pages(spark, path).count() == 2
+
+
+def test_page_index_reads_a_range_of_positions(spark, tmp_path):
+    df = articles(spark, 57)
+    index = pages.PageIndex(str(tmp_path), "id")
+    assert index.build(df) == 57
+    for page in (1, 3, 6, 7):
+        rows = index.page(df, page, 10).collect()
+        assert [r.id for r in rows] == [f"a{i:03}" for i in range((page - 1) * 10, min(page * 10, 57))]
+        assert all(r.total == 57 for r in rows)
+    keys, _ = index.keys(spark, 50, 10)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(position,50), LessThan(position,60)" in plan and "Sort" not in plan
+    assert index.build(df.where("id < 'a020'")) == 20
+    assert [r.id for r in index.page(df, 2, 15).collect()] == [f"a{i:03}" for i in range(15, 20)]
