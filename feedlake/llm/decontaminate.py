@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from feedlake.llm.common import WordHashes, fresh, mix64, slices
@@ -41,17 +42,43 @@ def kept_classes(window: int) -> list[tuple[int, ...]]:
     return list(combinations(range(CLASSES), CLASSES - SUBSTITUTIONS))
 
 
-def seed_keys(hashes: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each mask, the hash of the tokens it reads, by position of the window."""
-    n = len(hashes) - window + 1
-    if n <= 0:
+class KnownHashes(WordHashes):
+    """Word hashes whose lowest bit tells whether the word may be one of the items' (never a wrong no)."""
+
+    def __init__(self, vocabulary: bytes):
+        super().__init__()
+        self.vocabulary, self.mask = vocabulary, len(vocabulary) * 8 - 1
+
+    def __missing__(self, word):
+        if len(self) >= self.size:
+            self.clear()
+        value = xxhash.xxh3_64_intdigest(word)
+        at = value >> 8 & self.mask
+        value = self[word] = value & ~1 | (self.vocabulary[at >> 3] >> (at & 7) & 1)
+        return value
+
+
+def candidates(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Windows that can match: all of their words but those that may be substituted are words of the items."""
+    if len(hashes) < window:
+        return np.empty(0, np.int64)
+    known = np.concatenate([np.zeros(1, np.int64), np.cumsum(hashes & np.uint64(1)).astype(np.int64)])
+    allowed = SUBSTITUTIONS if window == WINDOW else 0
+    return np.flatnonzero(known[window:] - known[:-window] >= window - allowed)
+
+
+def seed_keys(hashes: np.ndarray, window: int, at: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each mask, the hash of the tokens it reads, for the windows ``at`` (default: all)."""
+    at = np.arange(len(hashes) - window + 1) if at is None else at
+    n = len(at)
+    if not n:
         return []
     # One sum per class of positions; a mask's key is the sum of its classes' sums.
     classes = np.zeros((CLASSES, n), np.uint64)
     factor = 0x9E3779B97F4A7C15
     for i in range(window):
         factor = factor * 0xD6E8FEB86659FD93 % (1 << 64)
-        classes[i % CLASSES] += mix_token(hashes[i:i + n], factor)
+        classes[i % CLASSES] += mix_token(hashes[at + i], factor)
     out = []
     for m, part in enumerate(kept_classes(window)):
         total = np.full(n, window * 64 + m, np.uint64)
@@ -81,7 +108,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     if len(ws) < MIN_TOKENS:
                         continue
                     window = min(WINDOW, len(ws))
-                    for keys in seed_keys(hashes.of(ws), window):
+                    for keys in seed_keys(hashes.of(ws) | np.uint64(1), window):
                         for at, key in enumerate(keys.view(np.int64).tolist()):
                             for name, value in zip(names, (item_id, window, ws[at:at + window], key)):
                                 rows[name].append(value)
@@ -123,6 +150,24 @@ def key_filter(windows: DataFrame) -> np.ndarray:
     return out
 
 
+def vocabulary_of(windows: DataFrame) -> bytes:
+    """A bit for the hash of every word of the items; never larger than ``MOST_FILTER_BITS``."""
+    words = windows.select(F.explode("item_tokens").alias("word")).distinct()
+    n, bits = words.count(), 1 << 16
+    while bits < min(n * FILTER_BITS_PER_KEY, MOST_FILTER_BITS):
+        bits *= 2
+
+    def run(batches):
+        for rows in batches:
+            at = WordHashes().of(rows["word"].tolist()) >> np.uint64(8) & np.uint64(bits - 1)
+            yield pd.DataFrame({"byte": (at >> np.uint64(3)).astype(np.int64), "bit": np.left_shift(1, (at & np.uint64(7)).astype(np.int64))})
+
+    found = words.mapInPandas(run, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(bits >> 3, np.uint8)
+    out[found["byte"].to_numpy()] = found["bit"].to_numpy()
+    return out.tobytes()
+
+
 def passing(keys: np.ndarray, filter_words: np.ndarray) -> np.ndarray:
     """Positions whose key may be in the filter."""
     at = np.arange(len(keys))
@@ -132,26 +177,38 @@ def passing(keys: np.ndarray, filter_words: np.ndarray) -> np.ndarray:
     return at
 
 
-def document_windows(docs: DataFrame, keep: list[str], windows: list[int], filter_words: np.ndarray) -> DataFrame:
-    """Columns ``keep``, and (window, at, doc_tokens, key) of every window that passes the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_words)
+def document_windows(
+    docs: DataFrame, keep: list[str], windows: list[int], filter_words: np.ndarray, vocabulary: bytes
+) -> DataFrame:
+    """Columns ``keep``, and (window, at, doc_tokens, key) of every window that passes both filters.
+
+    Most windows hold too many words that no item has, and are dropped before any mask is laid on them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((filter_words, vocabulary))
     names = ["window", "at", "doc_tokens", "key"]
 
     def run(batches):
-        hashes, words = WordHashes(), shared.value
+        words, known = shared.value
+        hashes = KnownHashes(known)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, row = {n: [] for n in names}, []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    ws = tokens(text)
-                    ids = hashes.of(ws)
-                    for window in windows:
-                        for keys in seed_keys(ids, window):
-                            for at in passing(keys, words).tolist():
-                                row.append(i)
-                                values = (window, at, ws[at:at + window], int(keys[at].view(np.int64)))
-                                for name, value in zip(names, values):
-                                    rows[name].append(value)
+                split = [tokens(t) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([len(ws) for ws in split])
+                ids = hashes.of([w for ws in split for w in ws])
+                for window in windows:
+                    places = candidates(ids, window)
+                    owner = np.searchsorted(ends, places, "right")
+                    inside = places + window <= ends[owner]
+                    places, owner = places[inside], owner[inside]
+                    for keys in seed_keys(ids, window, places):
+                        for k in passing(keys, words).tolist():
+                            i = int(owner[k])
+                            at = int(places[k] - ends[i]) + len(split[i])
+                            row.append(i)
+                            values = (window, at, split[i][at:at + window], int(keys[k].view(np.int64)))
+                            for name, value in zip(names, values):
+                                rows[name].append(value)
                 kept = part.select(keep).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, pa.array(rows["window"], pa.int32()), pa.array(rows["at"], pa.int64()),
@@ -182,7 +239,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = Non
     keep = keep or ["doc_id"]
     items = benchmark_windows(benchmark)
     lengths = sorted(r[0] for r in items.select("window").distinct().collect())
-    found = document_windows(docs, keep, lengths, key_filter(items))
+    found = document_windows(docs, keep, lengths, key_filter(items), vocabulary_of(items))
     allowed = F.when(F.col("window") < WINDOW, 0).otherwise(SUBSTITUTIONS)
     hits = found.join(items, ["key", "window"]).where(substituted("doc_tokens", "item_tokens") <= allowed)
     return hits.groupBy(*keep, "item_id").agg(
