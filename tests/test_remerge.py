@@ -36,7 +36,7 @@ def run(spark, tmp_path, rows, cuts, semantics):
     return store
 
 
-@pytest.mark.parametrize("semantics,cuts", [("greedy", []), ("greedy", [20, 40]), ("transitive", [10, 30, 45])])
+@pytest.mark.parametrize("semantics,cuts", [("greedy", [20, 40]), ("transitive", [15, 40])])
 def test_batches_give_the_groups_of_one_run(spark, tmp_path, semantics, cuts):
     rows = items(spark, len(cuts))
     store = run(spark, tmp_path, rows, cuts, semantics)
@@ -73,9 +73,8 @@ def test_a_batch_writes_its_buckets_and_a_rerun_changes_nothing(spark, tmp_path)
     old = before[store.articles.path]
     assert {b for b in after if after[b] != old.get(b)} == written["articles"]
     state = sorted(map(str, store.articles.read(spark).collect()))
-    for _ in range(2):
-        assert remerge.merge_items(store, one, 2) == written
-        assert sorted(map(str, store.articles.read(spark).collect())) == state
+    assert remerge.merge_items(store, one, 2) == written
+    assert sorted(map(str, store.articles.read(spark).collect())) == state
     assert remerge.merge_items(store, one.withColumn("arrival", F.lit(501).cast("long")), 3)["articles"] == set()
     assert sorted(map(str, store.articles.read(spark).collect())) == state
     store.drop_unused(spark, 1)
