@@ -16,13 +16,14 @@ any share of the documents is one suffix per slice.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from feedlake.llm.common import WordHashes, mix64, window_hashes, words
+from feedlake.llm.common import mix64, window_hashes, word_hashes, words
 from feedlake.session import materialize, ship
 
 ship(__name__)
@@ -39,9 +40,12 @@ BINS = 1 << 16
 BIN_CHUNK = 1 << 10
 
 
-def block_hashes(tokens: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Hash of every seven words, by position."""
-    return window_hashes(hashes.of(tokens), BLOCK)
+def block_hashes(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the hash of every seven words, by position; and the numbers of words."""
+    hashes, sizes = word_hashes(texts)
+    found = window_hashes(hashes, BLOCK)
+    firsts = np.cumsum(sizes) - sizes
+    return [found[a:a + max(n - BLOCK + 1, 0)] for a, n in zip(firsts.tolist(), sizes.tolist())], sizes
 
 
 def _sliding(values: np.ndarray, size: int, of) -> np.ndarray:
@@ -71,12 +75,44 @@ def suffixes(blocks: np.ndarray) -> np.ndarray:
     return np.stack([blocks[j * BLOCK:j * BLOCK + n] for j in range(BLOCKS)], axis=1).astype(np.uint32)
 
 
-def prefix_bins(rows: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the first ``length`` blocks of each suffix."""
-    total = np.full(len(rows), length, np.uint64)
-    for j in range(length):
+def prefix_hashes(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Hash of the first one, two, ... blocks of each suffix."""
+    total = np.ones(len(rows), np.uint64)
+    for j in range(BLOCKS):
         total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
-    return total
+        yield total
+
+
+def prefix_loads(blocks: list[np.ndarray]) -> np.ndarray:
+    """How many windows of the documents fall into each bin, by length of the prefix."""
+    loads = np.zeros((BLOCKS - 1, BINS), np.int64)
+    held, size = [], 0
+    for at, of_document in enumerate(blocks, 1):
+        if len(of_document) >= WINDOW - BLOCK + 1:
+            held.append(suffixes(of_document))
+            size += len(held[-1])
+        if held and (size >= BINS or at == len(blocks)):
+            for load, prefix in zip(loads, prefix_hashes(np.concatenate(held))):
+                load += np.bincount((prefix % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+            held, size = [], 0
+    return loads
+
+
+def tree_order(rows: np.ndarray) -> np.ndarray:
+    """Order of suffixes: by two blocks at once, and by all where suffixes with these two differ further on."""
+    wide = rows.astype(np.uint64)
+    first, second = (wide[:, j] << np.uint64(32) | wide[:, j + 1] for j in (0, 2))
+    order = np.argsort(first)
+    same = first[order][1:] == first[order][:-1]
+    rest = (second[order][1:] != second[order][:-1]) | (rows[order, 4][1:] != rows[order, 4][:-1])
+    run = np.concatenate([[0], np.cumsum(~same)])
+    parted = np.zeros(run[-1] + 1, bool)
+    parted[run[1:][same & rest]] = True
+    open_ = parted[run]
+    if open_.any():
+        part = order[open_]
+        order[open_] = part[np.lexsort([rows[part, 4], second[part], first[part]])]
+    return order
 
 
 def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,7 +123,7 @@ def distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """
     if not len(rows):
         return rows, np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.lexsort(rows.T[::-1])
+    order = tree_order(rows)
     leaves = rows[order]
     common = np.cumprod(leaves[1:] == leaves[:-1], axis=1).sum(axis=1)
     starts = np.concatenate([[True], common < BLOCKS])
@@ -101,9 +137,8 @@ class Slice:
     """The windows of a slice's documents that have a repeated anchor."""
 
     def __init__(self, texts: list[str | None], n: int):
-        hashes = WordHashes()
         self.n = n
-        self.blocks = [block_hashes(words(t), hashes) for t in texts]
+        self.blocks, self.sizes = block_hashes(texts)
         found = [anchors(b) for b in self.blocks]
         self.windows = [a for a, _ in found]
         chosen = np.concatenate([np.empty(0, np.uint64), *(c for _, c in found)])
@@ -149,14 +184,7 @@ def _anchor_rows(rows: pd.DataFrame, n: int) -> pd.DataFrame:
         (own.keys >> np.uint64(32)).astype(np.int64), own.keys.astype(np.uint32), np.minimum(own.counts, 2).astype(np.uint8)
     )
     found = pd.DataFrame({"kind": 0, "bucket": bucket, "keys": keys, "counts": counts})
-    loads = np.zeros((BLOCKS - 1, BINS), np.int64)
-    for blocks in own.blocks:
-        if len(blocks) >= WINDOW - BLOCK + 1:
-            all_suffixes = suffixes(blocks)
-            for k in range(BLOCKS - 1):
-                at = (prefix_bins(all_suffixes, k + 1) % np.uint64(BINS)).astype(np.int64)
-                loads[k] += np.bincount(at, minlength=BINS)
-    chunks = loads.reshape(-1, BIN_CHUNK)
+    chunks = prefix_loads(own.blocks).reshape(-1, BIN_CHUNK)
     used = np.flatnonzero(chunks.any(axis=1))
     sums = pd.DataFrame({
         "kind": 1, "bucket": used, "keys": [b""] * len(used), "counts": [chunks[i].astype(np.int64).tobytes() for i in used],
@@ -186,18 +214,17 @@ def _flags(rows: pd.DataFrame, kind: int) -> np.ndarray:
 
 def groups_of(rows: np.ndarray, lengthened: np.ndarray, n_groups: int) -> np.ndarray:
     """Group of each suffix: by the shortest prefix whose bin is not marked in ``lengthened``."""
-    group = prefix_bins(rows, BLOCKS)
+    group = np.empty(len(rows), np.uint64)
     open_ = np.ones(len(rows), bool)
-    for k in range(BLOCKS - 1):
-        prefix = prefix_bins(rows, k + 1)
-        ends = open_ & ~lengthened[k][(prefix % np.uint64(BINS)).astype(np.int64)]
+    for k, prefix in enumerate(prefix_hashes(rows)):
+        ends = open_.copy() if k == BLOCKS - 1 else open_ & ~lengthened[k][(prefix % np.uint64(BINS)).astype(np.int64)]
         group[ends] = prefix[ends]
         open_ &= ~ends
     return ((group >> np.uint64(20)) % np.uint64(n_groups)).astype(np.int64)
 
 
 def _suffixes_by_group(texts, totals, n, lengthened):
-    """Distinct suffixes of a slice sorted by group, the place of every candidate window in them, positions."""
+    """Distinct suffixes of a slice sorted by group, the place of every candidate window in them, positions, numbers of words."""
     own = Slice(texts, n)
     rows, positions = own.repeated(totals)
     leaves, place, counts = distinct_rows(rows)
@@ -205,7 +232,7 @@ def _suffixes_by_group(texts, totals, n, lengthened):
     order = np.argsort(group, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return group[order], leaves[order], counts[order], rank[place], positions
+    return group[order], leaves[order], counts[order], rank[place], positions, own.sizes
 
 
 def _tree_flags(rows: pd.DataFrame) -> pd.DataFrame:
@@ -255,19 +282,19 @@ def mark_repeats(docs: DataFrame, finish, schema: str, keep: list[str]) -> DataF
     def deal(rows: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"group": [], "slice": [], "keys": [], "counts": []})
-        group, leaves, counts, _, _ = _suffixes_by_group(rows["text"].tolist(), _flags(totals, 0), n, lengthened.value)
+        group, leaves, counts, _, _, _ = _suffixes_by_group(rows["text"].tolist(), _flags(totals, 0), n, lengthened.value)
         heads, (keys, counts) = _split_by(group, leaves, np.minimum(counts, 2).astype(np.uint8))
         return pd.DataFrame({"group": heads, "slice": int(rows["slice"].iloc[0]), "keys": keys, "counts": counts})
 
     def back(rows: pa.Table, flags: pa.Table) -> pa.Table:
         texts, known = rows.column("text").to_pylist(), flags.to_pandas()
-        _, _, _, place, positions = _suffixes_by_group(texts, _flags(known, 0), n, lengthened.value)
+        _, _, _, place, positions, sizes = _suffixes_by_group(texts, _flags(known, 0), n, lengthened.value)
         repeated = _flags(known, 1)[place] == 1
         masks, at = [], 0
-        for text, starts in zip(texts, positions):
+        for size, starts in zip(sizes.tolist(), positions):
             hit = repeated[at:at + len(starts)]
             at += len(starts)
-            masks.append(covered(len(words(text)), starts[hit]))
+            masks.append(covered(size, starts[hit]))
         return finish(rows.drop_columns(["slice", "text"]).rename_columns(keep), texts, masks)
 
     dealt = sliced.groupBy("slice").cogroup(anchor_flags.groupBy("slice")).applyInPandas(

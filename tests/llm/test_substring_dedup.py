@@ -5,6 +5,7 @@ import numpy as np
 
 from cases import ODD, PASSAGE, WORDS, documents, no_documents, odd_documents, split
 from feedlake.llm import substring_dedup as D
+from feedlake.llm.common import word_hashes, words
 
 SIZE = 35
 
@@ -87,3 +88,24 @@ def test_large_ids_beside_null_ids(spark):
     docs = spark.createDataFrame([(big + 2 * i, "a b c") for i in range(40)] + [(None, "a")] * 40, "doc_id long, text string")
     assert {r.doc_id for r in D.removed_digests(docs).collect()} == {None, *(big + 2 * i for i in range(40))}
     assert {r.doc_id for r in D.remove_repeats(docs).collect()} == {None, *(big + 2 * i for i in range(40))}
+
+
+def test_word_hashes_in_one_pass():
+    texts = [" ab  cd\tab\n", None, "", "é\x1cx \x85 " + "long" * 20, "cd", *(f"w{i % 50} {i} " + "z" * (i % 40) for i in range(300))]
+    split_up = [words(t) for t in texts]
+    hashes, sizes = word_hashes(texts)
+    assert sizes.tolist() == [len(w) for w in split_up]
+    of = {}
+    for word, value in zip((w for found in split_up for w in found), hashes.tolist()):
+        assert of.setdefault(word, value) == value
+    assert len(set(of.values())) == len(of)
+    parts, counts = word_hashes(texts, 7)
+    assert parts.tolist() == hashes.tolist() and counts.tolist() == sizes.tolist()
+    assert [len(x) for x in word_hashes([])] == [0, 0] and [len(x) for x in word_hashes([None])] == [0, 1]
+
+
+def test_tree_order():
+    rows = np.random.default_rng(5).integers(0, 3, (4000, D.BLOCKS)).astype(np.uint32)
+    assert rows[D.tree_order(rows)].tolist() == sorted(rows.tolist())
+    loads = D.prefix_loads([np.arange(40, dtype=np.uint64)] * 3 + [np.empty(0, np.uint64)])
+    assert loads.sum(axis=1).tolist() == [3 * (40 - (D.WINDOW - D.BLOCK))] * (D.BLOCKS - 1) and loads.max() >= 3
