@@ -83,24 +83,33 @@ def grow_groups(
 
 
 def ranked_candidates(items: DataFrame, groups: DataFrame, order: str = "arrival") -> DataFrame:
-    """The best item of each group of a batch: group_id, ``order``, the rank columns and the clean columns."""
+    """The best item of each group of a batch, without texts: group_id, ``order`` and the rank columns."""
     ranked = items.select(order, *rank_columns()).join(groups, order)
     best = W.partitionBy("group_id").orderBy(*RANKS, order)
-    chosen = ranked.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
-    return items.select(order, *CLEAN_COLUMNS).join(chosen, order).select("group_id", order, *RANKS, *CLEAN_COLUMNS)
+    return ranked.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("group_id", order, *RANKS)
 
 
 def best_of(stored: DataFrame, candidates: DataFrame, order: str = "arrival") -> DataFrame:
-    """The better of a group's stored winner and its candidates, for every group of ``candidates``.
+    """The better of a group's stored winner and its candidates, for every group of ``candidates``, without texts.
 
     Ranks are those at the time of each item's fetch, so the winner is a minimum and batches may be split anyhow.
     """
-    columns = ["group_id", order, *RANKS, *CLEAN_COLUMNS]
+    columns = ["group_id", order, *RANKS]
     both = stored.select(*columns).unionByName(candidates.select(*columns))
     best = W.partitionBy("group_id").orderBy(*RANKS, order)
     return both.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
 
 
+def with_contents(chosen: DataFrame, texts: DataFrame, order: str = "arrival") -> DataFrame:
+    """``chosen`` items (group_id, ``order``, ...) with their clean columns out of ``texts``, which move once, in this join.
+
+    One row per chosen item, also if ``order`` repeats among the texts.
+    """
+    found = chosen.join(texts.select(order, *CLEAN_COLUMNS), order)
+    one = W.partitionBy(order, "group_id").orderBy("id")
+    return found.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*chosen.columns, *CLEAN_COLUMNS)
+
+
 def follow(labels: DataFrame, moves, column: str = "label") -> DataFrame:
     """``labels`` with ``column`` moved along ``moves(labels)`` (label, into) until none of them moves on."""
     while True:

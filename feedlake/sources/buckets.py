@@ -68,15 +68,22 @@ class BucketTable:
     def _fields(self) -> list[tuple[str, str]]:
         return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(self.schema)]
 
-    def upsert(self, rows: DataFrame, version: int, gone: DataFrame | None = None) -> set[int]:
+    def typed(self, rows: DataFrame) -> DataFrame:
+        """The table's columns of ``rows``, in the table's types."""
+        return rows.select(*(F.col(name).cast(kind) for name, kind in self._fields()))
+
+    def upsert(self, rows: DataFrame, version: int, gone: DataFrame | None = None, keys: DataFrame | None = None) -> set[int]:
         """Version ``version``: ``rows`` replace those with their key, keys of ``gone`` are left out.
 
         ``rows`` has unique keys. Returns the buckets written. A bucket may be larger than a task: Spark
-        splits it by size.
+        splits it by size. With ``keys``, a stored table with the keys of ``rows``, the rows are made once,
+        as they are written, and not stored in between.
         """
         spark = rows.sparkSession
-        rows = materialize(rows.select(*(F.col(name).cast(kind) for name, kind in self._fields())))
-        out = rows.select(self.key)
+        rows = self.typed(rows)
+        if keys is None:
+            keys = rows = materialize(rows)
+        out = keys.select(F.col(self.key).cast(self._key_type()))
         if gone is not None:
             gone = materialize(gone.select(self.key).distinct())
             out = out.unionByName(gone)

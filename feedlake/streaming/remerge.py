@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedlake.operators.incremental import best_of, follow, grow_groups, item_nodes, keys_of, ranked_candidates
+from feedlake.operators.incremental import best_of, follow, grow_groups, item_nodes, keys_of, ranked_candidates, with_contents
 from feedlake.operators.merge import CLEAN_COLUMNS, RANKS
 from feedlake.operators.render import CHANNELS, publish_outputs
 from feedlake.operators.sources import update_source_stats
@@ -108,25 +108,27 @@ def merge_items(
     # Only joined groups move, and greedy ones are never joined.
     written["moved"] = store.moved.upsert(moved, version) if semantics == "transitive" else set()
 
-    # Winners of groups that were joined compete in the older group.
-    candidates = materialize(ranked_candidates(raw.where("id IS NOT NULL AND id <> ''"), groups))
+    # Winners of groups that were joined compete in the older group. All is decided without texts.
+    named = raw.where("id IS NOT NULL AND id <> ''")
+    candidates = ranked_candidates(named, groups)
     left = store.articles.lookup(moved.select(F.col("label").alias("group_id")), version)
     joined = left.join(moved.withColumnRenamed("label", "group_id"), "group_id").withColumn("group_id", F.col("into"))
     columns = candidates.columns
     candidates = materialize(candidates.unionByName(joined.select(*columns)))
-    held = materialize(store.articles.lookup(candidates.select("group_id").distinct(), version))
+    held = materialize(store.articles.lookup(candidates.select("group_id").distinct(), version).select(*columns))
     best = best_of(held, candidates)
     news = best.join(held.select("group_id", F.col("arrival").alias("was")), "group_id", "left").where("was IS NULL OR was <> arrival")
-    pending = news.drop("was").withColumnRenamed("url", "original_url").withColumns(
+    news = materialize(news.drop("was"))
+    # A new winner is an item of the batch or the winner of a group that was joined.
+    texts = named.select("arrival", *CLEAN_COLUMNS).unionByName(left.select("arrival", *CLEAN_COLUMNS))
+    pending = with_contents(news, texts).withColumnRenamed("url", "original_url").withColumns(
         {"rewritten_content": F.lit(None).cast("string"), "rewrite_status": F.lit("pending")})
     accepted = {c: F.lit(True) for c in CHANNELS} if channels is None else channels
-    done = materialize(publish_outputs(rewrite(pending), accepted)).withColumnRenamed("original_url", "url").select(
-        "group_id", "arrival", *RANKS, *CLEAN_COLUMNS, "rewritten_content", "rewrite_status", "published_outputs",
-        F.lit(version).cast("long").alias("batch"),
-    )
-    written["articles"] = store.articles.upsert(done, version, moved.select(F.col("label").alias("group_id")))
+    done = publish_outputs(rewrite(pending), accepted).withColumnRenamed("original_url", "url")
+    gone = moved.select(F.col("label").alias("group_id"))
+    written["articles"] = store.articles.upsert(done.withColumn("batch", F.lit(version)), version, gone, news)
     ended = dt.datetime.now(dt.UTC)
-    row = (version, began, ended, (ended - began).total_seconds(), raw.count(), done.count())
+    row = (version, began, ended, (ended - began).total_seconds(), raw.count(), news.count())
     written["runs"] = store.runs.upsert(spark.createDataFrame([row], RUNS), version)
     return written
 

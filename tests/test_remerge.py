@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from feedlake.operators import dedup, merge
-from feedlake.sources import feeds
+from feedlake.operators import dedup, incremental, merge
+from feedlake.sources import buckets, feeds
 from feedlake.sources.buckets import BucketTable
 from feedlake.streaming import remerge
 from feedlake.streaming.remerge import ArticleStore
@@ -15,6 +15,7 @@ ITEM = (
     "arrival BIGINT, id STRING, source_id STRING, source_name STRING, source_priority INT, source_weight DOUBLE, "
     "source_reliability_score DOUBLE, title STRING, content STRING, url STRING, published_at TIMESTAMP"
 )
+ITEM_COLUMNS = [field.split()[0] for field in ITEM.split(", ")]
 
 
 def items(spark, seed, n=60):
@@ -112,6 +113,28 @@ def test_bucket_table(spark, tmp_path):
     assert table.read(spark).count() == 0 and table.manifest(spark) == {}
 
 
+def test_texts_are_written_with_the_batch_and_with_the_store_only(spark, tmp_path, monkeypatch):
+    stored = []
+
+    def spy(module):
+        plain = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df: stored.append(df.columns) or plain(df))
+
+    spy(remerge)
+    spy(buckets)
+    store = run(spark, tmp_path, items(spark, 3), [30], "transitive")
+    assert [c for c in stored if "content" in c or "rewritten_content" in c] == [ITEM_COLUMNS] * 2
+    runs = {r.batch: r.n_articles for r in store.runs.read(spark).collect()}
+    assert sum(runs.values()) >= store.articles.read(spark).count() > 0
+
+
+def test_a_repeated_arrival_gives_one_article(spark):
+    rows = items(spark, 4, 6).coalesce(1)
+    news = rows.select(F.col("arrival").alias("group_id"), "arrival")
+    found = incremental.with_contents(news, rows.unionAll(rows)).collect()
+    assert sorted((r.group_id, r.content) for r in found) == [(i, f"c{i}") for i in range(6)]
+
+
 FEED = "<rss><channel>{}</channel></rss>"
 ENTRY = "<item><title>{}</title><link>{}</link><description>{}</description></item>"
 
