@@ -153,6 +153,22 @@ class Encoder:
         self.at_space = np.append(self.at_space, at_space)
 
 
+def process_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker; Spark's workers live on from task to task, and so do the pieces they know.
+
+    It hangs on the tokenizers module, as functions that are shipped by value have globals of their own in every task.
+    """
+    import tokenizers
+
+    stat = os.stat(path)
+    key = (path, stat.st_mtime_ns, stat.st_size)
+    held_key, encoder = getattr(tokenizers, "_feedlake_encoder", (None, None))
+    if held_key != key:
+        encoder = Encoder(path)
+        tokenizers._feedlake_encoder = (key, encoder)
+    return encoder
+
+
 def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and rules (pairs of symbols) that expand to ``ids``.
 
@@ -281,7 +297,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     kind = docs.schema["doc_id"].dataType
 
     def run(batches):
-        encoder = Encoder(tokenizer)
+        encoder = process_encoder(tokenizer)
         number, ids, held, size = 0, [], [], 0
 
         def close():

@@ -1,4 +1,6 @@
+import os
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -87,3 +89,15 @@ def test_odd_rows_in_small_shards(spark, tokenizer, tmp_path):
     ids = {(r.doc_id, tuple(r.ids)) for r in T.read_tokens(spark, str(tmp_path / "t")).collect()}
     assert ids == {(d.doc_id, tuple(ids_of(tokenizer, d.text))) for d in docs.collect()}
     assert T.round_trip(no_documents(spark)).count() == 0
+
+
+def test_a_worker_keeps_its_encoder(tmp_path):
+    path = str(shutil.copyfile(T.tokenizer_path(), tmp_path / "own.json"))
+    first = T.process_encoder(path)
+    ids = [x.tolist() for x in first.batch(["one two", " two  three", None])]
+    again = T.process_encoder(path)
+    assert again is first and len(again.known) > 0
+    assert [x.tolist() for x in again.batch(["one two", " two  three", None])] == ids
+    os.utime(path, ns=(1, 1))
+    renewed = T.process_encoder(path)
+    assert renewed is not first and [x.tolist() for x in renewed.batch(["one two", " two  three", None])] == ids
