@@ -27,9 +27,16 @@ def count_hits(words: Column, lexicon: Sequence[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(entries)))
 
 
+def words_of_lexicons(words: Column, *lexicons: Sequence[str]) -> Column:
+    """The ``words`` that are in any of ``lexicons``, for several counts after one pass."""
+    entries = [*dict.fromkeys(w for lexicon in lexicons for w in lexicon)]
+    return F.filter(words, lambda w: w.isin(entries))
+
+
 def persian_share(c: Column | str) -> Column:
     text = text_or_empty(c)
-    others = F.length(F.regexp_replace(text, f"[{lex.PERSIAN_RANGES}]+", ""))
+    # The outer range spares most characters the look at the inner ones.
+    others = F.length(F.regexp_replace(text, f"[\u0600-\uFEFF&&[{lex.PERSIAN_RANGES}]]+", ""))
     return F.coalesce(F.try_divide(F.length(text) - others, F.length(text)), F.lit(0.0))
 
 
@@ -126,7 +133,8 @@ def topic_candidates(words: Column, stop_words: Sequence[str]) -> Column:
     stop = list(stop_words)
     return F.filter(
         words,
-        lambda w: (F.length(w) > 2) & ~w.isin(stop) & ~F.rlike(w, F.lit(r"\A\p{Nd}+\z")),
+        # A word that begins with a plain letter is no number and needs no pattern.
+        lambda w: (F.length(w) > 2) & ~w.isin(stop) & (w.between("a", "{") | ~F.rlike(w, F.lit(r"\A\p{Nd}+\z"))),
     )
 
 
@@ -146,9 +154,8 @@ def top_terms(candidates: Column, limit: int = 5) -> Column:
         )
 
     def from_sorted(v: Column) -> Column:
-        n = F.size(v["sorted"])
-        ends = F.filter(
-            F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get(v["sorted"], i - 1) != F.get(v["sorted"], i))
+        ends = F.array_compact(
+            F.transform(v["sorted"], lambda term, i: F.when(~term.eqNullSafe(F.get(v["sorted"], i + 1)), i + 1))
         )
         return _let(
             F.struct(v["terms"].alias("terms"), v["sorted"].alias("sorted"), ends.alias("ends")), from_ends
@@ -157,22 +164,22 @@ def top_terms(candidates: Column, limit: int = 5) -> Column:
     def from_ends(v: Column) -> Column:
         runs = F.transform(
             v["ends"],
-            lambda end, i: F.struct(
-                (end - F.coalesce(F.get(v["ends"], i - 1), F.lit(0))).alias("n"), F.get(v["sorted"], end - 1).alias("term")
-            ),
+            lambda end, i: F.struct((end - F.coalesce(F.get(v["ends"], i - 1), F.lit(0))).alias("n"), end.alias("end")),
         )
-        return _let(F.struct(v["terms"].alias("terms"), runs.alias("runs")), from_runs)
+        return _let(F.struct(v["terms"].alias("terms"), v["sorted"].alias("sorted"), runs.alias("runs")), from_runs)
 
     def from_runs(v: Column) -> Column:
-        counts = F.sort_array(F.transform(v["runs"], lambda r: r["n"]), asc=False)
+        counts = F.sort_array(v["runs"]["n"], asc=False)
         last = F.get(counts, F.least(F.size(counts), F.lit(limit)) - 1)
-        return _let(F.struct(v["terms"].alias("terms"), v["runs"].alias("runs"), last.alias("last")), from_cut)
+        cut = F.struct(v["terms"].alias("terms"), v["sorted"].alias("sorted"), v["runs"].alias("runs"), last.alias("last"))
+        return _let(cut, from_cut)
 
     def from_cut(v: Column) -> Column:
+        named = lambda r: F.get(v["sorted"], r["end"] - 1)
         above = F.filter(v["runs"], lambda r: r["n"] > v["last"])
-        level = F.transform(F.filter(v["runs"], lambda r: r["n"] == v["last"]), lambda r: r["term"])
+        level = F.transform(F.filter(v["runs"], lambda r: r["n"] == v["last"]), named)
         placed = F.transform(
-            above, lambda r: F.struct((-r["n"]).alias("n"), F.array_position(v["terms"], r["term"]).alias("pos"), r["term"].alias("term"))
+            above, lambda r: F.struct((-r["n"]).alias("n"), F.array_position(v["terms"], named(r)).alias("pos"), named(r).alias("term"))
         )
         head = F.transform(F.sort_array(placed), lambda r: r["term"])
         tail = F.slice(F.array_intersect(v["terms"], level), F.lit(1), F.lit(limit) - F.size(head))

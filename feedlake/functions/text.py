@@ -11,11 +11,18 @@ from feedlake.functions.lexicons import TAG_KEYWORDS
 # Character classes. Java's \s and \w differ from the definitions the results are
 # specified with, so they are spelled out.
 LINE_BREAKS = "\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029"
-INLINE_SPACES = "\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+OTHER_INLINE_SPACES = "\t\x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+INLINE_SPACES = " " + OTHER_INLINE_SPACES
 NON_WORD = r"[^\p{L}\p{N}_]"
-WORD = r"[\p{L}\p{N}_]"
+# Ranges are tested before the classes and answer for most characters.
+WORD = r"[a-z0-9_\p{L}\p{N}]"
 MARKUP = "<[^>]+>"
 ALL_SPACES = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+# Whitespace but the space. Of characters past Latin-1 only those between the first and the last
+# wide space are looked up one by one, so others cost one comparison.
+_NARROW = "".join(c for c in ALL_SPACES if c < "\u0100" and c != " ")
+_WIDE = "".join(c for c in ALL_SPACES if c >= "\u0100")
+OTHER_SPACES = f"[{_NARROW}[{_WIDE[0]}-{_WIDE[-1]}&&[{_WIDE}]]]"
 
 
 def _col(c: Column | str) -> Column:
@@ -32,12 +39,12 @@ def is_filled(c: Column) -> Column:
 
 
 def plain_spaces(c: Column | str) -> Column:
-    """Every whitespace character as a space; a table lookup, cheaper than the class in a regex."""
-    return F.translate(_col(c), ALL_SPACES, " " * len(ALL_SPACES))
+    """Every whitespace character as a space."""
+    return F.regexp_replace(_col(c), OTHER_SPACES, " ")
 
 
 def normalize_whitespace(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(plain_spaces(c), " +", " "))
+    return F.trim(F.regexp_replace(plain_spaces(c), "  +", " "))
 
 
 def strip(c: Column | str) -> Column:
@@ -69,9 +76,9 @@ def sanitize_content(c: Column | str) -> Column:
     """One clean line per non-blank line.
 
     Inline runs collapse first, so the second pattern sees at most one space before a
-    break and needs no backtracking.
+    break and needs no backtracking. A single space stays and is no match: most are.
     """
-    inline = F.regexp_replace(strip_markup(c), f"[{INLINE_SPACES}]+", " ")
+    inline = F.regexp_replace(strip_markup(c), f" [{INLINE_SPACES}]+|[{OTHER_INLINE_SPACES}][{INLINE_SPACES}]*", " ")
     lines = F.regexp_replace(inline, f" ?[{LINE_BREAKS}][{LINE_BREAKS} ]*", "\n")
     return F.btrim(lines, F.lit(" \n"))
 
@@ -87,7 +94,7 @@ def lexicon_tokens(c: Column | str) -> Column:
     The dotted capital I is the one letter whose lower case holds a non-word character;
     it is replaced by a letter no word list contains, so it cannot split a word.
     """
-    return tokens(F.translate(_col(c), "İ", "ı"))
+    return tokens(F.replace(_col(c), F.lit("İ"), F.lit("ı")))
 
 
 def render_template(template: str, columns: Mapping[str, Column | str]) -> Column:

@@ -28,13 +28,15 @@ def analyze(
     text = F.concat(text_or_empty(title), F.lit(" "), text_or_empty(content))
     staged = df.withColumn("_text", text)
     staged = staged.withColumn("_words", lexicon_tokens("_text"))
-    words = F.col("_words")
+    words, listed = F.col("_words"), F.col("_listed")
+    lists = (positive, negative, lex.ENGLISH_STOP_WORDS, lex.PERSIAN_STOP_WORDS)
+    staged = staged.withColumn("_listed", A.words_of_lexicons(words, *lists))
     # The two word lists differ only where the dotted capital I occurs.
     topic_words = F.when(F.contains("_text", F.lit("\u0130")), tokens("_text")).otherwise(words)
     staged = staged.withColumns(
         {
-            "_language": A.detect_language("_text", words),
-            "_sentiment": A.analyze_sentiment("_text", words, positive, negative),
+            "_language": A.detect_language("_text", listed),
+            "_sentiment": A.analyze_sentiment("_text", listed, positive, negative),
             "_readability": A.analyze_readability("_text"),
             "_topic_words": topic_words,
         }

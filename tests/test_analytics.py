@@ -118,3 +118,15 @@ def test_analyze_has_no_exchange(spark):
     df = spark.range(5).selectExpr("'a' AS title", "'b' AS content")
     plan = analyze(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_analysis_looks_words_up_in_one_pass(spark):
+    """The word lists are searched once for all counts; the counts are those of separate passes."""
+    df = spark.createDataFrame([("a", "the İ good از bad 12 ٣ the café café good"), ("", ""), (None, None)], "title STRING, content STRING")
+    done = analyze(df)
+    filters = done._jdf.queryExecution().optimizedPlan().toString().count("filter(_words")
+    assert filters == 1
+    for row in done.select("intelligence", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))).alias("t")).withColumns(
+        {"s": A.analyze_sentiment("t"), "l": A.detect_language("t"), "k": A.extract_topics("t")}
+    ).collect():
+        assert (row.intelligence.sentiment, row.intelligence.language, row.intelligence.topics) == (row.s, row.l, row.k)

@@ -114,3 +114,18 @@ def test_rounding_equals_python(spark):
     for r in df.select("p", "q", round_exact(F.col("x"), 2).alias("a"), round_exact(-F.col("x") * 37, 1).alias("b")).collect():
         assert r.a == round(r.p / r.q, 2)
         assert r.b == round(-r.p / r.q * 37, 1)
+
+
+def test_every_space_character_and_run_is_replaced(spark):
+    """Single spaces are no match, runs and every other space character are; compared with the plain rules."""
+    texts = ["a" + c + d + "b" for c in X.ALL_SPACES for d in ("", " ", "\t", c)] + [" a  b ", " ", "", None, "‐a⯿b、"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, t STRING")
+    inline = X.INLINE_SPACES
+    for row in df.select("t", X.plain_spaces("t").alias("p"), X.normalize_whitespace("t").alias("n"), X.sanitize_content("t").alias("s")).collect():
+        if row.t is None:
+            assert row.p is row.n is row.s is None
+            continue
+        assert row.p == "".join(" " if c in X.ALL_SPACES else c for c in row.t)
+        assert row.n == " ".join(row.p.split())
+        lines = re.sub(f" ?[{X.LINE_BREAKS}][{X.LINE_BREAKS} ]*", "\n", re.sub(f"[{inline}]+", " ", row.t))
+        assert row.s == lines.strip(" \n")
