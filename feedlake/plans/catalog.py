@@ -21,7 +21,7 @@ from feedlake.operators.throttle import throttle
 from feedlake.plans import jobs, stages
 from feedlake.session import checkpoint_dir, ship
 from feedlake.sources import feeds, pages, sinks
-from feedlake.sources.sinks import write_event_log
+from feedlake.sources.sinks import COMMIT_IN_TASKS, write_event_log
 from feedlake.sources.stores import read_event_log, read_json_store
 from feedlake.sources.buckets import BucketTable
 from feedlake.streaming import admission, rollups, summaries
@@ -836,7 +836,7 @@ def _land(items: DataFrame, spot: list[str], head: Column, end: Column) -> str:
         lines = lines.unionByName(files.select(*spot, F.lit(at).alias("line"), value.alias("value")))
     landed = lines.repartition(*spot).sortWithinPartitions(*spot, "line").drop("line")
     path = f"{checkpoint_dir(items.sparkSession)}/feeds-{uuid.uuid4().hex}"
-    landed.write.partitionBy(*spot).text(path)
+    landed.write.option(*COMMIT_IN_TASKS).partitionBy(*spot).text(path)
     return path
 
 
@@ -844,8 +844,11 @@ def _landed_feeds(spark, sf):
     """All documents landed as feed files, a few per source, with one source's files cut off, and read."""
     clean = _escaped(X.normalize_whitespace("text"))
     item = F.concat(F.lit("<item><title>"), clean, F.lit("</title><link>"), F.col("doc_id").cast("string"), F.lit("</link></item>"))
-    items = T.read_table(spark, sf, "documents").select(
-        "source", F.floor(F.col("doc_id") / FILE_ENTRIES).alias("bucket"), item.alias("value")
+    docs = T.read_table(spark, sf, "documents")
+    # Files of one source hold about FILE_ENTRIES documents each, so their number follows the documents.
+    sizes = docs.groupBy(F.col("source").alias("_source")).agg(F.ceil(F.count("*") / FILE_ENTRIES).alias("_files"))
+    items = docs.join(sizes, F.col("source").eqNullSafe(F.col("_source"))).select(
+        "source", F.pmod(F.xxhash64("doc_id"), "_files").alias("bucket"), item.alias("value")
     )
     end = F.when(F.col("source") == "src7", F.lit("<item><title>cut")).otherwise(F.lit("</channel></rss>"))
     path = _land(items, ["source", "bucket"], F.lit("<rss><channel>"), end)

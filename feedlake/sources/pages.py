@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from feedlake.operators.render import json_items, rss_items
 from feedlake.operators.tables import PAGE_COLUMNS
 from feedlake.session import materialize
-from feedlake.sources.sinks import delete_folder, folder_names, read_feed_manifest, read_latest, versions, write_next
+from feedlake.sources.sinks import COMMIT_IN_TASKS, delete_folder, folder_names, read_feed_manifest, read_latest, versions, write_next
 
 PAGE_ITEMS = 500
 MANIFEST = "count BIGINT, pages BIGINT, items STRING"
@@ -82,7 +82,7 @@ def _write_pages(items: DataFrame, count: int, path: str, page_items: int, docum
     # A feed without articles still has one page.
     empty = spark.createDataFrame([(0, [])], listed.schema) if not count else None
     listed = listed.unionByName(empty) if empty is not None else listed
-    listed.select("page", text.alias("value")).write.option("lineSep", "\n").partitionBy("page").text(f"{path}/{folder}")
+    listed.select("page", text.alias("value")).write.option("lineSep", "\n").option(*COMMIT_IN_TASKS).partitionBy("page").text(f"{path}/{folder}")
     n_pages = max(1, -(-count // page_items))
     write_next(spark.createDataFrame([(count, n_pages, folder)], MANIFEST), f"{path}/manifest")
     kept = versions(spark, f"{path}/manifest")[-keep:]

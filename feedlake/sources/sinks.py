@@ -11,6 +11,10 @@ from feedlake.operators.monitoring import event_log
 from feedlake.operators.render import json_items, rss_items
 from feedlake.session import materialize
 
+#: Write option for new folders of very many files: tasks move their files into place, instead of the driver one by one.
+#: Such a folder is read only after its write has ended, so nobody sees half of it.
+COMMIT_IN_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
 
 def _filesystem(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
