@@ -118,3 +118,19 @@ def test_repeated_windows_by_small_blocks(monkeypatch):
     for size in (1 << 18, 100):
         monkeypatch.setattr(D, "BLOCK_WINDOWS", size)
         assert [m.tolist() for m in D.repeated_windows(texts, counts)] == want
+
+
+def test_texts_are_shuffled_once_for_both_joins(spark):
+    """Documents enter two joins dealt alike; the second takes the first one's rows."""
+    piece = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(500))
+    docs = spark.createDataFrame([(i, f"{i} {piece} {i * 7}") for i in range(20)], "doc_id LONG, text STRING")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = D.removed_digests(docs)
+        rows = done.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 20 and min(r.n_removed for r in rows) >= 500
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange [id" in plan, plan
