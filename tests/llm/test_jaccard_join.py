@@ -101,3 +101,15 @@ def test_keep_one(spark):
     # 9, 10 and a null id share their words, 6 and 7 nearly all; rows without words stay.
     assert ids == [(False, i) for i in (1, 2, 3, 4, 5, 6, 8, 9, 11)] + [(True, 0)]
     assert J.keep_one(no_documents(spark), J.Rule()).count() == 0
+
+
+def test_components_store_one_table_a_round(spark, monkeypatch):
+    """A long chain: labels double their way in every round, and each round is one stored table."""
+    from feedlake.llm import components as C
+
+    stored = []
+    monkeypatch.setattr(C, "materialize", lambda df, keep=C.materialize: stored.append(1) or keep(df))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (200, 200)], "a LONG, b LONG")
+    found = {r.node: r.label for r in C.components(edges).collect()}
+    assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 200: 200}
+    assert len(stored) <= 2 + 8
