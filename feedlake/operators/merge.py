@@ -132,11 +132,12 @@ def merge_combine(items: DataFrame, groups: DataFrame, order: str = "arrival") -
     """One article per group: the winner, with the other members' distinct contents appended.
 
     A group's text has to fit into a row (2 GB) and an executor; ``merge_pieces`` has no such limit.
+    The winner's fields meet its text where it is folded, so texts move once, as pieces.
     """
     pieces = materialize(combine_pieces(items, groups, order))
-    heads = pieces.where("position = 0").select("group_id", order)
     others = items.select(order, *[c for c in CLEAN_COLUMNS if c != "content"])
-    return heads.join(fold_pieces(pieces), "group_id").join(others, order).select(*CLEAN_COLUMNS)
+    heads = pieces.where("position = 0").select("group_id", order).join(others, order)
+    return fold_pieces(pieces).join(heads, "group_id").select(*CLEAN_COLUMNS)
 
 
 def aggregate_sources(

@@ -1,6 +1,7 @@
 """Duplicate groups and merging, normal and skewed, against a sequential restatement."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -136,6 +137,27 @@ def test_combine(spark):
         assert sorted("".join(p.piece for p in ps) for ps in by_group.values()) == sorted(text for _, text in want)
 
 
+def test_folded_texts_are_not_shuffled_again(spark):
+    """No exchange lies above the aggregate that folds a group's text."""
+    rows = [item(n, f"i{n}", "hot" if n % 3 == 0 else f"t{n % 7}", f"text {n}", f"s{n % 5}", n % 2) for n in range(60)]
+    df = frame(spark, rows)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = merge.merge_combine(df, dedup.group_duplicates(df))._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    depth = lambda line: re.search(r"\w", line).start()
+    at = next(i for i, line in enumerate(plan) if "collect_list" in line and "Aggregate" in line)
+    above, least = [], depth(plan[at])
+    for line in plan[at - 1::-1]:
+        if line.strip() and depth(line) < least:
+            least = depth(line)
+            above.append(line)
+    assert any("Join" in line for line in above)
+    assert not any("Exchange" in line for line in above)
+
+
 def test_pieces_have_the_winners_fields(spark):
     """Joined by position they are the one-row articles, and no plan gathers a group into a row."""
     rows = [item(n, f"i{n}", "hot" if n % 3 == 0 else f"t{n % 7}", f"text {n}", f"s{n % 5}", n % 2) for n in range(60)]
