@@ -134,3 +134,20 @@ def test_texts_are_shuffled_once_for_both_joins(spark):
     assert len(rows) == 20 and min(r.n_removed for r in rows) >= 500
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange [id" in plan, plan
+
+
+def test_regions_of_hot_anchors_take_the_same_shuffle(spark, monkeypatch):
+    """Three joins read the texts, and the windows of hot anchors are made once."""
+    docs = edited(spark)
+    want = brute_force(pairs(docs))
+    monkeypatch.setattr(D, "HOT_REGIONS", 2)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = D.removed_digests(docs)
+        assert sorted((tuple(r) for r in done.collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange [id") == 2, plan
+    assert plan.count("MapInArrow _slice_windows") == 1, plan
