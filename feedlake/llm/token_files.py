@@ -22,7 +22,7 @@ import struct
 import uuid
 import zlib
 from collections import defaultdict
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,9 @@ MIN_COUNT = 128
 ROUND_SHARE = 0.1
 #: Symbols of one shard stay below this, so that they fit into two bytes.
 MOST_SYMBOLS = 1 << 16
-COUNT_BITS = 20
-KNOWN_PIECES = 800_000
+#: Buckets that pairs are counted in fit into a core's cache.
+COUNT_BITS = 17
+KNOWN_PIECES = 1_000_000
 MAGIC, HEADER = b"RPG1", "<4s5IQ"
 
 
@@ -54,37 +55,81 @@ def tokenizer_path() -> str:
 
 #: Marks the first piece of a text, which has no space in front. No text holds a lone surrogate.
 FIRST = "\ud800"
+#: Characters that every version of Unicode takes for letters, and for neither letters nor digits nor white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0233"
+MARKS = re.escape('!"#$%&()*+,-./:;=>?@[\\]^_`{}~')
+
+
+def byte_characters() -> np.ndarray:
+    """The characters that byte-level vocabularies write for bytes: printable ones as they are, the others from 256 on."""
+    out = np.arange(256, dtype="<u2")
+    others = np.array([b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)])
+    out[others] = 256 + np.arange(len(others))
+    return out
+
+
+BYTE_CHARACTERS = byte_characters()
+BYTE_CHARACTERS[ord("\n")] = ord("\n")
+
+
+def written(pieces: list[str]) -> list[str]:
+    """Pieces without line feeds as the vocabulary writes their bytes."""
+    joined = "\n".join([p[1:] if p[0] == FIRST else " " + p for p in pieces])
+    return BYTE_CHARACTERS[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le").split("\n")
 
 
 class Encoder:
     """Ids of whole texts. Texts are cut before single spaces between other characters.
 
     The vocabulary's own pre-tokenizer always starts a new piece there, so the ids of the parts
-    are the ids of the text. Each different part is encoded once, many in one call: the bytes
-    that ids stand for tell where a part ends.
+    are the ids of the text. Each different part is encoded once. Parts of known letters and marks
+    alone are cut where the usual byte-level pre-tokenizer cuts them, between letters and marks and around single
+    line feeds; what that leaves are pieces too, and go to the vocabulary's model one by one. Other parts go through the
+    whole tokenizer, many in one call: the bytes that ids stand for tell where a part ends.
     """
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
     #: Pieces that are encoded by themselves: first ones, and those with white space at an edge or a special token.
     SPECIAL = staticmethod(re.compile(rf"^{FIRST}|^\s|\s\Z|^\Z|<\|").search)
+    #: Pieces that the pre-tokenizer leaves whole, and pieces that it cuts into such ones and line feeds.
+    WHOLE = staticmethod(re.compile(rf"{FIRST}?(?:[{LETTERS}]+|[{MARKS}]+)").fullmatch)
+    COMPOSED = staticmethod(re.compile(rf"[{LETTERS}{MARKS}]+(?:\n[{LETTERS}{MARKS}]+)*").fullmatch)
+    PARTS = staticmethod(re.compile(rf"[{LETTERS}]+|[{MARKS}]+|\n").findall)
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        cutter = self.tokenizer.pre_tokenizer
+        #: Are pieces cut as ``PARTS`` does it?
+        self.usual = (
+            isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+            and isinstance(self.tokenizer.model, models.BPE) and self.tokenizer.normalizer is None
+            and all("<|" in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        )
         self.size = self.tokenizer.get_vocab_size()
         self.n_bytes = np.zeros(self.size, np.int64)
         for token, number in self.tokenizer.get_vocab().items():
             self.n_bytes[number] = len(token)
-        self.forget()
-
-    def forget(self):
         #: Piece to its number, in the order of the numbers.
         self.known = defaultdict(count().__next__)
         self.ids = np.empty(0, np.uint32)
         self.starts, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
         self.at_space = np.empty(0, bool)
+        #: How often a piece was asked for, from the last forgetting on.
+        self.uses = np.empty(0, np.int64)
+
+    def forget(self):
+        """Drop the pieces that were asked for at most once, or all if that leaves many."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > KNOWN_PIECES // 2:
+            keep = keep[:0]
+        names = list(self.known)
+        self.known = defaultdict(count(len(keep)).__next__, zip([names[i] for i in keep.tolist()], range(len(keep))))
+        self.ids, self.lengths = self.gathered(keep)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.at_space, self.uses = self.at_space[keep], np.zeros(len(keep), np.int64)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > KNOWN_PIECES:
@@ -98,10 +143,8 @@ class Encoder:
             for i in wrong.tolist():
                 pieces[i] = self.CUT.split(texts[i])
             number, ends = self.numbers(pieces)
-        lengths = self.lengths[number]
-        to = np.cumsum(lengths)
-        ids = self.ids[np.arange(int(lengths.sum())) + np.repeat(self.starts[number] - (to - lengths), lengths)]
-        cuts = np.concatenate([[0], to])[ends]
+        ids, lengths = self.gathered(number)
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[ends]
         return [np.append(x, np.uint32(END_ID)) for x in np.split(ids, cuts)[:-1]]
 
     def numbers(self, pieces: list[list]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,19 +156,48 @@ class Encoder:
             flat += parts
         number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         self.learn()
+        self.uses += np.bincount(number, minlength=len(self.uses))
         return number, np.cumsum([len(p) for p in pieces])
 
     def learn(self):
         """Encode the pieces that are new: the last ones."""
-        new = list(islice(reversed(self.known), len(self.known) - len(self.starts)))[::-1]
+        n_known = len(self.starts)
+        new = list(islice(reversed(self.known), len(self.known) - n_known))[::-1]
         if not new:
             return
-        alone = np.fromiter(map(bool, map(self.SPECIAL, new)), bool, len(new))
+        whole, composed, part_numbers, n_parts = [], [], [], []
+        if self.usual:
+            for i, piece in enumerate(new):
+                if self.WHOLE(piece):
+                    whole.append(i)
+                elif self.COMPOSED(piece):
+                    composed.append(i)
+                    first, *others = self.PARTS(piece)
+                    part_numbers.append(self.known[first])
+                    part_numbers += [self.known[FIRST + x] for x in others]
+                    n_parts.append(1 + len(others))
+            # Parts that were not known follow the new pieces.
+            n_asked = len(new)
+            new += list(islice(reversed(self.known), len(self.known) - n_known - n_asked))[::-1]
+            whole += [i for i in range(n_asked, len(new)) if self.WHOLE(new[i])]
+        left = np.ones(len(new), bool)
+        left[whole] = left[composed] = False
         at_space = np.zeros(len(new), bool)
         starts, lengths = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
         pool = [self.ids]
         end = len(self.ids)
-        single = np.flatnonzero(alone)
+
+        if whole:
+            tokenize = self.tokenizer.model.tokenize
+            made = [[x.id for x in tokenize(w)] for w in written([new[i] for i in whole])]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            starts[whole], lengths[whole] = end + np.cumsum(sizes) - sizes, sizes
+            pool.append(np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())))
+            end += len(pool[-1])
+
+        rest = np.flatnonzero(left)
+        alone = np.fromiter((bool(self.SPECIAL(new[i])) for i in rest.tolist()), bool, len(rest))
+        single, joint = rest[alone], rest[~alone]
         texts = []
         for i in single.tolist():
             first, piece = new[i][:1] == FIRST, new[i].removeprefix(FIRST)
@@ -135,7 +207,6 @@ class Encoder:
             starts[i], lengths[i] = end, len(x.ids)
             end += len(x.ids)
             pool.append(np.array(x.ids, np.uint32))
-        joint = np.flatnonzero(~alone)
         if len(joint):
             joined = [" " + new[i] for i in joint.tolist()]
             (x,) = self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)
@@ -148,9 +219,24 @@ class Encoder:
             lengths[joint] = np.diff(cuts, prepend=0)
             starts[joint] = end + cuts - lengths[joint]
             pool.append(ids)
+            end += len(ids)
         self.ids = np.concatenate(pool)
         self.starts, self.lengths = np.append(self.starts, starts), np.append(self.lengths, lengths)
         self.at_space = np.append(self.at_space, at_space)
+        self.uses = np.append(self.uses, np.zeros(len(new), np.int64))
+        if composed:
+            self.uses += np.bincount(part_numbers, minlength=len(self.uses))
+            ids, sizes = self.gathered(np.array(part_numbers))
+            sizes = np.add.reduceat(sizes, np.cumsum(n_parts) - n_parts)
+            numbers = n_known + np.array(composed)
+            self.starts[numbers], self.lengths[numbers] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+            self.ids = np.append(self.ids, ids)
+
+    def gathered(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some pieces one after another, and how many each has."""
+        lengths = self.lengths[number]
+        to = np.cumsum(lengths)
+        return self.ids[np.arange(int(lengths.sum())) + np.repeat(self.starts[number] - (to - lengths), lengths)], lengths
 
 
 def process_encoder(path: str) -> Encoder:
@@ -182,7 +268,11 @@ def repair(ids: np.ndarray, first: int, min_count: int = MIN_COUNT) -> tuple[np.
         # Only pairs in well filled buckets are counted one by one.
         bucket = sequence[:-1] * np.uint32(0x9E3779B1) + sequence[1:] * np.uint32(0x85EBCA6B)
         bucket >>= np.uint32(32 - COUNT_BITS)
-        often = np.bincount(bucket, minlength=1 << COUNT_BITS) >= min_count
+        filled = np.bincount(bucket, minlength=1 << COUNT_BITS)
+        # The fullest bucket bounds the count of the best pair from below.
+        at = np.flatnonzero(bucket == filled.argmax())
+        best = np.unique(sequence[at].astype(np.uint64) << np.uint64(32) | sequence[at + 1], return_counts=True)[1].max()
+        often = filled >= max(min_count, ROUND_SHARE * best)
         at = np.flatnonzero(often[bucket])
         pairs = sequence[at].astype(np.uint64) << np.uint64(32) | sequence[at + 1]
         found, counts = np.unique(pairs, return_counts=True)

@@ -101,3 +101,30 @@ def test_a_worker_keeps_its_encoder(tmp_path):
     os.utime(path, ns=(1, 1))
     renewed = T.process_encoder(path)
     assert renewed is not first and [x.tolist() for x in renewed.batch(["one two", " two  three", None])] == ids
+
+
+def test_letters_and_marks_are_cut_as_the_pre_tokenizer_does(tokenizer):
+    rng = random.Random(5)
+    alphabet = [*"abZÀéßøȳ×ªǅ", *'!"#$%&()*+,-./:;=>?@[\\]^_`{}~', "'", "'s", "<", "|", "\n", "\n", " ", " ", "\n\n", "7", "\xad", "word", "Word"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    encoder = T.Encoder(T.tokenizer_path())
+    for i in range(0, len(texts), 100):
+        for text, ids in zip(texts[i:i + 100], encoder.batch(texts[i:i + 100])):
+            assert ids.tolist() == ids_of(tokenizer, text), text
+
+
+def test_composed_pieces_share_their_parts():
+    encoder = T.Encoder(T.tokenizer_path())
+    encoder.batch(["x wordlike, wordlike.\nwordlike! andso."])
+    assert "wordlike" in encoder.known and "andso" in encoder.known
+
+
+def test_forgetting_keeps_what_is_asked_for_often(tokenizer, monkeypatch):
+    monkeypatch.setattr(T, "KNOWN_PIECES", 8)
+    encoder = T.Encoder(T.tokenizer_path())
+    texts = [f"often seen. often seen, n{i} only{'abcdefghij'[i % 10]}\nonce, often" for i in range(30)]
+    for text in texts:
+        (ids,) = encoder.batch([text])
+        assert ids.tolist() == ids_of(tokenizer, text)
+    encoder.forget()
+    assert "often" in encoder.known and "n3" not in encoder.known
